@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from trajspark.functions.columns import (argmax, constant_policy, cut,
-                                         decision_code, feasible, finite,
-                                         hash_uniform, in_range, poisson_one,
-                                         rule_policy, truth)
-from trajspark.operators.relational import any_by, average_rank, keep_ids
+from trajspark.functions.columns import (constant_policy, cut, decision_code,
+                                         feasible, hash_uniform, in_range,
+                                         poisson_one, rule_policy, truth)
+from trajspark.operators.relational import any_by, keep_ids
 from trajspark.operators.scan import PLAIN, lag, lead, running_sum
 from trajspark.operators.trajectories import (DAY, KEYS, ORDER, TRAJ,
                                               time_in_range)
@@ -305,7 +301,7 @@ def _macro_f1(rows: DataFrame, said: Column, is_it: Column,
                                 F.count_if(is_it).alias("are"))
     f1 = F.coalesce(F.try_divide(2 * F.col("tp"),
                                  F.col("said") + F.col("are")), F.lit(0.0))
-    return per.filter("said + are > 0").agg(F.avg(f1).alias("f1"))
+    return per.agg(F.avg(f1).alias("f1"))
 
 
 def contiguity(df: DataFrame, tau: float, p: str = "p") -> DataFrame:

@@ -165,7 +165,7 @@ def drop_incomplete_events(df: DataFrame, events, keys=KEYS,
 
 # Splitting.
 
-def split_at_flag(df: DataFrame, flag: str, reason: str, keys=KEYS,
+def split_at_flag(df: DataFrame, flag: str, reason, keys=KEYS,
                   order=ORDER, observed: str | None = None,
                   scan=PLAIN) -> DataFrame:
     """Cut histories at flagged rows and drop what is flagged.
@@ -210,7 +210,9 @@ def _give_reason(df, reason, keys, observed, scan) -> DataFrame:
                     __set=F.count("termination"))
     last = truth((F.col(DAY) == F.col("__last")) & known)
     return (df.withColumn("termination",
-                          F.when(last & (F.col("__set") == 0), F.lit(reason))
+                          F.when(last & (F.col("__set") == 0),
+                                 reason if isinstance(reason, Column)
+                                 else F.lit(reason))
                           .otherwise(F.col("termination")))
             .drop("__last", "__set"))
 
@@ -317,8 +319,8 @@ def merge_events(visits: DataFrame, events: DataFrame, event_cols, keys=KEYS,
                   F.col("rankin"), F.when(F.col("stroke") >= 1, F.lit(3.0))))
               .filter(F.col("event_day").isNotNull())
               .withColumn(DAY, F.col("event_day").cast("int")))
+    # Events of subjects without visits get no trajectory below and go.
     daily = day_aggregate(events, event_cols, keys)
-    daily = daily.join(visits.select(*keys), keys, "left_semi")
     both = visits.unionByName(daily, allowMissingColumns=True)
     both = both.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("long")
                              for c in event_cols})

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trajspark import params as P
-from trajspark.functions.columns import null_if, recode_capped, truth
+from trajspark.functions.columns import (null_if, recode_capped, row_sum,
+                                         truth)
 from trajspark.operators import trajectories as tr
 from trajspark.operators.relational import (complete_cases, indicators,
                                             union_all)
-from trajspark.operators.scan import PLAIN, by_key
+from trajspark.operators.scan import PLAIN, by_key, lag, next_known
 from trajspark.params import Params
 
 KEYS = ["trial", "subjid"]
@@ -23,17 +24,20 @@ def prepare(visits: DataFrame, events: DataFrame, baseline: DataFrame,
     flags, observed period only, and the end of the trial marked."""
     events = events.join(visits.select("subjid"), "subjid", "left_semi")
     events = indicators(events, "event_name", P.EVENT_NAMES, drop=True)
-
-    baseline = baseline.join(visits.select("subjid"), "subjid", "left_semi")
-    baseline = (baseline.withColumnRenamed("region", "continent")
-                .withColumn("age", recode_capped("age", ">89", 90)))
-    baseline = complete_cases(baseline, params.static_cols)
-
+    baseline = complete_baseline(
+        baseline.join(visits.select("subjid"), "subjid", "left_semi"), params)
     visits = visits.join(baseline.select("subjid"), "subjid", "left_semi")
     visits = mark_trial_end(visits.filter(F.col("study_day") >= 0), scan)
     return visits, events, baseline
 
 
+def complete_baseline(baseline: DataFrame,
+                      params: Params = Params()) -> DataFrame:
+    baseline = (baseline.withColumnRenamed("region", "continent")
+                .withColumn("age", recode_capped("age", ">89", 90)))
+    return complete_cases(baseline, params.static_cols)
+
+
 def mark_trial_end(visits: DataFrame, scan=PLAIN) -> DataFrame:
     visits = tr.trim_to_observed(visits, KEYS, scan=scan)
     seen = truth(F.col("value_type") == "Y")
@@ -98,11 +102,40 @@ def union_trials(*visits: DataFrame, max_dose: float = 140.0,
 
 def clean_trials(visits: DataFrame, params: Params = Params(),
                  scan=PLAIN) -> DataFrame:
-    return union_trials(
-        preset_daily_dose(visits, scan, params.daily_dose_trials),
-        preset_avg_dose(visits, scan, params.avg_dose_trials),
-        preset_weekly_dose(visits, scan, params.weekly_dose_trials),
-        max_dose=params.dose_outlier, scan=scan)
+    """The three presets and their union in one pass: the rules of a row's
+    trial are chosen by expressions, so the input is read and sorted once."""
+    daily = F.col("trial").isin(*params.daily_dose_trials)
+    avg = F.col("trial").isin(*params.avg_dose_trials)
+    weekly = F.col("trial").isin(*params.weekly_dose_trials)
+    dose, value = F.col("dose"), F.col("value")
+    seen = truth(F.col("value_type") == "Y")
+
+    v = visits.filter(daily | avg | weekly)
+    v = v.withColumn("dose", F.when(weekly, F.abs(dose)).when(avg, dose * 7)
+                     .when(daily, null_if(dose, (dose % 0.5 != 0)
+                                          | (dose == 99))))
+    back = {f"__l{i}": lag("dose", i) for i in (1, 2, 3)}
+    v = scan.add(v, KEYS, RAW_ORDER, **back, __next=next_known("dose"))
+    known = sum([F.col(c).isNotNull().cast("int") for c in back], F.lit(0))
+    mean = F.when(known > 0, row_sum(reversed(list(back))) / known * 7.0)
+    v = v.withColumns({
+        "dose": F.when(daily, mean).when(weekly, F.col("__next"))
+        .otherwise(dose),
+        "value": F.when(~daily | truth(value != 0), value)}) \
+        .drop(*back, "__next")
+
+    v = v.filter(avg | (seen & (daily | (value.isNotNull()
+                                         & dose.isNotNull()))))
+    v = tr.neighbour_zero(v, KEYS, RAW_ORDER, "dose", "__near", scan)
+    zeros = truth(dose == 0) & F.col("__near")
+    v = v.withColumn("__stop", F.when(
+        avg, truth(F.col("interrupt_flag") != 0)).when(
+        daily, zeros | value.isNull()).otherwise(zeros)).drop("__near")
+    reason = F.when(avg, P.TRIAL_INTERRUPTION).otherwise(P.DOSE_INTERRUPTION)
+    v = tr.split_at_flag(v, "__stop", reason, KEYS, RAW_ORDER, "value_type",
+                         scan).drop("__stop")
+    v = v.filter(seen)
+    return tr.drop_groups_with(v, KEYS, dose >= params.dose_outlier, scan)
 
 
 def subject_trajectories(visits: DataFrame, events: DataFrame,
@@ -138,9 +171,12 @@ def build_trajectories(visits: DataFrame, events: DataFrame,
                        upto: str | None = None) -> DataFrame:
     """The full preparation. Subjects are independent, so one pass by subject
     does all of it; subjects too large for a task take the chunked path."""
-    visits = visits.filter(F.col("study_day") >= 0)
-    _, events, baseline = prepare(visits, events, baseline, params)
-    visits = visits.join(baseline.select("subjid"), "subjid", "left_semi")
+    baseline = complete_baseline(baseline, params)
+    events = indicators(events, "event_name", P.EVENT_NAMES, drop=True)
+    # One partitioning by subject serves the joins and every window below.
+    visits = (visits.filter(F.col("study_day") >= 0).repartition("subjid")
+              .join(baseline.select("subjid"), "subjid", "left_semi"))
+    events = events.repartition("subjid")
 
     def per_subject(scan, v, e):
         v = mark_trial_end(v, scan)
