@@ -2,46 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajspark.functions.columns import (constant_policy, cut, decision_code,
-                                         feasible, hash_uniform, in_range,
-                                         poisson_one, rule_policy, truth)
-from trajspark.operators.relational import any_by, keep_ids
+                                         feasible, finite, hash_uniform,
+                                         in_range, poisson_one, rule_policy,
+                                         truth)
+from trajspark.operators.relational import any_by, keep_ids, neg_corr
 from trajspark.operators.scan import PLAIN, lag, lead, running_sum
 from trajspark.operators.trajectories import (DAY, KEYS, ORDER, TRAJ,
-                                              time_in_range)
-from trajspark.operators.transitions import observed_decision, option_means
+                                              ttr_aggs, with_days_in_range)
+from trajspark.operators.transitions import observed_decision
 from trajspark.params import AGREEMENT_THRESHOLDS, DAYS_PER_YEAR
 
 WITHIN = [*KEYS, TRAJ]
 ALGOS = ("policy", "threshold", "random", "maintain")
 
 
-def random_policy(df: DataFrame, observed: str = "option",
-                  out: str = "random_action", weighted: bool = False,
-                  seed: int = 42, keys=(*WITHIN, DAY)) -> DataFrame:
-    """An observed option at random, uniformly or by frequency. The draw is a
-    hash of the row keys, so it does not depend on partitioning."""
-    counts = (df.filter(F.col(observed).isNotNull())
-              .groupBy(F.col(observed).alias("__code"))
-              .agg(F.count(F.lit(1)).alias("__n")))
-    share = F.col("__n") if weighted else F.lit(1)
-    one = counts.agg(F.array_sort(F.collect_list(F.struct(
-        "__code", share.cast("double").alias("w")))).alias("__codes"))
+def _options(df: DataFrame, observed: str, ratio: str | None = None,
+             weighted: bool = False) -> DataFrame:
+    """One row about the seven options: sorted codes with weights and, given
+    the dose ratios, the map from code to mean ratio."""
+    share = F.col("n") if weighted else F.lit(1)
+    mean = F.avg(F.when(finite(ratio), F.col(ratio))) if ratio \
+        else F.lit(None).cast("double")
+    per = (df.filter(F.col(observed).isNotNull())
+           .groupBy(F.col(observed).cast("int").alias("code"))
+           .agg(F.count(F.lit(1)).alias("n"), mean.alias("mean")))
+    return per.agg(
+        F.array_sort(F.collect_list(F.struct(
+            "code", share.cast("double").alias("w")))).alias("__codes"),
+        F.map_from_entries(F.collect_list(F.struct("code", "mean")))
+        .alias("__means"))
+
+
+def _draw(keys, seed) -> dict:
+    """Columns that pick a code from `__codes` with a hash of the row."""
     total = F.aggregate("__codes", F.lit(0.0), lambda a, x: a + x["w"])
-    u = hash_uniform(keys, seed) * total
     pick = F.aggregate(
         "__codes",
         F.struct(F.lit(0.0).alias("c"), F.lit(None).cast("int").alias("k")),
         lambda a, x: F.struct(
             (a["c"] + x["w"]).alias("c"),
             F.when(a["k"].isNull() & (F.col("__u") < a["c"] + x["w"]),
-                   x["__code"].cast("int")).otherwise(a["k"]).alias("k")))
+                   x["code"]).otherwise(a["k"]).alias("k")))
+    return {"u": hash_uniform(keys, seed) * total, "pick": pick["k"]}
+
+
+def random_policy(df: DataFrame, observed: str = "option",
+                  out: str = "random_action", weighted: bool = False,
+                  seed: int = 42, keys=(*WITHIN, DAY)) -> DataFrame:
+    """An observed option at random, uniformly or by frequency. The draw is a
+    hash of the row keys, so it does not depend on partitioning."""
+    draw = _draw(keys, seed)
+    one = _options(df, observed, weighted=weighted)
     return (df.crossJoin(F.broadcast(one))          # one row, seven codes
-            .withColumn("__u", u).withColumn(out, pick["k"])
-            .drop("__codes", "__u"))
+            .withColumn("__u", draw["u"]).withColumn(out, draw["pick"])
+            .drop("__codes", "__means", "__u"))
 
 
 def compare_policies(df: DataFrame, action: Column | str,
@@ -52,33 +70,35 @@ def compare_policies(df: DataFrame, action: Column | str,
     rule, chance and doing nothing would have done, with differences of the
     relative doses.
 
-    `action` gives the policy's option code. `means` maps codes to doses and
-    is computed from the rows when missing. `subset` keeps only its subjects.
+    `action` gives the policy's option code. `means` maps codes to doses
+    (option, ratio) and is computed from the rows when missing. `subset`
+    keeps only its subjects.
     """
     df = df.withColumn("policy_action",
                        (F.col(action) if isinstance(action, str) else action)
                        .cast("int"))
     df = observed_decision(df, scan=scan)
+    one = _options(df, "option", "dose_ratio")
+    if means is not None:
+        given = means.agg(F.map_from_entries(F.collect_list(
+            F.struct("option", "ratio"))).alias("__means"))
+        one = one.drop("__means").crossJoin(F.broadcast(given))
     df = scan.add(df, WITHIN, ORDER, next_value=lead("value"),
                   previous_value=lag("value"))
     df = df.withColumnsRenamed({"option": "observed_action",
                                 "dose_ratio": "observed_quant"})
-    if means is None:
-        means = option_means(df.select(
-            F.col("observed_action").alias("option"),
-            F.col("observed_quant").alias("dose_ratio")))
-    df = random_policy(df, "observed_action", seed=seed)
+    draw = _draw((*WITHIN, DAY), seed)
+    # One row holds the codes and means of the seven options.
+    df = df.crossJoin(F.broadcast(one)).withColumn("__u", draw["u"])
     df = df.withColumns({
+        "random_action": draw["pick"],
         "next_in_range": in_range("next_value").cast("int"),
         "threshold_quant": rule_policy("value"),
         "threshold_action": decision_code(rule_policy("value")),
         "maintain_action": constant_policy()})
-    # Seven rows at most, turned into one map.
-    lookup = means.agg(F.map_from_entries(F.collect_list(
-        F.struct("option", "ratio"))).alias("__means"))
-    df = df.crossJoin(F.broadcast(lookup)).withColumns({
+    df = df.withColumns({
         f"{a}_quant": F.try_element_at("__means", F.col(f"{a}_action"))
-        for a in ("policy", "random", "maintain")}).drop("__means")
+        for a in ("policy", "random", "maintain")})
     diffs = {f"{a}_diff": F.col(f"{a}_quant") - F.col("observed_quant")
              for a in ALGOS}
     df = df.withColumns(diffs).withColumns({
@@ -93,30 +113,42 @@ def compare_policies(df: DataFrame, action: Column | str,
           for x in ("action", "quant", "diff", "eq")], *extra)
 
 
-def disagreement(compared: DataFrame, events: DataFrame | None = None,
-                 event_cols=(), ttr: DataFrame | None = None,
+def disagreement(compared: DataFrame, event_cols=(),
+                 events: DataFrame | None = None,
                  scan=PLAIN) -> DataFrame:
     """One row per trajectory: mean agreement and mean absolute difference of
     each algorithm, time in range, length, and whether events happened.
-    `events` are the rows the flags are read from."""
-    ttr = time_in_range(compared, scan=scan) if ttr is None else ttr
-    means = compared.groupBy(*WITHIN).agg(
-        *[F.avg(f"{a}_eq").alias(f"{a}_eq") for a in ALGOS],
-        *[F.avg(F.abs(F.col(f"{a}_diff"))).alias(f"{a}_diff")
-          for a in ALGOS])
-    out = means.join(ttr, WITHIN)
+
+    Event flags are columns of `compared`, which makes this one pass; give
+    `events` to read them from other rows.
+    """
+    aggs = {}
+    for a in ALGOS:
+        aggs[f"{a}_eq"] = F.avg(f"{a}_eq")
+        aggs[f"{a}_diff"] = F.avg(F.abs(F.col(f"{a}_diff")))
+    aggs |= ttr_aggs()
+    if events is None:
+        aggs |= {e: F.max(truth(F.col(e) > 0).cast("int"))
+                 for e in event_cols}
+    out = with_days_in_range(compared, scan=scan).groupBy(*WITHIN).agg(
+        *[e.alias(n) for n, e in aggs.items()])
     if events is not None:
-        flags = any_by(events, WITHIN, event_cols)
-        out = out.join(flags, WITHIN, "left").withColumn(
-            "any_event", F.greatest(*[F.col(e) for e in event_cols]))
+        out = out.join(any_by(events, WITHIN, event_cols), WITHIN, "left")
+    if event_cols:
+        out = out.withColumn("any_event", F.greatest(
+            F.lit(0), *[F.col(e) for e in event_cols]))
     return out
 
 
-def hierarchical_ttr(compared: DataFrame, ttr: DataFrame | None = None,
-                     scan=PLAIN) -> DataFrame:
+def hierarchical_ttr(compared: DataFrame, scan=PLAIN) -> DataFrame:
     """Visit rows with the time in range and length of their trajectory."""
-    ttr = time_in_range(compared, scan=scan) if ttr is None else ttr
-    return compared.join(ttr, WITHIN, "left")
+    rows = with_days_in_range(compared, scan=scan)
+    rows = scan.group(rows, WITHIN, __days=F.sum("__in"),
+                      __first=F.min(DAY), __last=F.max(DAY))
+    length = F.col("__last") - F.col("__first")
+    return rows.withColumns({"ttr": F.col("__days") / (length + 1),
+                             "length": length}) \
+        .drop("__in", "__days", "__first", "__last")
 
 
 def reasonable_share(df: DataFrame, action: str = "policy_action") -> DataFrame:
@@ -195,9 +227,12 @@ def at_agreement(dis: DataFrame, events,
     long = _unpivot_diffs(dis, ["ttr", "length", *events])
     levels = F.array(*[F.lit(t) for t in thresholds])
     met = F.filter(levels, lambda t: F.col("diff") < t)
-    hits = long.withColumn("threshold", F.explode(met))
-    total = dis.agg(F.count(F.lit(1)).alias("__all"))
+    # The NULL level counts all trajectories of an algorithm.
+    hits = long.withColumn("threshold", F.explode(
+        F.array_append(met, F.lit(None).cast("double"))))
     days = F.sum("length")
+    varies = F.col("threshold").isNotNull()
+    x, y = F.when(varies, F.col("diff")), F.when(varies, F.col("ttr"))
     out = hits.groupBy("algorithm", "threshold").agg(
         F.try_divide(F.sum(F.col("ttr") * F.col("length")), days)
         .alias("ttr"),
@@ -205,11 +240,12 @@ def at_agreement(dis: DataFrame, events,
           .alias(f"{e}_per_year") for e in events],
         F.count(F.lit(1)).alias("trajectories"),
         days.alias("total_days"),
-        F.when(F.sum("diff") > 0, -F.corr("diff", "ttr"))
-        .alias("consistency"))
-    return (out.crossJoin(F.broadcast(total))       # one row
-            .withColumn("share", F.col("trajectories") / F.col("__all"))
-            .drop("__all"))
+        F.when(F.sum(x) > 0, neg_corr(x, y)).alias("consistency"))
+    # At most nine rows per algorithm are left.
+    total = F.max(F.when(~varies, F.col("trajectories"))).over(
+        Window.partitionBy("algorithm"))
+    return (out.withColumn("share", F.col("trajectories") / total)
+            .filter(varies))
 
 
 def wis_trajectories(df: DataFrame, behaviour: str, policies: dict,

@@ -234,7 +234,11 @@ def product_by(df: DataFrame, keys, cols) -> DataFrame:
 
 
 def neg_corr(x, y) -> Column:
-    return -F.corr(col(x), col(y))
+    """Negated correlation, NULL where a side does not vary."""
+    both = col(x).isNotNull() & col(y).isNotNull()
+    a, b = F.when(both, col(x)), F.when(both, col(y))
+    return -F.try_divide(F.covar_pop(a, b),
+                         F.stddev_pop(a) * F.stddev_pop(b))
 
 
 def above_percentile(df: DataFrame, column: str, p: float,

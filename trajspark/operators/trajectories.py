@@ -493,22 +493,34 @@ def mark_in_range(spans: DataFrame, lo: float, hi: float) -> DataFrame:
                               "__b": F.when(fits, y)}).drop("__x", "__y")
 
 
+def with_days_in_range(df: DataFrame, keys=KEYS, lo: float = 2.0,
+                       hi: float = 3.0, value: str = "value",
+                       scan=PLAIN) -> DataFrame:
+    """Add `__in`, the days in range that a row accounts for: those after it
+    up to the next row, and its own day where it opens the trajectory."""
+    given = df.columns
+    spans = mark_in_range(intervals(df, keys, value, scan), lo, hi)
+    after = F.coalesce(F.col("__b") - F.col("__a") + 1, F.lit(0))
+    spans = scan.add(spans, [*keys, TRAJ], [DAY], __prev=lag(DAY))
+    own = F.when(F.col("__prev").isNull(),
+                 in_range(F.col(value), lo, hi).cast("int")).otherwise(0)
+    return spans.select(*given, (after + own).alias("__in"))
+
+
+def ttr_aggs() -> dict:
+    """Aggregates over a trajectory of rows with `__in`."""
+    length = F.max(DAY) - F.min(DAY)
+    return {"ttr": F.sum("__in") / (length + 1), "length": length}
+
+
 def time_in_range(df: DataFrame, keys=KEYS, lo: float = 2.0, hi: float = 3.0,
                   value: str = "value", scan=PLAIN) -> DataFrame:
     """Share of days in range per trajectory, days without a value counting
     as out. Works on visits: no day is materialised."""
-    df = df.select(*keys, TRAJ, DAY, value)
-    spans = mark_in_range(intervals(df, keys, value, scan), lo, hi)
-    inside = F.coalesce(F.col("__b") - F.col("__a") + 1, F.lit(0))
-    return (spans.groupBy(*keys, TRAJ).agg(
-        F.sum(inside).alias("__in"), F.min(DAY).alias("__first"),
-        F.max(DAY).alias("__last"),
-        F.min_by(in_range(F.col(value), lo, hi).cast("int"), DAY)
-        .alias("__start"))
-        .select(*keys, TRAJ,
-                ((F.col("__in") + F.col("__start"))
-                 / (F.col("__last") - F.col("__first") + 1)).alias("ttr"),
-                (F.col("__last") - F.col("__first")).alias("length")))
+    rows = with_days_in_range(df.select(*keys, TRAJ, DAY, value), keys, lo,
+                              hi, value, scan)
+    return rows.groupBy(*keys, TRAJ).agg(
+        *[e.alias(n) for n, e in ttr_aggs().items()])
 
 
 def trajectory_stats(df: DataFrame, keys=KEYS) -> DataFrame:

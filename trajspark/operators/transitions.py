@@ -19,6 +19,7 @@ from trajspark.operators.trajectories import (DAY, KEYS, ORDER, TRAJ,
                                               intervals, mark_in_range,
                                               min_observed)
 from trajspark.params import Params
+from trajspark.session import cut_lineage
 
 WITHIN = [*KEYS, TRAJ]
 
@@ -159,7 +160,8 @@ def build_transitions(df: DataFrame, params: Params = Params(),
     Columns: keys, k, option, reward, not_done, sample_prob, the state and
     the next state (prefix `next_`). Rows with anything missing are left out.
     """
-    rows = eligible_rows(df, params, min_length, scan)
+    # The fit and the features read these rows several times.
+    rows = cut_lineage(eligible_rows(df, params, min_length, scan))
     fitted = fitted or StateBuilder(params).fit(rows, scan)
     names = fitted.state_names()
     state = fitted.transform(rows, scan)

@@ -77,15 +77,12 @@ DIS = f"""{CMP}, {TTR}, dm AS (SELECT trial, subjid, trajid, {", ".join(
 
 
 def compared(spark, sf, extra=(), subset=None) -> DataFrame:
-    d = T(spark, sf)
-    means = tn.option_means(tn.observed_decision(d))
-    return ev.compare_policies(d, stand_in_policy(), means, subset=subset,
-                               extra=extra)
+    return ev.compare_policies(T(spark, sf), stand_in_policy(),
+                               subset=subset, extra=extra)
 
 
 def disagreements(spark, sf) -> DataFrame:
-    c = compared(spark, sf, extra=ADV)
-    return ev.disagreement(c, c, ADV)
+    return ev.disagreement(compared(spark, sf, extra=ADV), ADV)
 
 
 def finite_only(df: DataFrame, cols) -> DataFrame:
@@ -243,8 +240,7 @@ _LONG = " UNION ALL ".join(
  SELECT *, CASE WHEN sd > 0 AND nd > 1 AND nt > 1 THEN -r END AS consistency
  FROM ag""")
 def _(spark, sf):
-    out = ev.at_agreement(disagreements(spark, sf), ADV)
-    return out.withColumn("consistency", fc.nan_to_null("consistency"))
+    return ev.at_agreement(disagreements(spark, sf), ADV)
 
 
 @query("agreement_associations", "algorithm:s association:d at_agreement:d",
@@ -884,7 +880,7 @@ def _(spark, sf):
 
 _TH = f""", t1 AS (SELECT *, lead(dose) OVER {q.WK} AS nd, lead(value) OVER
  {q.WK} AS nv FROM traj), t2 AS (SELECT *, CASE WHEN dose <> 0 THEN nd / dose
- WHEN nd > 0 THEN 1e300 END AS ratio, nv - value AS ch FROM t1),
+ WHEN dose = 0 AND nd > 0 THEN 1e300 END AS ratio, nv - value AS ch FROM t1),
  th AS (SELECT trial, CASE WHEN value > 0 AND value <= 1 THEN '< 1'
  WHEN value > 1 AND value <= 2 THEN '[1, 2)' WHEN value > 2 AND value <= 3
  THEN '[2, 3]' WHEN value > 3 AND value <= 4 THEN '(3, 4]' WHEN value > 4
@@ -967,7 +963,7 @@ def _(spark, sf):
         "ttr": F.col("ttr") * 100,
         "centre_algorithm_consistency":
             F.col("centre_algorithm_consistency") * 10})
-    return rg.random_intercept(d, "ttr", _XS[:5], "centre", max_iter=30)
+    return rg.random_intercept(d, "ttr", _XS[:5], "centre")
 
 
 @query("cox_ph", None)

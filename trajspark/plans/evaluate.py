@@ -73,7 +73,7 @@ def evaluate_policy(df: DataFrame, action, events, prefix: str = "",
                              F.lit(f"_value_ci_{side}")).alias("metric"),
                     F.col(side).alias("value")))
     if all_metrics or tests:
-        dis = cut_lineage(ev.disagreement(compared, compared, events))
+        dis = cut_lineage(ev.disagreement(compared, events))
     if all_metrics:
         c = ev.classification(compared)
         for tag in ("", "_dir"):

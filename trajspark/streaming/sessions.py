@@ -20,7 +20,9 @@ def sessions(df: DataFrame, key: str, ts: str, hours: float,
         d = scan.add(d, [key], [ts, tiebreak], session=running_sum("__cut"))
         return d.drop("__p", "__cut")
 
-    rows = by_key(split, [df.select(key, ts, tiebreak, value)], [key])
+    rows = df.select(key, F.col(ts).cast("timestamp").alias(ts), tiebreak,
+                     value)
+    rows = by_key(split, [rows], [key])
     return rows.groupBy(key, "session").agg(
         F.count(F.lit(1)).alias("events"), F.min(ts).alias("start"),
         F.max(ts).alias("end"), F.sum(value).alias("total"))
@@ -34,7 +36,8 @@ def stream_sessions(stream: DataFrame, key: str, ts: str, hours: int,
     passed its end. A session window closes at the gap itself, so two events
     exactly `hours` apart fall into two sessions here."""
     w = F.session_window(F.col(ts), f"{hours} hours")
-    return (stream.withWatermark(ts, watermark).groupBy(key, w)
+    return (stream.withColumn(ts, F.col(ts).cast("timestamp"))
+            .withWatermark(ts, watermark).groupBy(key, w)
             .agg(F.count(F.lit(1)).alias("events"),
                  F.sum(value).alias("total"))
             .select(key, F.col("session_window.start").alias("start"),
