@@ -40,8 +40,8 @@ def typed(df: DataFrame, columns: str) -> DataFrame:
     for item in columns.split():
         name, kind = item.split(":")
         c = F.col(name)
-        if kind == "d":
-            c = F.round(c.cast("double"), 6) + F.lit(0.0)
+        if kind in q.DIGITS:
+            c = F.round(c.cast("double"), q.DIGITS[kind]) + F.lit(0.0)
         else:
             c = c.cast({"l": "long", "s": "string"}[kind])
         out.append(c.alias(name))
@@ -895,7 +895,7 @@ _SPAN = f"""sp1 AS (SELECT *, lead(study_day) OVER {q.WK} AS nd,
  coalesce(nd, study_day + 1))) AS d FROM sp2))"""
 
 
-@query("interpolate_daily", "trial:s subjid:l trajid:l study_day:l value:d",
+@query("interpolate_daily", "trial:s subjid:l trajid:l study_day:l value:e",
        q.W_T + f""", {_SPAN} SELECT trial, subjid, trajid, d AS study_day,
  x AS value FROM days""")
 def _(spark, sf):
@@ -1046,7 +1046,7 @@ _REW = f"""{_SPAN}, evs AS (SELECT trial, subjid, trajid, study_day, CASE WHEN
  GROUP BY ALL)"""
 
 
-@query("transition_reward", "trial:s subjid:l trajid:l study_day:l reward:d",
+@query("transition_reward", "trial:s subjid:l trajid:l study_day:l reward:e",
        q.W_T + f""", {_REW} SELECT t.trial, t.subjid, t.trajid, t.study_day,
  reward FROM traj t LEFT JOIN rw ON t.trial = rw.trial AND t.subjid =
  rw.subjid AND t.trajid = rw.trajid AND t.study_day = rw.study_day""")

@@ -250,13 +250,19 @@ def upto(step: str) -> str:
     return f"WITH {V}, {EV}, " + ", ".join(CHAIN[:names.index(step) + 1]) + " "
 
 
+# Decimals by column kind. Half of a power of 0.99 ends in a 5 right after an
+# even number of decimals, so discounted rewards are rounded at an odd one.
+DIGITS = {"d": 6, "e": 7}
+
+
 def typed(sql: str, columns: str) -> str:
     """Cast and round the result to the declared columns."""
     out = []
     for item in columns.split():
         name, kind = item.split(":")
-        if kind == "d":
-            out.append(f"round(CAST({name} AS DOUBLE), 6) + 0.0 AS {name}")
+        if kind in DIGITS:
+            out.append(f"round(CAST({name} AS DOUBLE), {DIGITS[kind]}) + 0.0 "
+                       f"AS {name}")
         else:
             t = {"l": "BIGINT", "s": "VARCHAR"}[kind]
             out.append(f"CAST({name} AS {t}) AS {name}")
