@@ -143,7 +143,7 @@ def disagreement(compared: DataFrame, event_cols=(),
 def hierarchical_ttr(compared: DataFrame, scan=PLAIN) -> DataFrame:
     """Visit rows with the time in range and length of their trajectory."""
     rows = with_days_in_range(compared, scan=scan)
-    rows = scan.group(rows, WITHIN, __days=F.sum("__in"),
+    rows = scan.group(rows, WITHIN, ORDER, __days=F.sum("__in"),
                       __first=F.min(DAY), __last=F.max(DAY))
     length = F.col("__last") - F.col("__first")
     return rows.withColumns({"ttr": F.col("__days") / (length + 1),
@@ -254,7 +254,7 @@ def wis_trajectories(df: DataFrame, behaviour: str, policies: dict,
     """Importance weight of each policy and discounted return by trajectory.
     `policies` maps names to the column with the probability of the observed
     option."""
-    df = scan.group(df, WITHIN, __start=F.min(DAY))
+    df = scan.group(df, WITHIN, ORDER, __start=F.min(DAY))
     t = F.col(DAY) - F.col("__start")
     return df.groupBy(*WITHIN).agg(
         *[F.product(F.col(c) / F.col(behaviour)).alias(f"{n}_weight")

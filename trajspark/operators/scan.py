@@ -89,10 +89,22 @@ class PlainScan:
             cols[name] = c
         return df.withColumns(cols)
 
-    def group(self, df: DataFrame, keys, **aggs: Column) -> DataFrame:
+    def group(self, df: DataFrame, keys, order=(), **aggs: Column
+              ) -> DataFrame:
+        """Aggregates of a key on each of its rows. `order` changes no value;
+        it names the sort that neighbouring scans need anyway, so that one
+        sort serves all of them."""
         w = Window.partitionBy(*keys)
+        if order:
+            w = w.orderBy(*order).rowsBetween(Window.unboundedPreceding,
+                                              Window.unboundedFollowing)
         return df.withColumns({n: a.over(w) for n, a in aggs.items()})
 
+    def cluster(self, df: DataFrame, keys) -> DataFrame:
+        """Bring keys together once, ahead of aggregates and windows that
+        would otherwise each ask for their own shuffle."""
+        return df.repartition(*keys)
+
 
 class ChunkedScan:
     """The same columns with a key spread over range-partitioned chunks."""
@@ -213,7 +225,12 @@ class ChunkedScan:
         keep = [c for c in given if c not in out]
         return joined.withColumns(out).select(*keep, *out)
 
-    def group(self, df: DataFrame, keys, **aggs: Column) -> DataFrame:
+    def cluster(self, df: DataFrame, keys) -> DataFrame:
+        """A hot key is never gathered."""
+        return df
+
+    def group(self, df: DataFrame, keys, order=(), **aggs: Column
+              ) -> DataFrame:
         df = cut_lineage(df)
         per = df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()])
         return df.drop(*aggs).join(per, list(keys), "left")

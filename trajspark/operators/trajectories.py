@@ -20,9 +20,12 @@ KEYS = ("trial", "subjid")
 ORDER = ("study_day",)
 DAY = "study_day"
 TRAJ = "trajid"
+# Trajectory numbers rise with the day, so this orders a subject as the day
+# does, and the same sort serves scans by subject and by trajectory.
+NESTED = (TRAJ, DAY)
 
 
-def renumber(df: DataFrame, keys=KEYS, order=ORDER, group: str = TRAJ,
+def renumber(df: DataFrame, keys=KEYS, order=NESTED, group: str = TRAJ,
              scan=PLAIN) -> DataFrame:
     """Number the groups of a key 0, 1, ... in row order."""
     df = scan.add(df, keys, order, __before=lag(group))
@@ -101,11 +104,12 @@ def remaining_count(df: DataFrame, keys, order, column: str, out: str,
     return scan.add(df, keys, order, **{out: remaining_sum(known)})
 
 
-def trim_to_observed(df: DataFrame, keys=KEYS, value: str = "value",
+def trim_to_observed(df: DataFrame, keys=KEYS, order=(), value: str = "value",
                      scan=PLAIN) -> DataFrame:
     """Rows between the first and last known value of the key."""
     seen = F.when(F.col(value).isNotNull(), F.col(DAY))
-    df = scan.group(df, keys, __first=F.min(seen), __last=F.max(seen))
+    df = scan.group(df, keys, order, __first=F.min(seen),
+                    __last=F.max(seen))
     return (df.filter(F.col(DAY).between(F.col("__first"), F.col("__last")))
             .drop("__first", "__last"))
 
@@ -117,7 +121,7 @@ def drop_groups_with(df: DataFrame, keys, cond: Column,
     return df.filter(F.col("__bad") == 0).drop("__bad")
 
 
-def first_event_between(df: DataFrame, keys=KEYS, order=ORDER,
+def first_event_between(df: DataFrame, keys=KEYS, order=NESTED,
                         value: str = "value", scan=PLAIN) -> DataFrame:
     """Of the event rows between two measurements keep the first."""
     known = F.col(value).isNotNull()
@@ -125,7 +129,7 @@ def first_event_between(df: DataFrame, keys=KEYS, order=ORDER,
     return df.filter(known | truth(F.col("__was"))).drop("__was")
 
 
-def drop_far_events(df: DataFrame, events, keys=KEYS, order=ORDER,
+def drop_far_events(df: DataFrame, events, keys=KEYS, order=NESTED,
                     max_gap: int = 90, value: str = "value",
                     scan=PLAIN) -> DataFrame:
     """Remove unmeasured event rows too long after the previous row."""
@@ -135,10 +139,10 @@ def drop_far_events(df: DataFrame, events, keys=KEYS, order=ORDER,
     return df.filter(~far).drop("__gap")
 
 
-def drop_short(df: DataFrame, keys=KEYS, order=ORDER, min_rows: int = 2,
+def drop_short(df: DataFrame, keys=KEYS, order=NESTED, min_rows: int = 2,
                scan=PLAIN) -> DataFrame:
     """Remove trajectories with fewer rows, then renumber."""
-    df = scan.group(df, [*keys, TRAJ], __rows=F.count(F.lit(1)))
+    df = scan.group(df, [*keys, TRAJ], [DAY], __rows=F.count(F.lit(1)))
     df = df.filter(F.col("__rows") >= min_rows).drop("__rows")
     return renumber(df, keys, order, scan=scan)
 
@@ -146,7 +150,7 @@ def drop_short(df: DataFrame, keys=KEYS, order=ORDER, min_rows: int = 2,
 def min_observed(df: DataFrame, keys=KEYS, value: str = "value", n: int = 1,
                  scan=PLAIN) -> DataFrame:
     """Trajectories with more than n known values."""
-    df = scan.group(df, [*keys, TRAJ], __known=F.count(value))
+    df = scan.group(df, [*keys, TRAJ], [DAY], __known=F.count(value))
     return df.filter(F.col("__known") > n).drop("__known")
 
 
@@ -157,7 +161,7 @@ def drop_incomplete_events(df: DataFrame, events, keys=KEYS,
     dose is missing, unless the row is the last of its trajectory."""
     if not events:
         return df
-    df = scan.group(df, [*keys, TRAJ], __last=F.max(DAY))
+    df = scan.group(df, [*keys, TRAJ], [DAY], __last=F.max(DAY))
     gone = ((F.col(DAY) != F.col("__last")) & any_of(events)
             & (F.col(value).isNull() | F.col(dose).isNull()))
     return df.filter(~gone).drop("__last")
@@ -181,6 +185,7 @@ def split_at_flag(df: DataFrame, flag: str, reason, keys=KEYS,
     nested = TRAJ in df.columns
     within = [*keys, TRAJ] if nested else keys
     df = scan.add(df, within, order, __prior=lag(f), __after=lead(f))
+    rows, order = order, ([TRAJ, *order] if nested else order)
     start = (F.col("__prior").isNull() | F.col("__prior")) & ~f
     end = (F.col("__after").isNull() | F.col("__after")) & ~f
     if nested:
@@ -193,19 +198,19 @@ def split_at_flag(df: DataFrame, flag: str, reason, keys=KEYS,
                   __e=running_sum(F.col("__end").cast("long")))
     df = df.filter((F.col("__s") >= F.col("__e"))
                    & ~(F.col("__start") & F.col("__end")) & ~f)
-    df = (df.withColumn(TRAJ, F.col("__s"))
-          .drop("__flag", "__prior", "__after", "__tp", "__tn", "__start",
-                "__end", "__s", "__e"))
-    df = renumber(df, keys, order, scan=scan)
-    return _give_reason(df, reason, keys, observed, scan)
+    df = df.drop("__flag", "__prior", "__after", "__tp", "__tn", "__start",
+                 "__end", "__e")
+    df = renumber(df, keys, order, "__s", scan)
+    df = df.drop(TRAJ).withColumnRenamed("__s", TRAJ)
+    return _give_reason(df, reason, keys, rows, observed, scan)
 
 
-def _give_reason(df, reason, keys, observed, scan) -> DataFrame:
+def _give_reason(df, reason, keys, order, observed, scan) -> DataFrame:
     if "termination" not in df.columns:
         df = df.withColumn("termination", F.lit(None).cast("string"))
     seen = F.lit(True) if observed is None else truth(F.col(observed) == "Y")
     known = F.lit(True) if observed is None else F.col(observed).isNotNull()
-    df = scan.group(df, [*keys, TRAJ],
+    df = scan.group(df, [*keys, TRAJ], order,
                     __last=F.max(F.when(seen, F.col(DAY))),
                     __set=F.count("termination"))
     last = truth((F.col(DAY) == F.col("__last")) & known)
@@ -217,7 +222,7 @@ def _give_reason(df, reason, keys, observed, scan) -> DataFrame:
             .drop("__last", "__set"))
 
 
-def split_at_events(df: DataFrame, events, keys=KEYS, order=ORDER,
+def split_at_events(df: DataFrame, events, keys=KEYS, order=NESTED,
                     scan=PLAIN) -> DataFrame:
     """A row with a splitting event closes its trajectory."""
     keys, order = list(keys), list(order)
@@ -225,12 +230,13 @@ def split_at_events(df: DataFrame, events, keys=KEYS, order=ORDER,
     df = scan.add(df, keys, order,
                   __cum=running_sum(F.col("__ev").cast("long")))
     df = df.withColumn(
-        TRAJ, F.col(TRAJ) + F.col("__cum") - F.col("__ev").cast("long"))
-    df = renumber(df.drop("__cum"), keys, order, scan=scan)
+        "__t", F.col(TRAJ) + F.col("__cum") - F.col("__ev").cast("long"))
+    df = renumber(df.drop("__cum"), keys, order, "__t", scan)
+    df = df.drop(TRAJ).withColumnRenamed("__t", TRAJ)
     df = df.withColumn("termination",
                        F.when(F.col("__ev"), F.lit(P.ADVERSE_EVENT))
                        .otherwise(F.col("termination"))).drop("__ev")
-    df = scan.group(df, [*keys, TRAJ], __last=F.max(DAY),
+    df = scan.group(df, [*keys, TRAJ], [DAY], __last=F.max(DAY),
                     __set=F.count("termination"))
     extra = (F.col(DAY) != F.col("__last")) & (F.col("__set") > 1)
     return (df.withColumn("termination",
@@ -243,7 +249,9 @@ def split_at_gaps(df: DataFrame, keys=KEYS, order=ORDER, max_gap: int = 90,
     """Start a new trajectory after more than `max_gap` days without a row.
     Without trajectories the whole history of a key counts as one."""
     keys, order = list(keys), list(order)
-    if TRAJ not in df.columns:
+    if TRAJ in df.columns:
+        order = [TRAJ, *order]
+    else:
         df = df.withColumn(TRAJ, F.lit(0).cast("long"))
     if "termination" not in df.columns:
         df = df.withColumn("termination", F.lit(None).cast("string"))
@@ -261,7 +269,7 @@ def split_at_gaps(df: DataFrame, keys=KEYS, order=ORDER, max_gap: int = 90,
             .drop("__tp", "__dp", "__gap", "__no", "__next"))
 
 
-def cut_unintuitive(df: DataFrame, keys=KEYS, order=ORDER,
+def cut_unintuitive(df: DataFrame, keys=KEYS, order=(DAY,),
                     value: str = "value", dose: str = "dose",
                     scan=PLAIN) -> DataFrame:
     """Cut where a high value was followed by a raised dose, or a low value
@@ -295,7 +303,8 @@ def day_aggregate(events: DataFrame, event_cols, keys=KEYS,
 
 def collapse_days(df: DataFrame, keys, sums, how: str = "sum") -> DataFrame:
     """One row per key, trajectory and day. Numbers add up by default, NULL
-    when all are NULL; of several reasons the last in the alphabet stays."""
+    when all are NULL; of several reasons the last in the alphabet stays.
+    Rows clustered by key beforehand are not shuffled again."""
     f = F.sum if how == "sum" else F.avg
     aggs = [f(c).alias(c) for c in sums]
     if "termination" in df.columns:
@@ -330,8 +339,8 @@ def merge_events(visits: DataFrame, events: DataFrame, event_cols, keys=KEYS,
             .withColumn(TRAJ, F.col("__t")).drop("__t"))
     sums = ["value", "dose", "interrupt_flag", "rankin", *event_cols]
     merged = collapse_days(both, keys, sums)
-    merged = first_event_between(merged, keys, ORDER, scan=scan)
-    return drop_far_events(merged, event_cols, keys, ORDER, max_gap,
+    merged = first_event_between(merged, keys, scan=scan)
+    return drop_far_events(merged, event_cols, keys, max_gap=max_gap,
                            scan=scan)
 
 
@@ -344,7 +353,7 @@ def impute(df: DataFrame, event_cols, keys=KEYS, order=ORDER,
     event = any_of(event_cols)
     df = df.withColumns({"__nov": F.col(value).isNull() & event,
                          "__nod": F.col(dose).isNull() & event})
-    df = fill_backward(df, keys, order, [dose], scan)
+    df = fill_backward(df, keys, [TRAJ, *order], [dose], scan)
     cols = [value, dose, *[c for c in others if c in df.columns]]
     df = fill_forward(df, [*keys, TRAJ], order, cols, scan)
     df = df.filter(F.col(value).isNotNull() & F.col(dose).isNotNull())

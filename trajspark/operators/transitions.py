@@ -105,7 +105,7 @@ def done_flag(df: DataFrame, value: str = "value", dose: str = "dose",
     """1 when the next row is the last one of the trajectory with both value
     and dose."""
     full = F.col(value).isNotNull() & F.col(dose).isNotNull()
-    df = scan.group(df, WITHIN, __last=F.max(F.when(full, F.col(DAY))))
+    df = scan.group(df, WITHIN, ORDER, __last=F.max(F.when(full, F.col(DAY))))
     mark = F.coalesce((F.col(DAY) == F.col("__last")).cast("int"), F.lit(0))
     df = scan.add(df.withColumn("__mark", mark), WITHIN, ORDER,
                   done=lead("__mark"))
@@ -124,7 +124,7 @@ def sample_weight(df: DataFrame, mode: str = "event", factor: float = 1.0,
         w = counts.crossJoin(F.broadcast(top)).select(
             "option", (F.col("__top") / F.col("__n")).alias("sample_weight"))
         return df.join(F.broadcast(w), "option", "left")
-    df = scan.group(df, WITHIN, __any=F.sum(row_sum(events)))
+    df = scan.group(df, WITHIN, ORDER, __any=F.sum(row_sum(events)))
     return (df.withColumn("sample_weight", F.when(F.col("__any") > 0,
                                            F.lit(float(factor)))
                           .otherwise(1.0)).drop("__any"))

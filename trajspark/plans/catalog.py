@@ -72,7 +72,8 @@ def with_flags(visits: DataFrame) -> DataFrame:
 
 def base(visits: DataFrame, scan=PLAIN) -> DataFrame:
     """Observed visits, one row per day, cut at gaps."""
-    rows = with_flags(visits.filter(F.col("value_type") == "Y"))
+    rows = scan.cluster(visits.filter(F.col("value_type") == "Y"), ["subjid"])
+    rows = with_flags(rows)
     rows = tr.collapse_days(rows, KEYS, ["value", "dose", *q.FLAG_RULES])
     return tr.split_at_gaps(rows, KEYS, scan=scan).drop("termination")
 

@@ -39,11 +39,11 @@ def complete_baseline(baseline: DataFrame,
 
 
 def mark_trial_end(visits: DataFrame, scan=PLAIN) -> DataFrame:
-    visits = tr.trim_to_observed(visits, KEYS, scan=scan)
+    visits = tr.trim_to_observed(visits, KEYS, RAW_ORDER, scan=scan)
     seen = truth(F.col("value_type") == "Y")
     last = F.max(F.when(seen & F.col("value").isNotNull(),
                         F.col("study_day")))
-    visits = scan.group(visits, KEYS, __last=last)
+    visits = scan.group(visits, KEYS, RAW_ORDER, __last=last)
     return (visits.withColumn("termination", F.when(
         seen & (F.col("study_day") == F.col("__last")), P.TRIAL_END))
         .drop("__last"))
@@ -173,13 +173,13 @@ def build_trajectories(visits: DataFrame, events: DataFrame,
     does all of it; subjects too large for a task take the chunked path."""
     baseline = complete_baseline(baseline, params)
     events = indicators(events, "event_name", P.EVENT_NAMES, drop=True)
-    # One partitioning by subject serves the joins and every window below.
-    visits = (visits.filter(F.col("study_day") >= 0).repartition("subjid")
-              .join(baseline.select("subjid"), "subjid", "left_semi"))
-    events = events.repartition("subjid")
+    ids = baseline.select("subjid")
 
     def per_subject(scan, v, e):
-        v = mark_trial_end(v, scan)
+        # One partitioning by subject serves the joins and every window.
+        v = scan.cluster(v.filter(F.col("study_day") >= 0), ["subjid"])
+        v = mark_trial_end(v.join(ids, "subjid", "left_semi"), scan)
+        e = scan.cluster(e, ["subjid"])
         return subject_trajectories(v, e, params, scan, upto)
 
     out = by_key(per_subject, [visits, events], KEYS, hot_rows)
