@@ -10,7 +10,8 @@ from trajspark.functions.columns import (constant_policy, cut, decision_code,
                                          in_range, poisson_one, rule_policy,
                                          truth)
 from trajspark.operators.relational import any_by, keep_ids, neg_corr
-from trajspark.operators.scan import PLAIN, lag, lead, running_sum
+from trajspark.operators.scan import (PLAIN, add_by_key, lag, lead,
+                                      running_sum)
 from trajspark.operators.trajectories import (DAY, KEYS, ORDER, TRAJ,
                                               ttr_aggs, with_days_in_range)
 from trajspark.operators.transitions import observed_decision
@@ -390,19 +391,20 @@ def macro_f1(df: DataFrame, pred: Column, y: str = "y") -> DataFrame:
 
 
 def auroc_ovr(df: DataFrame, p: str = "p", y: str = "y",
-              scan=PLAIN) -> DataFrame:
+              scan=None) -> DataFrame:
     """Macro average of one-vs-rest areas under the curve.
 
     Scores are counted first, then a running count of negatives over distinct
-    scores gives the rank sums. Pass a chunked scan for large tables: the key
-    is the class, of which there are few.
+    scores gives the rank sums. The key is the class, of which there are few,
+    so a large table takes the chunked scan.
     """
     rows = df.select(F.col(y).alias("y"), F.posexplode(p)
                      .alias("cls", "score"))
     is_it = (F.col("y") == F.col("cls")).cast("long")
     counts = rows.groupBy("cls", "score").agg(
         F.sum(is_it).alias("pos"), F.sum(1 - is_it).alias("neg"))
-    run = scan.add(counts, ["cls"], ["score"], upto=running_sum("neg"))
+    run = add_by_key(counts, ["cls"], ["score"], scan,
+                     upto=running_sum("neg"))
     below = F.col("upto") - F.col("neg")
     per = run.groupBy("cls").agg(
         (F.sum(F.col("pos") * (below + F.col("neg") / 2))
@@ -410,7 +412,7 @@ def auroc_ovr(df: DataFrame, p: str = "p", y: str = "y",
     return per.agg(F.avg("auc").alias("auroc"))
 
 
-def spearman(df: DataFrame, a: str, b: str, scan=PLAIN) -> DataFrame:
+def spearman(df: DataFrame, a: str, b: str, scan=None) -> DataFrame:
     """Correlation of average ranks. Ranks are worked out per distinct value;
     pairs are counted before they are joined to them."""
     pairs = df.select(F.col(a).alias("a"), F.col(b).alias("b")).na.drop() \
@@ -431,6 +433,6 @@ def spearman(df: DataFrame, a: str, b: str, scan=PLAIN) -> DataFrame:
 
 def _ranks(counts: DataFrame, c: str, out: str, scan) -> DataFrame:
     counts = counts.withColumn("__all", F.lit(1))
-    run = scan.add(counts, ["__all"], [c], __upto=running_sum("n"))
+    run = add_by_key(counts, ["__all"], [c], scan, __upto=running_sum("n"))
     return run.select(c, (F.col("__upto") - F.col("n")
                           + (F.col("n") + 1) / 2).alias(out))

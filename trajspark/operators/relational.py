@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajspark.functions.columns import col, finite, truth, yes_no
-from trajspark.operators.scan import PLAIN, lag, running_sum
+from trajspark.operators.scan import PLAIN, add_by_key, lag, running_sum
 
 
 def require_columns(df: DataFrame, cols) -> DataFrame:
@@ -364,7 +364,7 @@ def truncate_after(df: DataFrame, ends: DataFrame, key, order: str,
             .drop(end))
 
 
-def average_rank(df: DataFrame, column: str, by=(), scan=PLAIN) -> DataFrame:
+def average_rank(df: DataFrame, column: str, by=(), scan=None) -> DataFrame:
     """Average rank of each distinct value with its count. Ranks come from a
     running count over distinct values."""
     by = list(by)
@@ -372,7 +372,7 @@ def average_rank(df: DataFrame, column: str, by=(), scan=PLAIN) -> DataFrame:
     keys = by or ["__all"]
     if not by:
         counts = counts.withColumn("__all", F.lit(1))
-    out = scan.add(counts, keys, [column], __upto=running_sum("n"))
+    out = add_by_key(counts, keys, [column], scan, __upto=running_sum("n"))
     out = out.withColumn("rank", F.col("__upto") - F.col("n")
                          + (F.col("n") + 1) / 2)
     return out.select(*by, column, "n", "rank")

@@ -3,8 +3,6 @@ cohort summaries, audits and heatmap data."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,16 +13,16 @@ from trajspark.functions.columns import (any_of, cut, decision_code, finite,
                                          relative_change, truth, value_bin)
 from trajspark.operators.relational import (above_percentile, any_by,
                                             any_medication, complete_grid,
-                                            describe_by, event_rates,
-                                            first_record, mean_count,
+                                            describe_by, first_record,
+                                            mean_count,
                                             outer_coalesce, pivot,
                                             share_within, star_join,
                                             truncate_after, weighted_mean,
                                             with_group_mean)
 from trajspark.operators.scan import PLAIN, lead
 from trajspark.operators.trajectories import (DAY, KEYS, ORDER, TRAJ,
-                                              fill_distance, time_in_range,
-                                              trailing_count)
+                                              fill_distance, trailing_count,
+                                              ttr_aggs, with_days_in_range)
 
 WITHIN = [*KEYS, TRAJ]
 
@@ -154,35 +152,15 @@ def control_tte_table(patients: DataFrame, meds: DataFrame,
 
 # Cohort summaries.
 
-def cohort_summary(df: DataFrame, events, by: str = "trial",
-                   measures=("age", "weight"), shares=("sex", "diabetes"),
-                   levels: dict | None = None, scan=PLAIN) -> DataFrame:
-    """Numbers by trial: rows, subjects, trajectories, lengths, event rates,
-    time in range, and means and shares of the subjects' first records.
-
-    `levels` lists categories whose levels are reported as shares.
-    """
-    by = [by]
-    span = df.groupBy(*WITHIN).agg(
-        (F.max(DAY) - F.min(DAY)).alias("__len"))
-    # Measurements are counted per subject, as the published table does.
-    known = df.groupBy(*KEYS).agg(F.count("value").alias("__known"))
-    parts = [
-        df.groupBy(*by).agg(F.count(F.lit(1)).alias("pairs"),
-                            F.count_distinct("subjid").alias("subjects")),
-        span.groupBy(*by).agg(
-            F.count(F.lit(1)).alias("trajectories"),
-            F.avg("__len").alias("length_mean"),
-            F.stddev_samp("__len").alias("length_sd")),
-        known.groupBy(*by).agg(F.avg("__known").alias("values_mean"),
-                               F.stddev_samp("__known").alias("values_sd")),
-        event_rates(df, by, "subjid", events, [TRAJ], DAY).select(
-            *by, *[f"{e}_per_100y" for e in events]),
-        time_in_range(df, scan=scan).groupBy(*by).agg(
-            (F.avg("ttr") * 100).alias("ttr_pct")),
-    ]
+def baseline_summary(df: DataFrame, by: str = "trial", keys=KEYS,
+                     order=(DAY,), measures=("age", "weight"),
+                     shares=("sex", "diabetes"),
+                     levels: dict | None = None) -> DataFrame:
+    """Means and shares over the first record of each subject. `levels` lists
+    categories whose levels are reported as shares."""
     cols = [*measures, *shares, *(levels or {})]
-    first = first_record(df.select(*KEYS, DAY, *cols), list(KEYS), [DAY])
+    first = first_record(df.select(*keys, *order, *cols), list(keys),
+                         list(order))
     aggs = []
     for m in measures:
         aggs += [F.avg(m).alias(f"{m}_mean"),
@@ -193,8 +171,37 @@ def cohort_summary(df: DataFrame, events, by: str = "trial",
         aggs += [(F.avg(truth(F.col(c) == v).cast("double")) * 100)
                  .alias(f"{c}_{v.lower().replace(' ', '_')}_pct")
                  for v in names]
-    parts.append(first.groupBy(*by).agg(*aggs))
-    return reduce(lambda a, b: a.join(b, by), parts)
+    return first.groupBy(by).agg(*aggs)
+
+
+def cohort_summary(df: DataFrame, events, by: str = "trial",
+                   measures=("age", "weight"), shares=("sex", "diabetes"),
+                   levels: dict | None = None, scan=PLAIN) -> DataFrame:
+    """Numbers by trial: rows, subjects, trajectories, lengths, event rates,
+    time in range, and the baseline of the subjects."""
+    rows = with_days_in_range(df, scan=scan)
+    per_traj = rows.groupBy(*WITHIN).agg(
+        F.count(F.lit(1)).alias("__rows"), F.count("value").alias("__known"),
+        *[e.alias(f"__{n}") for n, e in ttr_aggs().items()],
+        *[F.sum(e).alias(e) for e in events])
+    years = F.sum("__length") / P.DAYS_PER_YEAR
+    per_trial = per_traj.groupBy(by).agg(
+        F.sum("__rows").alias("pairs"),
+        F.count(F.lit(1)).alias("trajectories"),
+        F.avg("__length").alias("length_mean"),
+        F.stddev_samp("__length").alias("length_sd"),
+        (F.avg("__ttr") * 100).alias("ttr_pct"),
+        *[F.try_divide(F.sum(e) * 100, years).alias(f"{e}_per_100y")
+          for e in events])
+    # Measurements are counted per subject, as the published table does.
+    per_subject = per_traj.groupBy(*KEYS).agg(
+        F.sum("__known").alias("__known")).groupBy(by).agg(
+        F.count(F.lit(1)).alias("subjects"),
+        F.avg("__known").alias("values_mean"),
+        F.stddev_samp("__known").alias("values_sd"))
+    base = baseline_summary(df, by, measures=measures, shares=shares,
+                            levels=levels)
+    return per_trial.join(per_subject, by).join(base, by)
 
 
 def median_follow_up_months(df: DataFrame) -> DataFrame:

@@ -233,6 +233,9 @@ class ChunkedScan:
               ) -> DataFrame:
         df = cut_lineage(df)
         per = df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()])
+        per = cut_lineage(per)
+        if per.count() <= BROADCAST_KEYS:
+            per = F.broadcast(per)
         return df.drop(*aggs).join(per, list(keys), "left")
 
 
@@ -282,3 +285,21 @@ def by_key(fn, dfs, keys, limit: int | None = None,
     cold = [d.join(hot, list(keys), "left_anti") for d in dfs]
     warm = [d.join(hot, list(keys), "left_semi") for d in dfs]
     return fn(PLAIN, *cold).unionByName(fn(ChunkedScan(chunks), *warm))
+
+
+def choose_scan(dfs, keys, limit: int | None = None):
+    """One scan for a whole job over these tables: plain windows, unless some
+    key is too large for a task."""
+    dfs = list(dfs)
+    if limit is None and sum(leaf_bytes(d) for d in dfs) < SMALL_INPUT_BYTES:
+        return PLAIN
+    return PLAIN if hot_keys(dfs, keys, limit or HOT_ROWS) is None \
+        else CHUNKED
+
+
+def add_by_key(df: DataFrame, keys, order, scan=None, **specs: Spec
+               ) -> DataFrame:
+    """Ordered columns with the scan chosen by the size of the keys."""
+    if scan is not None:
+        return scan.add(df, keys, order, **specs)
+    return by_key(lambda s, d: s.add(d, keys, order, **specs), [df], keys)

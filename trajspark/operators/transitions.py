@@ -13,7 +13,8 @@ from trajspark.functions.columns import (any_of, decision_code, finite,
                                          hash_uniform, relative_change,
                                          row_sum)
 from trajspark.operators.features import StateBuilder, bounded_collect
-from trajspark.operators.scan import PLAIN, last_known, lead, running_sum
+from trajspark.operators.scan import (CHUNKED, HOT_ROWS, PLAIN, add_by_key,
+                                      last_known, lead, running_sum)
 from trajspark.operators.trajectories import (DAY, KEYS, ORDER, TRAJ,
                                               drop_incomplete_events,
                                               intervals, mark_in_range,
@@ -218,7 +219,7 @@ def weighted_sample(df: DataFrame, weight: str, n: int, seed: int = 42,
         totals[["__b", "w", "take"]].astype({"take": "int64"}),
         "__b int, __w double, __take long")
 
-    step = PLAIN.add(rows, ["__b"], list(keys), __upto=running_sum(weight))
+    step = add_by_key(rows, ["__b"], list(keys), __upto=running_sum(weight))
     starts = step.select("__b", (F.col("__upto") - F.col(weight)).alias("__at"),
                          F.lit(0).alias("__kind"), F.struct(*keys)
                          .alias("__row"))
@@ -230,8 +231,11 @@ def weighted_sample(df: DataFrame, weight: str, n: int, seed: int = 42,
                      F.lit(1).alias("__kind"),
                      F.lit(None).cast(starts.schema["__row"].dataType)
                      .alias("__row")))
-    placed = PLAIN.add(starts.unionByName(draws), ["__b"],
-                       ["__at", "__kind"], __hit=last_known("__row"))
+    # A row with much weight draws often: its bucket may be hot.
+    heavy = int((totals["n"] + totals["take"]).max()) > HOT_ROWS
+    placed = (CHUNKED if heavy else PLAIN).add(
+        starts.unionByName(draws), ["__b"], ["__at", "__kind"],
+        __hit=last_known("__row"))
     hits = (placed.filter("__kind = 1").groupBy("__hit")
             .agg(F.count(F.lit(1)).alias("draws"))
             .select("__hit.*", "draws"))

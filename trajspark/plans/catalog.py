@@ -13,8 +13,8 @@ from trajspark.operators import features as fe
 from trajspark.operators import relational as rel
 from trajspark.operators import trajectories as tr
 from trajspark.operators import transitions as tn
-from trajspark.operators.scan import PLAIN, by_key
-from trajspark.params import Params
+from trajspark.operators.scan import PLAIN, by_key, choose_scan
+from trajspark.params import VALUE_DOSE, Params
 from trajspark.plans import pipeline as pl
 from trajspark.plans import sqltext as q
 from trajspark.sources import adapter
@@ -87,6 +87,11 @@ def on_base(spark, sf, fn) -> DataFrame:
     return on_visits(spark, sf, lambda scan, v: fn(scan, base(v, scan)))
 
 
+def scan_of(spark, sf):
+    """The scan for work that mixes subjects with whole-table steps."""
+    return choose_scan([V(spark, sf)], KEYS)
+
+
 def T(spark, sf) -> DataFrame:
     return on_base(spark, sf, lambda scan, d: d)
 
@@ -1081,13 +1086,51 @@ def _(spark, sf):
         "sample_prob", F.col("sample_prob") * 1000)
 
 
+_ST = [*[f"{c}_prev_{i}" for c in ("value", "dose") for i in range(1, 5)]]
+_STATE_SQL = (q.W_T.replace("traj AS (", "traj0 AS (", 1) + f""",
+ r1 AS (SELECT *, count(value) OVER {q.K} AS kn FROM traj0), r2 AS (SELECT *,
+ max(study_day) OVER {q.K} AS ld FROM r1 WHERE kn > 1), traj AS (SELECT *
+ EXCLUDE (kn, ld) FROM r2 WHERE NOT (study_day <> ld AND minor_bleed > 0 AND
+ (value IS NULL OR dose IS NULL))), """
+    + _uniform_sql("SELECT round_even(value, 1) AS x FROM traj")
+    + f""", s1 AS (SELECT t.* REPLACE (um.u AS value, (dose - min(dose)
+ OVER ()) / (max(dose) OVER () - min(dose) OVER ()) AS dose) FROM traj t
+ LEFT JOIN um ON um.x = round_even(t.value, 1)), s2 AS (SELECT *,
+ {", ".join("coalesce(" + ", ".join(f"lag({c}, {j}) OVER {q.WS}" for j in range(i, 0, -1)) + f", {c}) AS {c}_prev_{i}" for c in ("value", "dose") for i in range(1, 5))},
+ {", ".join(f"CAST(coalesce(lag(trajid, {i}) OVER {q.WS}, 0) <> trajid AS INT) AS prev_{i}_crossed" for i in range(1, 5))}
+ FROM s1), s3 AS (SELECT *, {", ".join(f"lead({c}) OVER {q.WK} AS next_{c}" for c in ("value", "dose", *_ST))}
+ FROM s2), {_DEC}, {_DONE}, {_REW.replace("* -0.5", "* 0.0")},
+ tr AS (SELECT s3.*, option_ AS option, d.done, w.reward, lead(s3.study_day)
+ OVER (PARTITION BY s3.trial, s3.subjid, s3.trajid ORDER BY s3.study_day)
+ - s3.study_day AS k FROM s3 JOIN opt USING (trial, subjid, trajid, study_day)
+ JOIN dn d USING (trial, subjid, trajid, study_day) LEFT JOIN rw w
+ USING (trial, subjid, trajid, study_day)),
+ ok AS (SELECT * FROM tr WHERE option IS NOT NULL AND k IS NOT NULL AND done
+ IS NOT NULL AND value IS NOT NULL AND dose IS NOT NULL AND next_value IS NOT
+ NULL AND next_dose IS NOT NULL AND {" AND ".join(f"{c} IS NOT NULL AND next_{c} IS NOT NULL" for c in _ST)})
+ SELECT *, 1 - done AS not_done, 1000.0 / count(*) OVER () AS sample_prob
+ FROM ok""")
+
+
+@query("build_transitions", "trial:s subjid:l trajid:l study_day:l k:l "
+       "option:l reward:e not_done:l sample_prob:d value:d dose:d "
+       + " ".join(f"{c}:d" for c in _ST) + " prev_1_crossed:l "
+       "prev_4_crossed:l next_value:d next_dose:d next_value_prev_1:d",
+       _STATE_SQL)
+def _(spark, sf):
+    out, _ = tn.build_transitions(T(spark, sf), VALUE_DOSE, min_length=1,
+                                  scan=scan_of(spark, sf))
+    return out.withColumn("sample_prob", F.col("sample_prob") * 1000)
+
+
 def transitions(spark, sf, params=PARAMS):
     d = pl.build_trajectories(V(spark, sf), EV(spark, sf), BL(spark, sf),
                               params)
-    return tn.build_transitions(d, params, min_length=1)
+    return tn.build_transitions(d, params, min_length=1,
+                                scan=scan_of(spark, sf))
 
 
-@query("build_transitions", None)
+@query("build_transitions_full", None)
 def _(spark, sf):
     return transitions(spark, sf)[0]
 

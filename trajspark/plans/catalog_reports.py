@@ -17,7 +17,7 @@ from trajspark.operators import transitions as tn
 from trajspark.plans import sqltext as q
 from trajspark.plans.catalog import (BL, EV, EVENTS, KEYS, PARAMS, V, _DEC,
                                      _MEDS, _SPAN, T, base, meds, on_base,
-                                     on_visits, query, transitions)
+                                     on_visits, query, scan_of, transitions)
 from trajspark.session import cut_lineage
 from trajspark.sources import adapter
 
@@ -78,11 +78,13 @@ DIS = f"""{CMP}, {TTR}, dm AS (SELECT trial, subjid, trajid, {", ".join(
 
 def compared(spark, sf, extra=(), subset=None) -> DataFrame:
     return ev.compare_policies(T(spark, sf), stand_in_policy(),
-                               subset=subset, extra=extra)
+                               subset=subset, extra=extra,
+                               scan=scan_of(spark, sf))
 
 
 def disagreements(spark, sf) -> DataFrame:
-    return ev.disagreement(compared(spark, sf, extra=ADV), ADV)
+    return ev.disagreement(compared(spark, sf, extra=ADV), ADV,
+                           scan=scan_of(spark, sf))
 
 
 def finite_only(df: DataFrame, cols) -> DataFrame:
@@ -146,7 +148,7 @@ def _(spark, sf):
  study_day, policy_action, ttr, length FROM cmp LEFT JOIN ttr
  USING (trial, subjid, trajid)""")
 def _(spark, sf):
-    return ev.hierarchical_ttr(compared(spark, sf))
+    return ev.hierarchical_ttr(compared(spark, sf), scan_of(spark, sf))
 
 
 @query("reasonable_share", "share:d", q.W_T + f""", {CMP} SELECT avg(CASE WHEN
@@ -272,7 +274,7 @@ def _(spark, sf):
  GROUP BY lg.algorithm) SELECT algorithm, slope AS association, my + slope *
  (1 - mx) AS at_agreement FROM b""")
 def _(spark, sf):
-    return rg.agreement_slopes(ev.hierarchical_ttr(compared(spark, sf)),
+    return rg.agreement_slopes(ev.hierarchical_ttr(compared(spark, sf), scan_of(spark, sf)),
                                ev.ALGOS)
 
 
@@ -330,7 +332,8 @@ def importance(spark, sf) -> DataFrame:
         "ph": (F.col("threshold_action") == F.col("observed_action"))
         .cast("double"),
         "reward": fc.in_range("value").cast("double")})
-    return ev.wis_trajectories(rows, "pb", {"soft": "ps", "rule": "ph"})
+    return ev.wis_trajectories(rows, "pb", {"soft": "ps", "rule": "ph"},
+                               scan=scan_of(spark, sf))
 
 
 @query("wis_trajectories", "trial:s subjid:l trajid:l soft_weight:d "
@@ -599,7 +602,7 @@ _CT = f""", {CMP}, {_TTE}, {_PAT}, {_MEDS}, bo AS (SELECT cmp.* FROM cmp JOIN te
 
 
 def consistency(spark, sf) -> DataFrame:
-    c = ev.hierarchical_ttr(compared(spark, sf))
+    c = ev.hierarchical_ttr(compared(spark, sf), scan_of(spark, sf))
     return rp.consistency_table(c, "threshold_diff", chars(spark, sf),
                                 meds(spark, sf), tte(spark, sf))
 
@@ -624,7 +627,7 @@ _TT = f""", {CMP}, {TTR}, {_PAT}, fr AS (SELECT * FROM cmp JOIN ttr USING (trial
 
 
 def ttr_inputs(spark, sf) -> DataFrame:
-    c = ev.hierarchical_ttr(compared(spark, sf))
+    c = ev.hierarchical_ttr(compared(spark, sf), scan_of(spark, sf))
     return rp.ttr_table(c, "threshold_diff", chars(spark, sf))
 
 
@@ -721,7 +724,8 @@ _SUM = ("trial:s pairs:l subjects:l trajectories:l length_mean:d length_sd:d "
  USING (trial)""")
 def _(spark, sf):
     return rp.cohort_summary(summary_rows(spark, sf), ["stroke", "hosp"],
-                             levels={"region": _REG})
+                             levels={"region": _REG},
+                             scan=scan_of(spark, sf))
 
 
 @query("cohort_summary_text", None)
@@ -836,7 +840,7 @@ def _(spark, sf):
      f"SELECT 'gap_{n}' AS metric, trial AS grp, gap_{n} AS value FROM s"
      for n in ("min", "q25", "q50", "q75", "max")))
 def _(spark, sf):
-    return rp.imputation_audit(T(spark, sf)) \
+    return rp.imputation_audit(T(spark, sf), scan=scan_of(spark, sf)) \
         .withColumnRenamed("group", "grp")
 
 
@@ -898,7 +902,7 @@ _TH = f""", t1 AS (SELECT *, lead(dose) OVER {q.WK} AS nd, lead(value) OVER
  value_bin) AS share FROM (SELECT trial, value_bin, dose_change, count(*) AS n
  FROM th WHERE value_bin IS NOT NULL GROUP BY ALL)""")
 def _(spark, sf):
-    return rp.transition_heatmaps(T(spark, sf))[0]
+    return rp.transition_heatmaps(T(spark, sf), scan=scan_of(spark, sf))[0]
 
 
 @query("value_change_heatmap", "trial:s dose_change:s value_change:s n:l "
@@ -906,7 +910,7 @@ def _(spark, sf):
  trial, dose_change) AS share FROM (SELECT trial, dose_change, value_change,
  count(*) AS n FROM th GROUP BY ALL)""")
 def _(spark, sf):
-    return rp.transition_heatmaps(T(spark, sf))[1]
+    return rp.transition_heatmaps(T(spark, sf), scan=scan_of(spark, sf))[1]
 
 
 _NAMES = {a: n for a, n in rp.MODEL_NAMES.items()}
