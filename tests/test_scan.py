@@ -3,7 +3,8 @@ import random
 from pyspark.sql import functions as F
 
 from trajspark.operators import trajectories as tr
-from trajspark.operators.scan import (PLAIN, ChunkedScan, by_key, hot_keys,
+from trajspark.operators.scan import (PLAIN, ChunkedScan, by_key,
+                                      choose_scan, hot_keys,
                                       lag, last_known, lead, next_known,
                                       remaining_sum, running_sum)
 from trajspark.plans import pipeline as pl
@@ -83,3 +84,37 @@ def test_hot_subjects_get_the_same_pipeline(spark):
     hot = pl.build_trajectories(*args, hot_rows=14)
     assert plain.exceptAll(hot).count() == 0
     assert hot.exceptAll(plain).count() == 0
+
+
+def test_composites_do_not_depend_on_the_scan(spark):
+    from trajspark.operators import evaluation as ev
+    from trajspark.operators import transitions as tn
+    from trajspark.params import VALUE_DOSE
+    from trajspark.plans import catalog
+    from trajspark.plans.catalog_reports import stand_in_policy
+
+    d = catalog.base(adapter.visits(spark, SF).filter("subjid < 30"))
+    d = d.withColumn("value", F.col("value")).checkpoint()
+    a = tn.build_transitions(d, VALUE_DOSE, min_length=1)[0]
+    b = tn.build_transitions(d, VALUE_DOSE, min_length=1,
+                             scan=ChunkedScan(5))[0].select(a.columns)
+    assert a.count() > 20
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+    def run(scan):
+        c = ev.compare_policies(d, stand_in_policy(), extra=["stroke"],
+                                scan=scan)
+        h = ev.hierarchical_ttr(c, scan)
+        cols = ["subjid", "trajid", "study_day", "policy_diff", "random_action",
+                "next_value", "ttr", "length"]
+        return h.select(*[F.round(x, 9).alias(x) if x in ("policy_diff", "ttr")
+                          else F.col(x) for x in cols])
+
+    p, c = run(PLAIN), run(ChunkedScan(5))
+    assert p.exceptAll(c).count() == 0 and c.exceptAll(p).count() == 0
+
+
+def test_choose_scan(spark):
+    df = history(spark)
+    assert choose_scan([df], ["k"]) is PLAIN
+    assert choose_scan([df], ["k"], 100) is not PLAIN

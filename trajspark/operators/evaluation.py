@@ -23,19 +23,19 @@ ALGOS = ("policy", "threshold", "random", "maintain")
 
 def _options(df: DataFrame, observed: str, ratio: str | None = None,
              weighted: bool = False) -> DataFrame:
-    """One row about the seven options: sorted codes with weights and, given
-    the dose ratios, the map from code to mean ratio."""
+    """One value about the seven options: sorted codes with weights and,
+    given the dose ratios, the map from code to mean ratio."""
     share = F.col("n") if weighted else F.lit(1)
     mean = F.avg(F.when(finite(ratio), F.col(ratio))) if ratio \
         else F.lit(None).cast("double")
     per = (df.filter(F.col(observed).isNotNull())
            .groupBy(F.col(observed).cast("int").alias("code"))
            .agg(F.count(F.lit(1)).alias("n"), mean.alias("mean")))
-    return per.agg(
+    return per.agg(F.struct(
         F.array_sort(F.collect_list(F.struct(
-            "code", share.cast("double").alias("w")))).alias("__codes"),
+            "code", share.cast("double").alias("w")))).alias("codes"),
         F.map_from_entries(F.collect_list(F.struct("code", "mean")))
-        .alias("__means"))
+        .alias("means")).alias("options"))
 
 
 def _draw(keys, seed) -> dict:
@@ -58,9 +58,9 @@ def random_policy(df: DataFrame, observed: str = "option",
     hash of the row keys, so it does not depend on partitioning."""
     draw = _draw(keys, seed)
     one = _options(df, observed, weighted=weighted)
-    return (df.crossJoin(F.broadcast(one))          # one row, seven codes
+    return (df.withColumn("__codes", one.scalar()["codes"])
             .withColumn("__u", draw["u"]).withColumn(out, draw["pick"])
-            .drop("__codes", "__means", "__u"))
+            .drop("__codes", "__u"))
 
 
 def compare_policies(df: DataFrame, action: Column | str,
@@ -80,17 +80,18 @@ def compare_policies(df: DataFrame, action: Column | str,
                        .cast("int"))
     df = observed_decision(df, scan=scan)
     one = _options(df, "option", "dose_ratio")
-    if means is not None:
-        given = means.agg(F.map_from_entries(F.collect_list(
-            F.struct("option", "ratio"))).alias("__means"))
-        one = one.drop("__means").crossJoin(F.broadcast(given))
+    given = None if means is None else means.agg(F.map_from_entries(
+        F.collect_list(F.struct("option", "ratio"))).alias("m"))
     df = scan.add(df, WITHIN, ORDER, next_value=lead("value"),
                   previous_value=lag("value"))
     df = df.withColumnsRenamed({"option": "observed_action",
                                 "dose_ratio": "observed_quant"})
     draw = _draw((*WITHIN, DAY), seed)
-    # One row holds the codes and means of the seven options.
-    df = df.crossJoin(F.broadcast(one)).withColumn("__u", draw["u"])
+    df = df.withColumn("__options", one.scalar()).withColumns({
+        "__codes": F.col("__options.codes"),
+        "__means": F.col("__options.means") if given is None
+        else given.scalar()})
+    df = df.withColumn("__u", draw["u"])
     df = df.withColumns({
         "random_action": draw["pick"],
         "next_in_range": in_range("next_value").cast("int"),

@@ -115,12 +115,10 @@ def link_subjects(df: DataFrame, linker: DataFrame, key: str = "subjid",
 def complete_grid(df: DataFrame, levels: dict, fill: int = 0) -> DataFrame:
     """Every combination of the listed levels, missing ones filled. The grid
     is made of literals only."""
-    grid = None
-    spark = df.sparkSession
+    grid = df.sparkSession.range(1).select()
     for c, values in levels.items():
-        one = spark.range(1).select(
-            F.explode(F.array(*[F.lit(v) for v in values])).alias(c))
-        grid = one if grid is None else grid.crossJoin(F.broadcast(one))
+        grid = grid.select("*", F.explode(F.array(*[F.lit(v) for v in values]))
+                           .alias(c))
     rest = [c for c in df.columns if c not in levels]
     return (grid.join(df, list(levels), "left")
             .select(*levels, *[F.coalesce(F.col(c), F.lit(fill)).alias(c)
@@ -243,10 +241,8 @@ def neg_corr(x, y) -> Column:
 
 def above_percentile(df: DataFrame, column: str, p: float,
                      out: str) -> DataFrame:
-    cut = df.agg(F.percentile(column, F.lit(p)).alias("__cut"))
-    return (df.crossJoin(F.broadcast(cut))      # one row
-            .withColumn(out, (F.col(column) > F.col("__cut")).cast("int"))
-            .drop("__cut"))
+    cut = df.agg(F.percentile(column, F.lit(p))).scalar()
+    return df.withColumn(out, (F.col(column) > cut).cast("int"))
 
 
 def first_record(df: DataFrame, keys, order) -> DataFrame:
@@ -314,9 +310,9 @@ def ordinal_cutpoints(df: DataFrame, column: str) -> DataFrame:
     # One row per level of an ordered code.
     levels = PLAIN.add(counts.withColumn("__all", F.lit(1)), ["__all"],
                        [column], cum=running_sum("count"))
-    total = counts.agg(F.sum("count").alias("__total"))
+    total = counts.agg(F.sum("count")).scalar()
     p = F.col("cum") / F.col("__total")
-    return (levels.crossJoin(F.broadcast(total))
+    return (levels.withColumn("__total", total)
             .filter(F.col("cum") < F.col("__total"))
             .select(column, F.ln(p / (1 - p)).alias("cutpoint")))
 

@@ -239,11 +239,9 @@ def control_summary(subjects: DataFrame, events: DataFrame, tte: DataFrame,
     first = mine.groupBy(key).agg(F.min_by(
         "event_name", F.struct(F.col("event_day").isNull(), "event_day",
                                "event_name")).alias("event_name"))
-    years = tte.agg((F.sum("time_to_event") / P.DAYS_PER_YEAR)
-                    .alias("__years"))
+    years = tte.agg(F.sum("time_to_event") / P.DAYS_PER_YEAR).scalar()
     return (first.groupBy("event_name").agg(F.count(F.lit(1)).alias("n"))
-            .crossJoin(F.broadcast(years))          # one row
-            .select("event_name", "n", (F.col("n") / F.col("__years") * 100)
+            .select("event_name", "n", (F.col("n") / years * 100)
                     .alias("per_100y")))
 
 

@@ -391,11 +391,11 @@ def split_subjects(df: DataFrame, test_trial: str, val_trial: str,
     counts = ids.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
     counts = counts.withColumn("__all", F.lit(1))
     counts = PLAIN.add(counts, ["__all"], ["__b"], __upto=running_sum("__n"))
-    total = ids.agg(F.floor(F.count(F.lit(1)) * F.lit(fraction))
-                    .alias("__take"))
-    # 4096 rows at most, and one row.
-    plan = counts.crossJoin(F.broadcast(total)).select(
-        "__b", "__take", (F.col("__upto") - F.col("__n")).alias("__before"),
+    take = ids.agg(F.floor(F.count(F.lit(1)) * F.lit(fraction))).scalar()
+    # 4096 rows at most.
+    plan = counts.select(
+        "__b", take.alias("__take"),
+        (F.col("__upto") - F.col("__n")).alias("__before"),
         "__upto")
     marked = ids.join(F.broadcast(plan), "__b")
     inside = F.col("__upto") <= F.col("__take")

@@ -121,9 +121,9 @@ def sample_weight(df: DataFrame, mode: str = "event", factor: float = 1.0,
         counts = (df.filter(F.col("option").isNotNull()).groupBy("option")
                   .agg(F.count(F.lit(1)).alias("__n")))
         # At most seven options.
-        top = counts.agg(F.max("__n").alias("__top"))
-        w = counts.crossJoin(F.broadcast(top)).select(
-            "option", (F.col("__top") / F.col("__n")).alias("sample_weight"))
+        top = counts.agg(F.max("__n")).scalar()
+        w = counts.select("option",
+                          (top / F.col("__n")).alias("sample_weight"))
         return df.join(F.broadcast(w), "option", "left")
     df = scan.group(df, WITHIN, ORDER, __any=F.sum(row_sum(events)))
     return (df.withColumn("sample_weight", F.when(F.col("__any") > 0,
@@ -133,11 +133,9 @@ def sample_weight(df: DataFrame, mode: str = "event", factor: float = 1.0,
 
 def normalise_weight(df: DataFrame, weight: str = "sample_weight",
                      out: str = "sample_prob") -> DataFrame:
-    """Divide by the total, which is one row and not a global window."""
-    total = df.agg(F.sum(weight).alias("__total"))
-    return (df.crossJoin(F.broadcast(total))
-            .withColumn(out, F.col(weight) / F.col("__total"))
-            .drop("__total"))
+    """Divide by the total, a scalar subquery and not a global window."""
+    total = df.agg(F.sum(weight)).scalar()
+    return df.withColumn(out, F.col(weight) / total)
 
 
 def eligible_rows(df: DataFrame, params: Params = Params(),

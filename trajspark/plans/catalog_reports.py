@@ -1078,4 +1078,5 @@ def _(spark, sf):
     from trajspark.plans.evaluate import evaluate_policy
     return evaluate_policy(T(spark, sf), stand_in_policy(), ADV,
                            importance=importance(spark, sf),
-                           names=["soft", "rule"])
+                           names=["soft", "rule"], tests=True,
+                           scan=scan_of(spark, sf))

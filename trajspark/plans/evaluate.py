@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trajspark.functions.columns import argmax
 from trajspark.operators import evaluation as ev
 from trajspark.operators import regression as rg
+from trajspark.operators.scan import PLAIN
 from trajspark.session import cut_lineage
 
 
@@ -49,14 +50,15 @@ def evaluate_behaviour(df: DataFrame, p: str = "p", y: str = "y",
 def evaluate_policy(df: DataFrame, action, events, prefix: str = "",
                     importance: DataFrame | None = None, names=(),
                     all_metrics: bool = True, tests: bool = False,
-                    bootstrap: int = 0, subset=None) -> DataFrame:
+                    bootstrap: int = 0, subset=None,
+                    scan=PLAIN) -> DataFrame:
     """Metrics of a policy over trajectories with event flags.
 
     `importance` is the output of `wis_trajectories` for the policies in
     `names`; `prefix` is put before every metric, such as "val/".
     """
     compared = cut_lineage(ev.compare_policies(df, action, extra=events,
-                                               subset=subset))
+                                               subset=subset, scan=scan))
     parts = [_metric(ev.reasonable_share(compared),
                      "proportion_reasonable_actions", "share")]
     if importance is not None:
@@ -73,7 +75,7 @@ def evaluate_policy(df: DataFrame, action, events, prefix: str = "",
                              F.lit(f"_value_ci_{side}")).alias("metric"),
                     F.col(side).alias("value")))
     if all_metrics or tests:
-        dis = cut_lineage(ev.disagreement(compared, events))
+        dis = cut_lineage(ev.disagreement(compared, events, scan=scan))
     if all_metrics:
         c = ev.classification(compared)
         for tag in ("", "_dir"):
