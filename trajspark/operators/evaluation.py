@@ -38,17 +38,22 @@ def _options(df: DataFrame, observed: str, ratio: str | None = None,
         .alias("means")).alias("options"))
 
 
-def _draw(keys, seed) -> dict:
-    """Columns that pick a code from `__codes` with a hash of the row."""
+def _draw(keys, seed, weighted: bool = False) -> Column:
+    """A code from `__codes`, picked by a hash of the row."""
+    u = hash_uniform(keys, seed)
+    if not weighted:
+        at = F.floor(u * F.size("__codes")) + 1
+        return F.element_at(F.col("__codes.code"), at.cast("int"))
     total = F.aggregate("__codes", F.lit(0.0), lambda a, x: a + x["w"])
     pick = F.aggregate(
         "__codes",
-        F.struct(F.lit(0.0).alias("c"), F.lit(None).cast("int").alias("k")),
+        F.struct((u * total).alias("left"),
+                 F.lit(None).cast("int").alias("k")),
         lambda a, x: F.struct(
-            (a["c"] + x["w"]).alias("c"),
-            F.when(a["k"].isNull() & (F.col("__u") < a["c"] + x["w"]),
-                   x["code"]).otherwise(a["k"]).alias("k")))
-    return {"u": hash_uniform(keys, seed) * total, "pick": pick["k"]}
+            (a["left"] - x["w"]).alias("left"),
+            F.when(a["k"].isNull() & (a["left"] < x["w"]), x["code"])
+            .otherwise(a["k"]).alias("k")))
+    return pick["k"]
 
 
 def random_policy(df: DataFrame, observed: str = "option",
@@ -56,11 +61,9 @@ def random_policy(df: DataFrame, observed: str = "option",
                   seed: int = 42, keys=(*WITHIN, DAY)) -> DataFrame:
     """An observed option at random, uniformly or by frequency. The draw is a
     hash of the row keys, so it does not depend on partitioning."""
-    draw = _draw(keys, seed)
     one = _options(df, observed, weighted=weighted)
     return (df.withColumn("__codes", one.scalar()["codes"])
-            .withColumn("__u", draw["u"]).withColumn(out, draw["pick"])
-            .drop("__codes", "__u"))
+            .withColumn(out, _draw(keys, seed, weighted)).drop("__codes"))
 
 
 def compare_policies(df: DataFrame, action: Column | str,
@@ -86,14 +89,12 @@ def compare_policies(df: DataFrame, action: Column | str,
                   previous_value=lag("value"))
     df = df.withColumnsRenamed({"option": "observed_action",
                                 "dose_ratio": "observed_quant"})
-    draw = _draw((*WITHIN, DAY), seed)
     df = df.withColumn("__options", one.scalar()).withColumns({
         "__codes": F.col("__options.codes"),
         "__means": F.col("__options.means") if given is None
         else given.scalar()})
-    df = df.withColumn("__u", draw["u"])
     df = df.withColumns({
-        "random_action": draw["pick"],
+        "random_action": _draw((*WITHIN, DAY), seed),
         "next_in_range": in_range("next_value").cast("int"),
         "threshold_quant": rule_policy("value"),
         "threshold_action": decision_code(rule_policy("value")),

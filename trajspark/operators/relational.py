@@ -74,16 +74,17 @@ def select_like(df: DataFrame, part: str) -> list[str]:
 
 
 # Joins. None carries a forced broadcast: table statistics and adaptive
-# execution broadcast a side that is small enough and split skewed ones.
+# execution broadcast a side that is small enough and split skewed ones. Id
+# sides are made distinct first, which combines repeats before the shuffle.
 
 def keep_ids(df: DataFrame, ids: DataFrame, on) -> DataFrame:
     on = [on] if isinstance(on, str) else list(on)
-    return df.join(ids.select(*on), on, "left_semi")
+    return df.join(ids.select(*on).distinct(), on, "left_semi")
 
 
 def drop_ids(df: DataFrame, ids: DataFrame, on) -> DataFrame:
     on = [on] if isinstance(on, str) else list(on)
-    return df.join(ids.select(*on), on, "left_anti")
+    return df.join(ids.select(*on).distinct(), on, "left_anti")
 
 
 def join_all(dfs, on) -> DataFrame:
@@ -146,7 +147,7 @@ def union_all(*dfs: DataFrame) -> DataFrame:
 def overlap_count(a: DataFrame, b: DataFrame, on) -> DataFrame:
     """One row: how many ids occur on both sides."""
     on = [on] if isinstance(on, str) else list(on)
-    return (a.select(*on).intersect(b.select(*on))
+    return (a.select(*on).distinct().intersect(b.select(*on).distinct())
             .agg(F.count(F.lit(1)).alias("shared")))
 
 

@@ -7,15 +7,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajspark import params as P
-from trajspark.functions.columns import (any_of, cut, decision_code, finite,
-                                         fmt_ci, fmt_mean_sd, fmt_pct,
-                                         in_range, map_codes, metric_part,
+from trajspark.functions.columns import (any_of, cut, finite, fmt_ci,
+                                         fmt_mean_sd, map_codes, metric_part,
                                          relative_change, truth, value_bin)
-from trajspark.operators.relational import (above_percentile, any_by,
-                                            any_medication, complete_grid,
+from trajspark.operators.relational import (above_percentile, complete_grid,
                                             describe_by, first_record,
-                                            mean_count,
-                                            outer_coalesce, pivot,
+                                            mean_count, outer_coalesce, pivot,
                                             share_within, star_join,
                                             truncate_after, weighted_mean,
                                             with_group_mean)

@@ -443,7 +443,8 @@ def intervals(df: DataFrame, keys=KEYS, value: str = "value",
                   __lo=last_known(known), __ahead=next_known(known))
     df = scan.add(df, within, [DAY], __hi=lead("__ahead"))
     lo, hi = F.col("__lo"), F.col("__hi")
-    slope = (hi["v"] - lo["v"]) / (hi["d"] - lo["d"])
+    # Two rows of one day have no line between them.
+    slope = F.try_divide(hi["v"] - lo["v"], hi["d"] - lo["d"])
     return df.withColumns({
         "__ld": lo["d"], "__lv": lo["v"], "__hd": hi["d"], "__hv": hi["v"],
         "__slope": F.when(lo.isNotNull(), F.coalesce(slope, F.lit(0.0))),

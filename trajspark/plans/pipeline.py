@@ -10,7 +10,7 @@ from trajspark.functions.columns import (null_if, recode_capped, row_sum,
                                          truth)
 from trajspark.operators import trajectories as tr
 from trajspark.operators.relational import (complete_cases, indicators,
-                                            union_all)
+                                            keep_ids, union_all)
 from trajspark.operators.scan import PLAIN, by_key, lag, next_known
 from trajspark.params import Params
 
@@ -22,11 +22,10 @@ def prepare(visits: DataFrame, events: DataFrame, baseline: DataFrame,
             params: Params = Params(), scan=PLAIN):
     """Preliminary cleaning: matching subjects, complete baselines, event
     flags, observed period only, and the end of the trial marked."""
-    events = events.join(visits.select("subjid"), "subjid", "left_semi")
+    events = keep_ids(events, visits, "subjid")
     events = indicators(events, "event_name", P.EVENT_NAMES, drop=True)
-    baseline = complete_baseline(
-        baseline.join(visits.select("subjid"), "subjid", "left_semi"), params)
-    visits = visits.join(baseline.select("subjid"), "subjid", "left_semi")
+    baseline = complete_baseline(keep_ids(baseline, visits, "subjid"), params)
+    visits = keep_ids(visits, baseline, "subjid")
     visits = mark_trial_end(visits.filter(F.col("study_day") >= 0), scan)
     return visits, events, baseline
 
