@@ -174,7 +174,8 @@ def build_transitions(df: DataFrame, params: Params = Params(),
     facts = sample_weight(facts, weight_mode, factor,
                           params.events_evaluated, scan)
     facts = facts.select(*WITHIN, DAY, "k", "option", "reward",
-                         (1.0 - F.col("done")).alias("not_done"), "sample_weight")
+                         (1.0 - F.col("done")).alias("not_done"),
+                         "sample_weight")
     out = facts.join(state, [*WITHIN, DAY])
     # A row with k has a reward; filtering on k keeps the longer expression
     # out of pushed-down predicates.

@@ -929,24 +929,29 @@ def _(spark, sf):
 
 # Regressions and learned policies.
 
+_LINE = """m AS (SELECT count(*) AS n, sum(w) AS s, sum(w * x) / sum(w) AS mx,
+ sum(w * y) / sum(w) AS my FROM r), c AS (SELECT any_value(n) AS n,
+ any_value(s) AS s, any_value(mx) AS mx, any_value(my) AS my, sum(w * (x - mx)
+ * (x - mx)) AS xx, sum(w * (x - mx) * (y - my)) AS xy, sum(w * (y - my)
+ * (y - my)) AS yy FROM r, m), b AS (SELECT *, xy / xx AS slope, (yy - xy * xy
+ / xx) / (n - 2) AS s2 FROM c), o AS (SELECT '{x}' AS term, slope AS estimate,
+ sqrt(s2 / xx) AS std_error FROM b UNION ALL SELECT 'intercept', my - slope
+ * mx, sqrt(s2 * (1 / s + mx * mx / xx)) FROM b) SELECT *, estimate
+ / std_error AS statistic FROM o"""
+
+
 @query("wls", "term:s estimate:d std_error:d statistic:d", q.W_T + f""",
  {DIS}, r AS (SELECT threshold_eq AS x, ttr AS y, CAST(length AS DOUBLE) AS w
- FROM dis WHERE length > 0), m AS (SELECT count(*) AS n, sum(w) AS s,
- sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM r), c AS (SELECT
- any_value(n) AS n, any_value(s) AS s, any_value(mx) AS mx, any_value(my)
- AS my, sum(w * (x - mx) * (x - mx)) AS xx, sum(w * (x - mx) * (y - my))
- AS xy, sum(w * (y - my) * (y - my)) AS yy FROM r, m), b AS (SELECT *,
- xy / xx AS slope, (yy - xy * xy / xx) / (n - 2) AS s2 FROM c),
- o AS (SELECT 'threshold_eq' AS term, slope AS estimate, sqrt(s2 / xx)
- AS std_error FROM b UNION ALL SELECT 'intercept', my - slope * mx,
- sqrt(s2 * (1 / s + mx * mx / xx)) FROM b) SELECT *, estimate / std_error
- AS statistic FROM o""")
+ FROM dis WHERE length > 0), """ + _LINE.format(x="threshold_eq"))
 def _(spark, sf):
     return rg.wls(disagreements(spark, sf).filter("length > 0"), "ttr",
                   ["threshold_eq"], "length")
 
 
-@query("wls_centres", None)
+@query("wls_centres", "term:s estimate:d std_error:d statistic:d", q.W_T + _TT
+       + """, r AS (SELECT avg(algorithm_consistency) AS x, avg(ttr) AS y,
+ CAST(count(ttr) AS DOUBLE) AS w FROM tt GROUP BY centre), """
+       + _LINE.format(x="algorithm_consistency_mean"))
 def _(spark, sf):
     c = rp.centre_table(ttr_inputs(spark, sf))
     return rg.wls(c, "ttr_mean", ["algorithm_consistency_mean"], "ttr_count")
