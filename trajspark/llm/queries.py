@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajspark.llm import secrets
+from trajspark.llm import exact, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -42,3 +42,18 @@ def span_columns(df: DataFrame, kinds: list[str]) -> DataFrame:
 def op10_secrets(spark: SparkSession, sf: str) -> DataFrame:
     """Secrets of every text: counts and digest of the base spans, and all spans."""
     return span_columns(secrets.secret_spans(table(spark, sf, "documents")), ["assign", "access", "hex"])
+
+
+@query
+def op1_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of equal texts."""
+    groups = exact.exact_groups(table(spark, sf, "documents"))
+    return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+SQL["op1_exact"] = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256
+FROM d JOIN g ON d.t = g.t
+"""
