@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajspark.llm import exact, secrets
+from trajspark.llm import exact, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -57,3 +57,18 @@ g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256
 FROM d JOIN g ON d.t = g.t
 """
+
+
+def crc_mod(column: str, n: int) -> Column:
+    return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of all texts by a model that saw no held-out label; `rejected` goes by the language's threshold."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
+    model = toxicity.train(docs, table(spark, sf, "labels").where(~out))
+    scored = toxicity.score(docs, model, keep_text=False)
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+                         "rejected")
