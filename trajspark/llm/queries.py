@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajspark.llm import exact, secrets, toxicity
+from trajspark.llm import exact, packing, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -72,3 +73,13 @@ def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     scored = toxicity.score(docs, model, keep_text=False)
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
                          "rejected")
+
+
+def tokenizer() -> str:
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """All texts as tokens in sequences of 2048."""
+    return packing.pack(table(spark, sf, "documents"), tokenizer())
