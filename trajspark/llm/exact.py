@@ -48,6 +48,10 @@ def keyed_state(spark: SparkSession, path: str, schema, folder: str) -> DataFram
     session = spark.newSession()
     session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # Many small stores: no disk set aside for logs that stay short, none kept open after the run.
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    session.conf.set("spark.sql.streaming.stateStore.unloadOnCommit", "true")
     stream = holders(session.readStream.schema(schema).parquet(path))
     run = (stream.writeStream.outputMode("update").format("noop").option("checkpointLocation", folder)
            .trigger(availableNow=True).start())
