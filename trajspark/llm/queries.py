@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajspark.llm import exact, packing, secrets, toxicity
+from trajspark.llm import exact, neardup, packing, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -83,3 +83,21 @@ def tokenizer() -> str:
 def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
     """All texts as tokens in sequences of 2048."""
     return packing.pack(table(spark, sf, "documents"), tokenizer())
+
+
+@query
+def op2_neardup(spark: SparkSession, sf: str) -> DataFrame:
+    """Links and components of all vectors."""
+    return neardup.near_vectors(table(spark, sf, "embeddings"))
+
+
+SQL["op2_neardup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r(id, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id WHERE r.c < l.b),
+m AS (SELECT id, min(c) AS c FROM r GROUP BY id)
+SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.a = v.vec_id) AS n_links, m.c AS component_id,
+       v.vec_id = m.c AS kept
+FROM v JOIN m ON m.id = v.vec_id
+"""
