@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajspark.llm import exact, neardup, packing, secrets, toxicity
+from trajspark.llm import exact, jaccard, neardup, packing, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -101,3 +101,9 @@ SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.a = v.vec_id) AS n_links, m.c A
        v.vec_id = m.c AS kept
 FROM v JOIN m ON m.id = v.vec_id
 """
+
+
+@query
+def op9_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    """Classes of all texts by shared shingles."""
+    return jaccard.jaccard_classes(table(spark, sf, "documents"))
