@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajspark.llm import exact, jaccard, neardup, packing, secrets, toxicity
+from trajspark.llm import exact, jaccard, neardup, ngram, packing, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -107,3 +107,12 @@ FROM v JOIN m ON m.id = v.vec_id
 def op9_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     """Classes of all texts by shared shingles."""
     return jaccard.jaccard_classes(table(spark, sf, "documents"))
+
+
+@query
+def op8_ngram(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of all texts by a bigram model of the texts that aren't held out."""
+    by = crc_mod("doc_id", 7)
+    scored = ngram.score_texts(table(spark, sf, "documents"), by != 2, by == 3)
+    return scored.select("doc_id", F.coalesce(crc_mod("doc_id", 7) == 2, F.lit(False)).alias("held_out"), "n_tokens",
+                         "n_known", "train_tokens", "base_score", "score")
