@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajspark.llm import exact, jaccard, neardup, ngram, packing, secrets, toxicity
+from trajspark.llm import exact, jaccard, neardup, ngram, packing, repeats, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -116,3 +116,10 @@ def op8_ngram(spark: SparkSession, sf: str) -> DataFrame:
     scored = ngram.score_texts(table(spark, sf, "documents"), by != 2, by == 3)
     return scored.select("doc_id", F.coalesce(crc_mod("doc_id", 7) == 2, F.lit(False)).alias("held_out"), "n_tokens",
                          "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op6_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    """What stays of all texts once passages of earlier documents are removed."""
+    return repeats.remove_repeats(table(spark, sf, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
