@@ -19,33 +19,73 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trajspark.llm.common import kept, slices
-from trajspark.llm.words import SPACE, words_of
+from trajspark.llm.common import kept, offsets_of, slices
+from trajspark.llm.words import LOWER, SPACE, words_of
 
 CAPACITY, END_ID = 2048, 0
 #: Words whose ids a task remembers; beyond it, it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
+#: Classes of bytes between which a tokenizer of words, digits and marks always cuts: ASCII letters, digits and marks;
+#: 9: never cut there (the apostrophe belongs to endings, other bytes are looked at by the tokenizer alone).
+KIND = np.full(256, 9, np.uint8)
+for _b in range(0x21, 0x7F):
+    KIND[_b] = 1 if chr(_b).isalpha() else 2 if chr(_b).isdigit() else 9 if _b == 0x27 else 3
+TOGETHER = 256
+
+
+def cuts(data: np.ndarray) -> np.ndarray:
+    """Before which bytes the tokenizer cuts for sure, by the classes of the two bytes around."""
+    kind = KIND[data]
+    # Letters of two bytes that begin with C3 are letters throughout, but for the two signs.
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    kind[lead] = kind[lead + 1] = 1
+    out = np.zeros(len(data), bool)
+    a, b = kind[:-1], kind[1:]
+    out[1:] = (a != 9) & (b != 9) & ((a != b) | (a == 2))
+    return out
 
 
 class Encoder:
-    """Ids of texts by a tokenizer that never joins text across ASCII white space: each new word is encoded once."""
+    """Ids of texts by a tokenizer that lower-cases, cuts at white space and between letters, digits and marks, and ends
+    each such word with tokens of their own (`</w>`): each new word is encoded once, and many at a time.
+
+    Slices that hold a special token's text are encoded text by text.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.special = [x.content.lower().encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
+    def _words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of single words and how many each has."""
+        groups = [texts[i:i + TOGETHER] for i in range(0, len(texts), TOGETHER)]
+        flats, sizes = [], []
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups],
+                                                                     add_special_tokens=False)):
+            flat = np.array(e.ids, np.int32)
+            last = np.flatnonzero(self.ends[flat]) + 1
+            if len(last) != len(group):  # some are more than one word to the tokenizer
+                each = [np.array(x.ids, np.int32) for x in self.tokenizer.encode_batch(group, add_special_tokens=False)]
+                flat, last = np.concatenate(each), np.cumsum([len(x) for x in each])
+            flats.append(flat)
+            sizes.append(np.diff(last, prepend=0))
+        return np.concatenate(flats), np.concatenate(sizes)
+
     def _forget(self):
         self.known: dict[int, int] = {}
         self.begin, self.size, self.pool, self.used = (np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64),
                                                        np.zeros(1 << 14, np.int32), 0)
 
     def _learn(self, keys: list[int], texts: list[str]):
-        ids = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        size = np.array([len(x) for x in ids], np.int64)
-        flat = np.fromiter((y for x in ids for y in x), np.int32, int(size.sum()))
+        flat, size = self._words(texts)
         n, m = len(self.known), len(keys)
         for name, need in (("begin", n + m), ("size", n + m), ("pool", self.used + len(flat))):
             old = getattr(self, name)
@@ -59,7 +99,13 @@ class Encoder:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column's texts, and where each text begins and the last ends."""
-        w = words_of(column, SPACE, fold=False)
+        _, raw = offsets_of(column)
+        lower = LOWER[raw].tobytes()
+        if any(x in lower for x in self.special):
+            ids = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch(
+                [x or "" for x in column.to_pylist()], add_special_tokens=False)]
+            return np.concatenate(ids), np.cumsum([0, *map(len, ids)])
+        w = words_of(column, SPACE, cuts=cuts)
         keys, first, which = np.unique(w.hash, return_index=True, return_inverse=True)
         if len(self.known) + len(keys) > REMEMBERED:
             self._forget()

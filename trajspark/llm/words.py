@@ -62,8 +62,11 @@ class Words:
         return np.searchsorted(self.row, np.arange(self.rows + 1))
 
 
-def words_of(column: pa.Array, apart: np.ndarray = SPACE, fold: bool = True) -> Words:
-    """Maximal runs of bytes that `apart` doesn't hold; none crosses two texts. fold: A-Z to lower case."""
+def words_of(column: pa.Array, apart: np.ndarray = SPACE, fold: bool = True, cuts=None) -> Words:
+    """Maximal runs of bytes that `apart` doesn't hold; none crosses two texts. fold: A-Z to lower case.
+
+    cuts: a function of the bytes that says before which of them a word ends as well.
+    """
     at, data = offsets_of(column)
     if fold:
         data = LOWER[data]
@@ -74,6 +77,8 @@ def words_of(column: pa.Array, apart: np.ndarray = SPACE, fold: bool = True) ->
     inside = ~apart[data]
     edge = np.zeros(n + 1, bool)
     edge[at] = True
+    if cuts is not None:
+        edge[:-1] |= cuts(data)
     before = np.empty(n + 1, bool)
     before[1:] = ~inside
     before[0] = True
