@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajspark.llm import exact, jaccard, neardup, ngram, packing, repeats, secrets, toxicity
+from trajspark.llm import exact, jaccard, neardup, ngram, packing, pii, repeats, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -123,3 +123,9 @@ def op6_repeats(spark: SparkSession, sf: str) -> DataFrame:
     """What stays of all texts once passages of earlier documents are removed."""
     return repeats.remove_repeats(table(spark, sf, "documents")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op3_pii(spark: SparkSession, sf: str) -> DataFrame:
+    """Personal data of every text: counts and digest of the base spans, and all spans."""
+    return span_columns(pii.personal_spans(table(spark, sf, "documents")), pii.KINDS)
