@@ -61,7 +61,7 @@ def describe(docs: DataFrame, size: int) -> DataFrame:
             h, n = h[n >= OFTEN], n[n >= OFTEN]
             none = pa.nulls(len(h))
             return pa.RecordBatch.from_arrays(
-                [none.cast(kind), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(h.view(np.int64)),
+                [pa.nulls(len(h), kind), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(h.view(np.int64)),
                  pa.array(n)], names)
 
         for batch in slices(batches, "text"):
@@ -79,8 +79,8 @@ def describe(docs: DataFrame, size: int) -> DataFrame:
             yield frequent()
 
     names = ["id", "n", "digest", "hash", "count"]
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, n bigint, digest binary, hash bigint, count bigint")
+    spark_kind = docs.schema["id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"id {spark_kind}, n bigint, digest binary, hash bigint, count bigint")
 
 
 def candidates(docs: DataFrame, size: int, frequent) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajspark.llm import exact, jaccard, neardup, ngram, packing, pii, repeats, secrets, toxicity
+from trajspark.llm import exact, jaccard, mixing, neardup, ngram, packing, pii, repeats, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -129,3 +129,9 @@ def op6_repeats(spark: SparkSession, sf: str) -> DataFrame:
 def op3_pii(spark: SparkSession, sf: str) -> DataFrame:
     """Personal data of every text: counts and digest of the base spans, and all spans."""
     return span_columns(pii.personal_spans(table(spark, sf, "documents")), pii.KINDS)
+
+
+@query
+def op5_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    """The place of every document in the mixture."""
+    return mixing.schedule(table(spark, sf, "documents"))
