@@ -1,8 +1,7 @@
 """Exact Jaccard join of word shingles in a metric space: pivots, Voronoi cells, triangle-inequality windows.
 
-Documents of different content are all at distance 1 from each other, where no pivot tells them apart. So shared rare
-shingles first join documents to regions outside of which nothing can link (every linked pair shares one of the rarest
-n/5 + 1 shingles of either side). Within a region distances tell: pivots are compared with every document of it; the
+Documents of different content are all at distance 1 from each other, where no pivot tells them apart. So shared pairs of
+rare shingles first join documents to regions outside of which nothing can link (see `candidates`). Within a region distances tell: pivots are compared with every document of it; the
 rest that isn't settled goes to the cell of its nearest pivot, along with the documents whose distances allow a link
 over the border, and each cell is joined in the same way until all its open documents have been pivots.
 """
@@ -15,15 +14,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trajspark.llm.common import kept, slices
 from trajspark.llm.components import components
+from trajspark.llm.repeats import by_part, part_of
 from trajspark.llm.words import SPACE, U, mix, words_of
 
 SIZE, NUM, DEN = 5, 4, 5  # shingles of five words; linked from 4/5 on
-LEAF, PIVOTS, GROUP = 64, 8, 128
+LEAF, PIVOTS, GROUP, LEVELS = 64, 8, 128, 4
+#: Bytes of text for one partition of keys; no result depends on it.
+PART_BYTES = 8 << 20
 #: Shingles whose counts order the prefixes; any order gives the same links, this one fewer candidates.
 FREQUENT, OFTEN, FLUSH = 200_000, 4, 3_000_000
 
@@ -83,50 +84,76 @@ def describe(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {spark_kind}, n bigint, digest binary, hash bigint, count bigint")
 
 
-def candidates(docs: DataFrame, size: int, frequent) -> DataFrame:
-    """Rows (key, g, to): g's prefix holds the shingle `key`, once for each task; or, with `to`, shares one with it."""
+def candidates(docs: DataFrame, size: int, frequent, parts: int) -> DataFrame:
+    """Links (a, b) between sets that share a key, as a chain for each key; a set goes by 48 bits of its digest.
+
+    Keys are pairs of neighbours among the first 0.4 n + 2 shingles of a set, the rare ones first. Two linked sets have
+    at most a quarter as many shingles of their own as in common, so not all neighbours in common can be parted, and
+    the first that aren't are within these bounds on both sides. Each unit of texts sends a key once, and links of its
+    own at once.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, rank = frequent.value
         seen, keys, owners, many = set(), [], [], 0
 
         def flush():
             key, g = np.concatenate(keys), np.concatenate(owners)
-            order = np.lexsort((g, key))
-            key, g = key[order], g[order]
-            new = np.append(True, key[1:] != key[:-1])
-            low = g[new][np.cumsum(new) - 1]  # the smallest owner of each key
-            links = np.unique(np.stack([g, low], 1)[(~new) & (g != low)], axis=0) if (~new).any() else np.zeros((0, 2), np.int64)
-            alone = mix(links[:, 0].view(np.uint64) ^ (links[:, 1].view(np.uint64) * U(0x9E3779B97F4A7C15)))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([key[new].view(np.int64), alone.view(np.int64)])),
-                 pa.array(np.concatenate([g[new], links[:, 0]])),
-                 pa.array(np.concatenate([np.zeros(new.sum(), np.int64), links[:, 1]]),
-                          mask=np.concatenate([np.ones(new.sum(), bool), np.zeros(len(links), bool)]))],
-                ["key", "g", "to"])
+            new, links = chained(key, g)
+            key, g = key[new], g[new]
+            out = []
+            for p, rows in by_part(part_of(key, parts)):
+                out.append((p, key[rows].view(np.uint8).reshape(-1, 8)[:, :5].tobytes(),
+                            g[rows].view(np.uint8).reshape(-1, 8)[:, :6].tobytes(),
+                            b"" if out else links.tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names)
 
         for batch in slices(batches, "text"):
             for s in shingles(batch.column(0), size):
-                if not len(s):
-                    continue
                 d = digest(s)
-                if d in seen:
+                if len(s) < 4 or d in seen:  # smaller sets link with equal ones only
                     continue
                 seen.add(d)
-                p = len(s) - -(-NUM * len(s) // DEN) + 1
                 if len(often):
                     at = np.minimum(np.searchsorted(often, s), len(often) - 1)
                     rare = np.where(often[at] == s, rank[at], 0)
                     s = s[np.argsort(rare, kind="stable")]
-                keys.append(s[:p])
-                owners.append(np.full(p, int.from_bytes(d[:8], "big", signed=True)))
-                many += p
+                s = s[:2 * len(s) // 5 + 2]
+                keys.append(mix(s[:-1] * U(0x9E3779B97F4A7C15) + s[1:]))
+                owners.append(np.full(len(s) - 1, node_of(d)))
+                many += len(s)
             if many > FLUSH // 2:
                 yield flush()
                 keys, owners, many = [], [], 0
         if many:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "key bigint, g bigint, to bigint")
+    def meet(_, t):
+        def wide(column, size):
+            flat = np.frombuffer(b"".join(t[column].to_pylist()), np.uint8).reshape(-1, size)
+            out = np.zeros((len(flat), 8), np.uint8)
+            out[:, :size] = flat
+            return out.view(np.int64).ravel()
+        _, links = chained(wide("keys", 5), wide("g", 6))
+        links = np.concatenate([links, np.frombuffer(b"".join(t["links"].to_pylist()), np.int64).reshape(-1, 2)])
+        return pa.table([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
+
+    names, types = ["part", "keys", "g", "links"], [pa.int32()] + [pa.binary()] * 3
+    return docs.select("text").mapInArrow(run, "part int, keys binary, g binary, links binary").groupBy(
+        "part").applyInArrow(meet, "a bigint, b bigint")
+
+
+def chained(key: np.ndarray, g: np.ndarray):
+    """Order of the rows that are the first of each key, and the distinct links (g, g) between neighbours of one key."""
+    order = np.lexsort((g, key))
+    k, o = key[order], g[order]
+    new = np.append(True, k[1:] != k[:-1])
+    pairs = np.stack([o[1:], o[:-1]], 1)[~new[1:]].astype(np.int64)
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    return order[new], np.unique(pairs, axis=0) if len(pairs) else pairs
+
+
+def node_of(d: bytes) -> int:
+    return int.from_bytes(d[:6], "big")
 
 
 def bitmap(ids: DataFrame, bits: int) -> dict[int, bytes]:
@@ -139,7 +166,7 @@ def bitmap(ids: DataFrame, bits: int) -> dict[int, bytes]:
 
 def sets_of(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
     """(node, n, words) of the chosen documents (id, digest). A bitmap of fixed size keeps most others from the join."""
-    bits = 1 << min(27, max(15, 4 + int(chosen.count()).bit_length()))
+    bits = 1 << min(27, max(15, 4 + int(chosen.count()).bit_length()))  # 16 MB at most
     held = docs.sparkSession.sparkContext.broadcast(bitmap(chosen, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,13 +191,13 @@ def sets_of(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
 
 
 def compare(rows: DataFrame) -> DataFrame:
-    """Pivots (role 0) against all rows of their region and salt: spanning links (node, root) and, with `far`,
-    the distances of each node to the pivots."""
+    """Pivots against all rows of their region and salt: spanning links (node, root) and, with `far`, the distances of
+    each node to the pivots. role: 0 for a pivot, 1 for a node, 2 for both."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, key = [], None
 
         def work():
-            pivots = [(n, w) for role, n, w, _ in group if role == 0]
+            pivots = [(n, w) for role, n, w, _ in group if role != 1]
             nodes = [(n, w, far) for role, n, w, far in group if role]
             if not nodes:
                 return None
@@ -180,7 +207,6 @@ def compare(rows: DataFrame) -> DataFrame:
                 has[np.searchsorted(all_, w), k] = 1
             size = np.array([len(w) for _, w in pivots])
             names = [n for n, _ in pivots]
-            index = {n: i for i, n in enumerate(names)}
             root = list(range(len(pivots)))
 
             def find(i):
@@ -199,7 +225,7 @@ def compare(rows: DataFrame) -> DataFrame:
                 out.append((n, linked[0] if linked else -1, (1 - both / either) if far else None))
             tops = [names[find(i)] for i in range(len(names))]
             return [(key[0], n, tops[i] if i >= 0 else n, d) for n, i, d in out] + [
-                (key[0], n, tops[i], None) for n, i in index.items() if tops[i] != n]
+                (key[0], n, tops[i], None) for i, n in enumerate(names) if tops[i] != n]
 
         for batch in batches:
             region, salt, role, node, words, far = (batch.column(i) for i in range(6))
@@ -222,37 +248,39 @@ def compare(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "region string, node binary, root binary, d array<double>")
 
 
-def join_regions(sets: DataFrame, regions: DataFrame) -> DataFrame:
+def join_regions(sets: DataFrame, regions: DataFrame) -> DataFrame | None:
     """Links (a, b) that join just those documents that links within the regions (region, node) join.
 
     `open`: a document still to be compared with all of its region. While a region has more than LEAF of them, about
-    PIVOTS of them are compared; later, all. In the first round, documents of a region's commonest component need no
-    links among each other, so only the others stay open.
+    PIVOTS of them are compared, else all. In the first round, documents of a region's commonest component need no
+    links among each other, so only the others stay open. Cells that distances no longer divide are joined in blocks of
+    open documents (`last`): exact, and split over tasks.
     """
-    links, regions, level = None, regions.withColumn("open", F.lit(True)), 0
+    links, level = None, 0
+    regions = regions.select("region", "node", F.lit(True).alias("open"), F.lit(False).alias("last"))
     by = F.xxhash64("node", F.lit(7))
     while True:
         sizes = regions.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("open").cast("int")).alias("o"),
                                               F.min(F.when(F.col("open"), by)).alias("low"))
-        far = F.col("o") > LEAF
-        rows = regions.join(sizes.where("o > 0 AND m > 1"), "region").select(
+        far = (F.col("o") > LEAF) & ~F.col("last")
+        rows = kept(regions.join(sizes.where("o > 0 AND m > 1"), "region").select(
             "region", "node", far.alias("far"), F.ceil(F.col("m") / GROUP).cast("int").alias("salts"),
-            (F.col("open") & (~far | (F.pmod(by, F.col("o")) < PIVOTS) | (by == F.col("low")))).alias("pivot"), "open")
-        rows = kept(rows, "rows")
+            (F.col("open") & (~far | (F.pmod(by, F.col("o")) < PIVOTS) | (by == F.col("low")))).alias("pivot"), "open"), "rows")
         if rows.isEmpty():
             break
-        put = rows.join(sets, "node")
-        put = put.select("region", F.explode(F.when(F.col("pivot"), F.sequence(F.lit(0), "salts")).otherwise(
-            F.array("salts"))).alias("salt"), "salts", "node", "words", "far").select(
-            "region", F.when(F.col("salt") == F.col("salts"), F.pmod(F.xxhash64("node"), "salts")).otherwise(
-                F.col("salt")).cast("int").alias("salt"),
-            (F.col("salt") == F.col("salts")).cast("int").alias("role"), "node", "words", "far")
+        own = F.pmod(F.xxhash64("node"), "salts").cast("int")
+        copy = lambda salt, role: F.struct(salt.alias("salt"), F.lit(role).alias("role"))
+        copies = F.when(F.col("pivot") & (F.col("salts") == 1), F.array(copy(own, 2))).when(F.col("pivot"), F.concat(
+            F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda s: copy(s, 0)), F.array(copy(own, 1))
+        )).otherwise(F.array(copy(own, 1)))
+        put = rows.join(sets, "node").select("region", F.explode(copies).alias("c"), "node", "words", "far").select(
+            "region", "c.salt", "c.role", "node", "words", "far")
         put = put.repartition("region", "salt").sortWithinPartitions("region", "salt", "role", "node")
         found = kept(compare(put), "found")
         new = found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
         links = new if links is None else links.unionAll(new)
-        left = rows.where("far").join(found.where("d IS NOT NULL").select("region", "node", "d"), ["region", "node"])
-        left = kept(left, "left")
+        left = kept(rows.where("far").join(found.where("d IS NOT NULL").select("region", "node", "d"), ["region", "node"]),
+                    "left")
         if left.isEmpty():
             break
         if level == 0:
@@ -261,7 +289,8 @@ def join_regions(sets: DataFrame, regions: DataFrame) -> DataFrame:
             top = (left.groupBy("region", "component").count().groupBy("region")
                    .agg(F.max_by("component", F.struct("count", "component")).alias("top")))
             left = left.join(top, "region").withColumn("open", F.col("component") != F.col("top"))
-        regions, level = kept(cells(left), "cells"), level + 1
+        level += 1
+        regions = kept(blocks(kept(cells(left), "cells"), level >= LEVELS), "regions")
     return links
 
 
@@ -278,6 +307,18 @@ def cells(left: DataFrame) -> DataFrame:
                        (stays & (home == F.col("cell"))).alias("open"))
 
 
+def blocks(regions: DataFrame, all_: bool) -> DataFrame:
+    """Regions with few open documents, or all, as blocks of about LEAF open ones with everything of the region."""
+    sizes = regions.groupBy("region").agg(F.sum(F.col("open").cast("int")).alias("o"))
+    last = F.lit(True) if all_ else F.col("o") <= 8 * LEAF
+    cut = regions.join(sizes.where("o > 0"), "region").withColumn(
+        "many", F.when(last, F.ceil(F.col("o") / LEAF)).otherwise(1).cast("int"))
+    cut = cut.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
+    own = F.pmod(F.xxhash64("node", F.lit(9)), "many") == F.col("block")
+    return cut.select(F.concat_ws("#", "region", "block").alias("region"), "node", (F.col("open") & own).alias("open"),
+                      last.alias("last"))
+
+
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
     """One row per row of `docs`: id, n_shingles, component_id (smallest id that links reach).
 
@@ -295,11 +336,10 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hashes, counts = often["hash"].to_numpy().view(np.uint64), often["n"].to_numpy()
     order = np.argsort(hashes)
     frequent = spark.sparkContext.broadcast((hashes[order], counts[order]))
-    met = candidates(docs, size, frequent).withColumn("met", F.coalesce("to", F.lag("g").over(
-        W.partitionBy("key").orderBy("g"))))
-    regions = components(met.where("met IS NOT NULL").select(F.col("g").alias("a"), F.col("met").alias("b")))
+    parts = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
+    regions = components(candidates(docs, size, frequent, parts))
     reps = rows.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"))
-    g = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
+    g = F.conv(F.hex(F.substring("digest", 1, 6)), 16, 10).cast("long")
     chosen = kept(reps.withColumn("g", g).join(regions.withColumnRenamed("id", "g"), "g")
                   .select("id", "digest", F.col("component").cast("string").alias("region")), "chosen")
     links = join_regions(kept(sets_of(docs, chosen, size), "words"), chosen.select("region", F.col("digest").alias("node")))
