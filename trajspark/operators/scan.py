@@ -6,12 +6,12 @@ single pass. It needs the rows of a key to fit one task.
 `CHUNKED` computes the same columns when a single key may hold a large part of
 the table. Rows are range-partitioned by (key, order), so Spark splits a hot
 key over many tasks; windows run inside a chunk, one summary row per (key,
-chunk) carries the running state, and the carried state is added back. There
-are at most `chunks + keys` summaries, so broadcasting them is safe.
+chunk) carries the running state, and the carried state is joined back.
 
-`by_key` counts rows per key once and sends only the hot keys down the
-chunked path. Operators are written against the common interface and do not
-know which of the two they run on.
+`choose_scan` and `by_key` count rows per key, and only keys with more than
+`HOT_ROWS` rows take the chunked path. Both paths give the same rows, for a
+null key too, so the limit is a matter of speed alone. Operators are written
+against the common interface and do not know on which they run.
 """
 
 from __future__ import annotations
@@ -25,9 +25,14 @@ from trajspark.functions.columns import col
 from trajspark.session import cut_lineage
 
 HOT_ROWS = 2_000_000
-BROADCAST_KEYS = 100_000
-# Leaf files below this size cannot hold a key worth splitting.
-SMALL_INPUT_BYTES = 64 << 20
+
+
+def join_null_safe(df: DataFrame, other: DataFrame, keys, how: str = "left"
+                   ) -> DataFrame:
+    """Join on keys of which null equals null; `other` adds its rest."""
+    other = other.withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
+    return df.join(other, on, how).drop(*[f"__k_{k}" for k in keys])
 
 
 @dataclass(frozen=True)
@@ -202,7 +207,7 @@ class ChunkedScan:
             state.append(e.alias(f"__s_{name}"))
         state = summary.select(*part, *state)
 
-        joined = inside.join(F.broadcast(state), part, "left")
+        joined = join_null_safe(inside, state, part)
         out = {}
         for name, s in specs.items():
             here, past = F.col(f"__in_{name}"), F.col(f"__s_{name}")
@@ -233,40 +238,60 @@ class ChunkedScan:
               ) -> DataFrame:
         df = cut_lineage(df)
         per = df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()])
-        per = cut_lineage(per)
-        if per.count() <= BROADCAST_KEYS:
-            per = F.broadcast(per)
-        return df.drop(*aggs).join(per, list(keys), "left")
+        return join_null_safe(df.drop(*aggs), per, list(keys))
 
 
-PLAIN = PlainScan()
-CHUNKED = ChunkedScan()
+class SplitScan:
+    """Plain windows for most keys, chunks for the given hot ones.
 
+    `keys` are the columns of `hot`; the keys of a calculation contain them.
+    """
 
-def leaf_bytes(df: DataFrame) -> int:
-    """Size of the files and relations a plan reads, as Spark states it."""
-    plan = df._jdf.queryExecution().optimizedPlan()
-    leaves = plan.collectLeaves()
-    total = 0
-    for i in range(leaves.size()):
-        total += int(str(leaves.apply(i).stats().sizeInBytes()))
-    return total
+    def __init__(self, hot: DataFrame, keys, chunks: int | None = None):
+        self.hot, self.keys = hot, list(keys)
+        self.chunked = ChunkedScan(chunks)
+
+    def _both(self, df: DataFrame, fn) -> DataFrame:
+        cold = join_null_safe(df, self.hot, self.keys, "left_anti")
+        warm = join_null_safe(df, self.hot, self.keys, "left_semi")
+        return fn(PLAIN, cold).unionByName(fn(self.chunked, warm))
+
+    def add(self, df: DataFrame, keys, order, **specs: Spec) -> DataFrame:
+        if not set(self.keys) <= set(keys):
+            return self.chunked.add(df, keys, order, **specs)
+        return self._both(df, lambda s, d: s.add(d, keys, order, **specs))
+
+    def group(self, df: DataFrame, keys, order=(), **aggs: Column
+              ) -> DataFrame:
+        return self.chunked.group(df, keys, order, **aggs)
+
+    def cluster(self, df: DataFrame, keys) -> DataFrame:
+        return df
+
+
+PLAIN = PlainScan()
+CHUNKED = ChunkedScan()
+# Tables found to have no hot key, so that a report that uses one table many
+# times counts it once. A stale entry costs speed, no rows.
+_COLD: set[tuple] = set()
 
 
 def hot_keys(dfs, keys, limit: int = HOT_ROWS) -> DataFrame | None:
-    """Keys with more than `limit` rows, or None. Small sets come back ready
-    to broadcast, larger ones as an ordinary table."""
-    counts = None
-    for d in dfs:
-        c = d.select(*keys)
-        counts = c if counts is None else counts.unionByName(c)
+    """Keys with more than `limit` rows, or None."""
+    dfs = [d.select(*keys) for d in dfs]
+    seen = (dfs[0].sparkSession.sparkContext.applicationId, limit,
+            *[d.semanticHash() for d in dfs])
+    if seen in _COLD:
+        return None
+    counts = dfs[0]
+    for d in dfs[1:]:
+        counts = counts.unionByName(d)
     hot = (counts.groupBy(*keys).count().filter(F.col("count") > limit)
            .select(*keys))
-    hot = cut_lineage(hot)
-    n = hot.count()
-    if n == 0:
+    if hot.isEmpty():
+        _COLD.add(seen)
         return None
-    return F.broadcast(hot) if n <= BROADCAST_KEYS else hot
+    return cut_lineage(hot)
 
 
 def by_key(fn, dfs, keys, limit: int | None = None,
@@ -277,24 +302,20 @@ def by_key(fn, dfs, keys, limit: int | None = None,
     keys and joining the results up is the same as running it once.
     """
     dfs = list(dfs)
-    if limit is None and sum(leaf_bytes(d) for d in dfs) < SMALL_INPUT_BYTES:
-        return fn(PLAIN, *dfs)
     hot = hot_keys(dfs, keys, limit or HOT_ROWS)
     if hot is None:
         return fn(PLAIN, *dfs)
-    cold = [d.join(hot, list(keys), "left_anti") for d in dfs]
-    warm = [d.join(hot, list(keys), "left_semi") for d in dfs]
+    cold = [join_null_safe(d, hot, keys, "left_anti") for d in dfs]
+    warm = [join_null_safe(d, hot, keys, "left_semi") for d in dfs]
     return fn(PLAIN, *cold).unionByName(fn(ChunkedScan(chunks), *warm))
 
 
-def choose_scan(dfs, keys, limit: int | None = None):
-    """One scan for a whole job over these tables: plain windows, unless some
-    key is too large for a task."""
-    dfs = list(dfs)
-    if limit is None and sum(leaf_bytes(d) for d in dfs) < SMALL_INPUT_BYTES:
-        return PLAIN
-    return PLAIN if hot_keys(dfs, keys, limit or HOT_ROWS) is None \
-        else CHUNKED
+def choose_scan(dfs, keys, limit: int | None = None,
+                chunks: int | None = None):
+    """One scan for a whole job over these tables: plain windows, and chunks
+    for just the keys that are too large for a task."""
+    hot = hot_keys(list(dfs), keys, limit or HOT_ROWS)
+    return PLAIN if hot is None else SplitScan(hot, keys, chunks)
 
 
 def add_by_key(df: DataFrame, keys, order, scan=None, **specs: Spec
