@@ -3,7 +3,8 @@
 Every window of SPAN bytes belongs to its smallest hash of GRAM bytes, so equal windows meet under one key wherever they
 stand. Keys that one document alone has can't repeat; a bitmap of bounded size sorts most of them out (it may let others
 pass). The runs of windows that remain travel as strings, each distinct one once per unit of texts, and the suffix array
-of a part's strings puts equal windows next to each other. Keys of very many documents are dealt out window by window.
+of a part's strings puts equal windows next to each other. Keys of very many different strings are dealt out window by
+window.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from trajspark.llm.lyndon import suffix_array
 from trajspark.llm.words import U, mix, powers
 
 SPAN, GRAM = 50, 24
-#: Documents from which on a key is dealt out window by window; texts of a unit and of a part, in bytes.
-MANY, UNIT_BYTES, PART_BYTES = 256, 8 << 20, 8 << 20
+#: Different strings from which on a key is dealt out window by window; texts of a unit and of a part, in bytes.
+MANY, UNIT_BYTES, PART_BYTES = 2048, 8 << 20, 8 << 20
 #: Bytes of strings in one suffix array, but for strings of one key.
 SORTED_BYTES = 1 << 20
 #: Bits of a bitmap at most: 16 MB.
@@ -62,6 +63,11 @@ def runs_of(column: pa.Array):
     return low[first], row, first - at[row], size + SPAN - 1, at, data, total
 
 
+def hash_of(total: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of strings of bytes, from the prefix sums."""
+    return mix((total[begin + size] - total[begin]) * powers(len(total))[1][begin] + size.astype(np.uint64))
+
+
 def place(key: np.ndarray, bits: int) -> np.ndarray:
     """The bit of a key, from its lowest 40 bits."""
     return (mix(key & U((1 << 40) - 1)) % U(bits)).astype(np.int64)
@@ -79,24 +85,29 @@ def by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def keys_of(docs: DataFrame, parts: int) -> DataFrame:
-    """Of each unit and part the lowest 40 bits of distinct keys, and in how many documents each is (255 at most)."""
+    """Of each unit and part the lowest 40 bits of distinct keys, whether two documents have one (2, else 1), and how many
+    different strings it has (255 at most; counts of units add up)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, texts = [], 0, 0
 
         def unit():
-            key, doc = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((doc, key))
-            key, doc = key[order], doc[order]
-            each = np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))
-            found, n = np.unique(key[each], return_counts=True)
-            rows = [(p, found[r].view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), np.minimum(n[r], 255).astype(np.uint8)
-                     .tobytes()) for p, r in by_part(part_of(found, parts))]
+            key, doc, text = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((text, key))
+            key, doc, text = key[order], doc[order], text[order]
+            new = np.append(True, key[1:] != key[:-1])
+            first = np.flatnonzero(new)
+            several = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)
+            strings = np.add.reduceat((new | np.append(True, text[1:] != text[:-1])).astype(np.int64), first)
+            found = key[first]
+            rows = [(p, found[r].view(np.uint8).reshape(-1, 8)[:, :5].tobytes(),
+                     np.stack([several[r] + 1, np.minimum(strings[r], 255)], 1).astype(np.uint8).tobytes())
+                    for p, r in by_part(part_of(found, parts))]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names)
 
         for batch in slices(batches, "text"):
-            key, row, _, _, at, _, _ = runs_of(batch.column(0))
+            key, row, pos, length, at, data, total = runs_of(batch.column(0))
             if len(key):
-                held.append((key, row + texts))
+                held.append((key, row + texts, hash_of(total, at[row] + pos, length)))
             texts += batch.num_rows
             size += int(at[-1])
             if size >= UNIT_BYTES and held:
@@ -110,16 +121,16 @@ def keys_of(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def shared(keys: DataFrame, bits: int) -> DataFrame:
-    """The bits (from 1) of keys that two documents have or more, and whether MANY have them."""
+    """The bits (from 1) of keys that two documents have or more, and whether they have MANY strings."""
     def run(key, t):
         flat = [np.frombuffer(b, np.uint8).reshape(-1, 5) for b in t["keys"].to_pylist()]
         wide = np.zeros((sum(map(len, flat)), 8), np.uint8)
         wide[:, :5] = np.concatenate(flat)
-        n = np.frombuffer(b"".join(t["n"].to_pylist()), np.uint8)
+        docs, strings = np.frombuffer(b"".join(t["n"].to_pylist()), np.uint8).reshape(-1, 2).T
         found, which = np.unique(wide.view(np.uint64).ravel(), return_inverse=True)
-        docs = np.bincount(which, n)
-        hit = docs >= 2
-        return pa.table([pa.array(place(found[hit], bits) + 1), pa.array(docs[hit] >= MANY)], names=["bit", "many"])
+        hit = np.bincount(which, docs) >= 2
+        many = np.bincount(which, strings)[hit] >= MANY
+        return pa.table([pa.array(place(found[hit], bits) + 1), pa.array(many)], names=["bit", "many"])
 
     return keys.groupBy("part").applyInArrow(run, "bit bigint, many boolean")
 
@@ -149,7 +160,6 @@ def strings_of(docs: DataFrame, parts: int, bits: int, two, many) -> DataFrame:
             key, row, pos, size, bit = (x[hit] for x in (key, row, pos, size, bit))
             if not len(key):
                 continue
-            _, down = powers(len(data) + 1)
             apart = test(hot, bit)
             count = np.where(apart, size - SPAN + 1, 1)
             which = np.repeat(np.arange(len(key)), count)
@@ -157,9 +167,9 @@ def strings_of(docs: DataFrame, parts: int, bits: int, two, many) -> DataFrame:
             size = np.where(apart[which], SPAN, size[which])
             row, key = row[which], key[which]
             begin = at[row] + pos
-            text = mix((total[begin + size] - total[begin]) * down[begin] + size.astype(np.uint64))
+            text = hash_of(total, begin, size)
             key = np.where(apart[which], text, key)
-            found, one, string = np.unique(mix(text ^ key), return_index=True, return_inverse=True)
+            found, one, string = np.unique(mix(text + key * U(0x9E3779B97F4A7C15)), return_index=True, return_inverse=True)
             raw, ids = data.tobytes(), batch.column(0).cast(pa.int64()).fill_null(LAST).to_numpy()
             hashes, out = batch.column(2).to_numpy(), []
             part = part_of(key[one], parts)
@@ -227,37 +237,36 @@ def marks(strings: DataFrame) -> DataFrame:
         owner = np.full(len(texts), LAST)
         np.minimum.at(owner, string, id_)
         # A key with a single string has nothing to sort: equal windows are those of the string's own occurrences.
-        best, batch, size = {}, [], 0
+        start, best, batch, size = np.full(len(texts), -1), [], [], 0
         sort = [same for same in keys_of_text.values() if len(same) > 1]
         for n, same in enumerate(sort):
             batch += same
             size += sum(len(texts[i]) for i in same)
             if size >= SORTED_BYTES or n == len(sort) - 1:
-                best.update(zip(batch, earliest([texts[i] for i in batch], owner[batch])))
+                best += earliest([texts[i] for i in batch], owner[batch])
                 batch, size = [], 0
-        out = []
-        for i, d, h, p in zip(string.tolist(), id_.tolist(), hash_.tolist(), pos.tolist()):
-            low = best.get(i)
-            if low is None:
-                if owner[i] < d:
-                    out.append((d, h, p, p + len(texts[i])))
-                continue
-            hit = np.flatnonzero(low < d)
-            out += [(d, h, p + a, p + b) for a, b in spans_of(hit)]
-        cols = list(zip(*out)) or [[]] * 4
+        order = [i for same in sort for i in same]
+        start[order] = np.cumsum([0, *map(len, best)])[:-1][:len(order)]
+        low = np.concatenate([np.zeros(0, np.int64), *best])
+        length = np.array(list(map(len, texts)))
+        plain = (start[string] < 0) & (owner[string] < id_)
+        out = [(id_[plain], hash_[plain], pos[plain], pos[plain] + length[string[plain]])]
+        some = np.flatnonzero(start[string] >= 0)
+        windows = length[string[some]] - SPAN + 1
+        which = np.repeat(some, windows)
+        at = np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
+        hit = low[start[string[which]] + at] < id_[which]
+        which, at = which[hit], at[hit]
+        if len(which):
+            apart = (which[1:] != which[:-1]) | (np.diff(at) > SPAN)
+            a, b = np.append(True, apart), np.append(apart, True)
+            out.append((id_[which[a]], hash_[which[a]], pos[which[a]] + at[a], pos[which[b]] + at[b] + SPAN))
+        cols = [np.concatenate(c) for c in zip(*out)]
         return pa.table([pa.array(c, pa.int64()) for c in cols], names=["id", "hash", "first", "last"])
 
     return strings.groupBy("part").applyInArrow(run, "id bigint, hash bigint, first bigint, last bigint")
 
 
-def spans_of(windows: np.ndarray) -> list[tuple[int, int]]:
-    """The bytes that sorted windows cover, as maximal spans."""
-    if not len(windows):
-        return []
-    cut = np.flatnonzero(np.diff(windows) > SPAN) + 1
-    return [(int(x[0]), int(x[-1]) + SPAN) for x in np.split(windows, cut)]
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: id, n_bytes, n_removed, n_spans and `kept`, the bytes that remain.
 
