@@ -187,14 +187,19 @@ def hash_uniform(cols, seed) -> Column:
     return F.conv(hex8, 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def poisson_one(u: Column, upto: int = 12) -> Column:
-    """Poisson(1) count by inverting its distribution function."""
+def poisson_one(u: Column) -> Column:
+    """Poisson(1) count by inverting its distribution function, up to the
+    count at which a double can't tell it from 1."""
     import math
-    out, cdf = F.lit(upto), 0.0
-    steps = []
-    for k in range(upto):
-        cdf += math.exp(-1.0) / math.factorial(k)
+    k, cdf, steps = 0, 0.0, []
+    while True:
+        more = cdf + math.exp(-1.0) / math.factorial(k)
+        if more == cdf:
+            break
+        cdf = more
         steps.append((k, cdf))
+        k += 1
+    out = F.lit(k)
     for k, bound in reversed(steps):
         out = F.when(u < F.lit(bound), F.lit(k)).otherwise(out)
     return out

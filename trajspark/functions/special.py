@@ -5,20 +5,50 @@ from __future__ import annotations
 import math
 
 
+def _log1p_minus(x: float) -> float:
+    """log(1 + x) - x, without loss for small x."""
+    if abs(x) > 0.01:
+        return math.log1p(x) - x
+    term, total, k = x, 0.0, 2
+    while True:
+        term *= -x
+        new = total + term / k
+        if new == total:
+            return total
+        total, k = new, k + 1
+
+
+def _beyond_stirling(z: float) -> float:
+    """log gamma(z) less Stirling's leading terms, for z of 100 and more."""
+    return (1 / 12 - (1 / 360 - 1 / (1260 * z * z)) / (z * z)) / z
+
+
+def _log_beta_term(x: float, a: float, b: float) -> float:
+    """log(x^a (1 - x)^b / B(a, b)); large counts don't cancel."""
+    if min(a, b) < 100:
+        return (math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
+                + a * math.log(x) + b * math.log1p(-x))
+    n = a + b
+    d = x * n - a
+    return (a * _log1p_minus(d / a) + b * _log1p_minus(-d / b)
+            + 0.5 * math.log(a * b / (2 * math.pi * n))
+            + _beyond_stirling(n) - _beyond_stirling(a) - _beyond_stirling(b))
+
+
 def beta_cdf(x: float, a: float, b: float) -> float:
     """Regularised incomplete beta function by its continued fraction."""
     if x <= 0.0:
         return 0.0
     if x >= 1.0:
         return 1.0
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-                     + a * math.log(x) + b * math.log1p(-x))
+    front = math.exp(_log_beta_term(x, a, b))
     if x > (a + 1.0) / (a + b + 2.0):
         return 1.0 - beta_cdf(1.0 - x, b, a)
     tiny, c, d = 1e-300, 1.0, 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / (d if abs(d) > tiny else tiny)
     f = d
-    for m in range(1, 10_000):
+    # The fraction needs a number of terms of the order of the root.
+    for m in range(1, 1000 + int(20 * math.sqrt(a + b))):
         for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
                     -(a + m) * (a + b + m) * x
                     / ((a + 2 * m) * (a + 2 * m + 1))):
@@ -28,8 +58,8 @@ def beta_cdf(x: float, a: float, b: float) -> float:
             c = c if abs(c) > tiny else tiny
             f *= d * c
         if abs(d * c - 1.0) < 1e-14:
-            break
-    return front * f / a
+            return front * f / a
+    raise ArithmeticError(f"no convergence at {x}, {a}, {b}")
 
 
 def beta_quantile(p: float, a: float, b: float) -> float:

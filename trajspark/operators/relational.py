@@ -36,13 +36,11 @@ def indicators(df: DataFrame, column: str, values: dict,
 
 
 def dummies(df: DataFrame, column: str, levels=None,
-            prefix: str | None = None, max_levels: int = 1000) -> DataFrame:
-    """Indicator per level; levels found in the data when not given."""
+            prefix: str | None = None) -> DataFrame:
+    """Indicator per level; levels found in the data when not given. The
+    result is as wide as there are levels: give them for an open column."""
     if levels is None:
-        found = (df.select(column).na.drop().distinct()
-                 .limit(max_levels + 1).collect())
-        if len(found) > max_levels:
-            raise ValueError(f"{column} has over {max_levels} levels")
+        found = df.select(column).na.drop().distinct().collect()
         levels = sorted(r[0] for r in found)
     name = (lambda v: f"{prefix}{v}") if prefix else str
     return df.withColumns({
@@ -308,9 +306,8 @@ def event_rates(df: DataFrame, by, subject: str, events, trajectory,
 def ordinal_cutpoints(df: DataFrame, column: str) -> DataFrame:
     """Logit of the cumulative share of every level but the last."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(column).count()
-    # One row per level of an ordered code.
-    levels = PLAIN.add(counts.withColumn("__all", F.lit(1)), ["__all"],
-                       [column], cum=running_sum("count"))
+    levels = add_by_key(counts.withColumn("__all", F.lit(1)), ["__all"],
+                        [column], cum=running_sum("count"))
     total = counts.agg(F.sum("count")).scalar()
     p = F.col("cum") / F.col("__total")
     return (levels.withColumn("__total", total)

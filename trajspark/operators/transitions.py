@@ -13,7 +13,7 @@ from trajspark.functions.columns import (any_of, decision_code, finite,
                                          hash_uniform, relative_change,
                                          row_sum)
 from trajspark.operators.features import StateBuilder, bounded_collect
-from trajspark.operators.scan import (CHUNKED, HOT_ROWS, PLAIN, add_by_key,
+from trajspark.operators.scan import (CHUNKED, PLAIN, add_by_key,
                                       last_known, lead, running_sum)
 from trajspark.operators.trajectories import (DAY, KEYS, ORDER, TRAJ,
                                               drop_incomplete_events,
@@ -195,17 +195,15 @@ def missing_states(df: DataFrame, state: DataFrame, events,
 
 
 def weighted_sample(df: DataFrame, weight: str, n: int, seed: int = 42,
-                    keys=(*WITHIN, DAY), buckets: int | None = None
+                    keys=(*WITHIN, DAY), buckets: int = 1024
                     ) -> DataFrame:
     """n draws with replacement, row by row with probability by weight.
 
     Draws are first shared among hash buckets by a multinomial, then placed
     inside a bucket by sorting them among the running weights. `draws` counts
-    how often a row was taken.
+    how often a row was taken. A draw depends on the seed and the number of
+    buckets, not on settings of the session.
     """
-    if buckets is None:
-        buckets = max(64, int(df.sparkSession.conf.get(
-            "spark.sql.shuffle.partitions")) * 4)
     b = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(buckets)).cast("int")
     rows = df.filter(F.col(weight) > 0).withColumn("__b", b)
     totals = bounded_collect(rows.groupBy("__b").agg(
@@ -231,8 +229,7 @@ def weighted_sample(df: DataFrame, weight: str, n: int, seed: int = 42,
                      F.lit(None).cast(starts.schema["__row"].dataType)
                      .alias("__row")))
     # A row with much weight draws often: its bucket may be hot.
-    heavy = int((totals["n"] + totals["take"]).max()) > HOT_ROWS
-    placed = (CHUNKED if heavy else PLAIN).add(
+    placed = CHUNKED.add(
         starts.unionByName(draws), ["__b"], ["__at", "__kind"],
         __hit=last_known("__row"))
     hits = (placed.filter("__kind = 1").groupBy("__hit")
