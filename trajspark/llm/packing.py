@@ -11,6 +11,7 @@ import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from trajspark.llm.words import LOWER, SPACE, words_of
 
 CAPACITY, END_ID = 2048, 0
 #: Words whose ids a task remembers; beyond it, it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Classes of bytes between which a tokenizer of words, digits and marks always cuts: ASCII letters, digits and marks;
 #: 9: never cut there (the apostrophe belongs to endings, other bytes are looked at by the tokenizer alone).
 KIND = np.full(256, 9, np.uint8)
@@ -123,6 +124,12 @@ class Encoder:
         return ids, ends[w.first()]
 
 
+@lru_cache(1)
+def encoder_of(path: str) -> Encoder:
+    """One for each worker process: the next task goes on with it."""
+    return Encoder(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
            with_ids: bool = False) -> DataFrame:
     """One row per piece of at most `capacity` tokens of each text and its end: id, piece, start, length, ids_crc32,
@@ -130,7 +137,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     kind = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seen = Encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        encoder, part, seen = encoder_of(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in slices(batches, "text"):
             flat, at = encoder.encode(batch.column(1))
             tokens = np.insert(flat, at[1:], END_ID).astype("<u4")
