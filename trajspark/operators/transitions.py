@@ -163,9 +163,6 @@ def build_transitions(df: DataFrame, params: Params = Params(),
     rows = cut_lineage(eligible_rows(df, params, min_length, scan))
     fitted = fitted or StateBuilder(params).fit(rows, scan)
     names = fitted.state_names()
-    state = fitted.transform(rows, scan)
-    state = scan.add(state, WITHIN, ORDER,
-                     **{f"next_{c}": lead(c) for c in names})
     facts = elapsed(observed_decision(rows, scan=scan), scan)
     facts = transition_reward(facts, params.events_evaluated, params.discount,
                               params.value_reward, params.event_reward,
@@ -173,10 +170,12 @@ def build_transitions(df: DataFrame, params: Params = Params(),
     facts = done_flag(facts, scan=scan)
     facts = sample_weight(facts, weight_mode, factor,
                           params.events_evaluated, scan)
-    facts = facts.select(*WITHIN, DAY, "k", "option", "reward",
-                         (1.0 - F.col("done")).alias("not_done"),
-                         "sample_weight")
-    out = facts.join(state, [*WITHIN, DAY])
+    facts = facts.withColumn("not_done", 1.0 - F.col("done"))
+    # The state is worked out on the same rows, so nothing has to be joined.
+    out = fitted.transform(facts, scan, ["k", "option", "reward", "not_done",
+                                         "sample_weight"])
+    out = scan.add(out, WITHIN, ORDER,
+                   **{f"next_{c}": lead(c) for c in names})
     # A row with k has a reward; filtering on k keeps the longer expression
     # out of pushed-down predicates.
     needed = ["k", "option", "not_done", "sample_weight", *names,
