@@ -1143,4 +1143,4 @@ def _(spark, sf):
 
 
 # The rest of the catalogue lives next door and registers itself here.
-from trajspark.plans import catalog_reports  # noqa: E402,F401
+from trajspark.plans import catalog_reports, catalog_sources  # noqa: E402,F401

@@ -20,13 +20,9 @@ def local_session(cpus: int | str = 8, app: str = "trajspark",
             .getOrCreate())
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder of the cluster.
-
-    The folder comes from `spark.checkpoint.dir`. Only a local master without
-    the setting gets a folder of its own.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of `spark.checkpoint.dir`; only a local master without the
+    setting gets one of its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -35,4 +31,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a shared folder")
             shared = tempfile.mkdtemp(prefix="trajspark-")
         sc.setCheckpointDir(shared)
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder of the cluster."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
