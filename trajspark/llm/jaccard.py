@@ -22,7 +22,7 @@ from trajspark.llm.repeats import by_part, part_of
 from trajspark.llm.words import SPACE, U, mix, words_of
 
 SIZE, NUM, DEN = 5, 4, 5  # shingles of five words; linked from 4/5 on
-LEAF, PIVOTS, GROUP, LEVELS = 64, 8, 128, 4
+LEAF, PIVOTS, GROUP, LEVELS = 64, 8, 128, 2
 #: Bytes of text for one partition of keys; no result depends on it.
 PART_BYTES = 8 << 20
 #: Shingles whose counts order the prefixes; any order gives the same links, this one fewer candidates.
@@ -85,7 +85,7 @@ def describe(docs: DataFrame, size: int) -> DataFrame:
 
 
 def candidates(docs: DataFrame, size: int, frequent, parts: int) -> DataFrame:
-    """Links (a, b) between sets that share a key, as a chain for each key; a set goes by 48 bits of its digest.
+    """Links (a, b) between sets that share a key, as a star for each key; a set goes by 48 bits of its digest.
 
     Keys are pairs of neighbours among the first 0.4 n + 2 shingles of a set, the rare ones first. Two linked sets have
     at most a quarter as many shingles of their own as in common, so not all neighbours in common can be parted, and
@@ -143,11 +143,11 @@ def candidates(docs: DataFrame, size: int, frequent, parts: int) -> DataFrame:
 
 
 def chained(key: np.ndarray, g: np.ndarray):
-    """Order of the rows that are the first of each key, and the distinct links (g, g) between neighbours of one key."""
+    """The rows that are the first of each key, and the distinct links of the others with the first of their key."""
     order = np.lexsort((g, key))
     k, o = key[order], g[order]
     new = np.append(True, k[1:] != k[:-1])
-    pairs = np.stack([o[1:], o[:-1]], 1)[~new[1:]].astype(np.int64)
+    pairs = np.stack([o, o[np.flatnonzero(new)][np.cumsum(new) - 1]], 1)[~new].astype(np.int64)
     pairs = pairs[pairs[:, 0] != pairs[:, 1]]
     return order[new], np.unique(pairs, axis=0) if len(pairs) else pairs
 
@@ -279,10 +279,9 @@ def join_regions(sets: DataFrame, regions: DataFrame) -> DataFrame | None:
         found = kept(compare(put), "found")
         new = found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
         links = new if links is None else links.unionAll(new)
-        left = kept(rows.where("far").join(found.where("d IS NOT NULL").select("region", "node", "d"), ["region", "node"]),
-                    "left")
-        if left.isEmpty():
+        if rows.where("far").isEmpty():
             break
+        left = rows.where("far").join(found.where("d IS NOT NULL").select("region", "node", "d"), ["region", "node"])
         if level == 0:
             parts = components(links).withColumnRenamed("id", "node")
             left = kept(left.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "left")
@@ -290,7 +289,7 @@ def join_regions(sets: DataFrame, regions: DataFrame) -> DataFrame | None:
                    .agg(F.max_by("component", F.struct("count", "component")).alias("top")))
             left = left.join(top, "region").withColumn("open", F.col("component") != F.col("top"))
         level += 1
-        regions = kept(blocks(kept(cells(left), "cells"), level >= LEVELS), "regions")
+        regions = kept(blocks(cells(left), level >= LEVELS), "regions")
     return links
 
 
