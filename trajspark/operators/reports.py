@@ -20,6 +20,7 @@ from trajspark.operators.scan import PLAIN, lead
 from trajspark.operators.trajectories import (DAY, KEYS, ORDER, TRAJ,
                                               fill_distance, trailing_count,
                                               ttr_aggs, with_days_in_range)
+from trajspark.session import cut_lineage
 
 WITHIN = [*KEYS, TRAJ]
 
@@ -63,8 +64,9 @@ def consistency_table(compared: DataFrame, diff: str, chars: DataFrame,
     characteristics, medication, outcome and the centre's mean
     consistency."""
     rows = before_outcome(compared, tte, key)
-    per = star_join(subject_consistency(rows, diff, key),
-                    [(chars, key), (meds, key), (tte, key)])
+    # One row for each subject; the mean of the centre reads it again.
+    per = cut_lineage(star_join(subject_consistency(rows, diff, key), [
+        (chars, key), (meds, key), (tte, key)]))
     return with_group_mean(per, "centre", "algorithm_consistency",
                            "centre_algorithm_consistency")
 
@@ -75,12 +77,14 @@ def ttr_table(compared: DataFrame, diff: str, chars: DataFrame,
     by trajectory length, consistency and the centre's mean. `compared`
     carries `ttr` and `length` of its trajectory."""
     rows = compared.filter(finite(diff))
-    per_traj = rows.groupBy(key, TRAJ).agg(F.avg("ttr").alias("ttr"),
-                                           F.avg("length").alias("length"))
-    ttr = per_traj.groupBy(key).agg(weighted_mean("ttr", "length")
-                                    .alias("ttr"))
-    per = star_join(ttr, [(subject_consistency(rows, diff, key), key),
-                          (chars, key)])
+    close = (F.abs(F.col(diff)) <= 0.05).cast("double")
+    per_traj = rows.groupBy(key, TRAJ).agg(
+        F.avg("ttr").alias("ttr"), F.avg("length").alias("length"),
+        F.sum(close).alias("__close"), F.count(close).alias("__rows"))
+    ttr = per_traj.groupBy(key).agg(
+        weighted_mean("ttr", "length").alias("ttr"),
+        (F.sum("__close") / F.sum("__rows")).alias("algorithm_consistency"))
+    per = cut_lineage(star_join(ttr, [(chars, key)]))
     return with_group_mean(per, "centre", "algorithm_consistency",
                            "centre_algorithm_consistency")
 
@@ -421,16 +425,12 @@ def transition_heatmaps(df: DataFrame, patched: bool = False, scan=PLAIN):
     return first, second
 
 
-MODEL_NAMES = {"policy": "RL Algorithm", "threshold": "Rule-Based",
-               "maintain": "Always Maintain", "random": "Random"}
-
-
 def agreement_curve(dis: DataFrame, width: float = 1.0) -> DataFrame:
     """Time in range and length by bins of the mean absolute difference, in
     percent, for every algorithm."""
     pairs = F.explode(F.array(*[F.struct(
         F.lit(n).alias("model"), (F.col(f"{a}_diff") * 100).alias("diff"))
-        for a, n in MODEL_NAMES.items()])).alias("p")
+        for a, n in P.MODEL_NAMES.items()])).alias("p")
     rows = dis.select("ttr", "length", pairs).select("ttr", "length", "p.*") \
         .filter(finite("diff"))
     rows = rows.withColumn("bin", F.floor(F.col("diff") / width))
@@ -440,10 +440,6 @@ def agreement_curve(dis: DataFrame, width: float = 1.0) -> DataFrame:
         (weighted_mean("ttr", "length") * 100).alias("ttr_pct"))
 
 
-ALGORITHM_NAMES = {"POLICY": "BCQ-SMDP", "THRESHOLD": "Benchmark Algorithm",
-                   "MAINTAIN": "No Change", "RANDOM": "Random"}
-
-
 def classification_table(metrics: DataFrame) -> DataFrame:
     """Sensitivity and specificity with limits as text, one row per
     algorithm, from metrics named `ALGO/classification/stat[_lower|_upper]`."""
@@ -455,7 +451,7 @@ def classification_table(metrics: DataFrame) -> DataFrame:
     wide = rows.groupBy("algorithm", "statistic").pivot(
         "bound", ["value", "lower", "upper"]).agg(F.first("value"))
     text = wide.select(
-        map_codes("algorithm", ALGORITHM_NAMES).alias("algorithm"),
+        map_codes("algorithm", P.ALGORITHM_NAMES).alias("algorithm"),
         "statistic", fmt_ci("value", "lower", "upper").alias("text"))
     return pivot(text, ["algorithm"], "statistic", "text",
                  ["sensitivity", "specificity"])

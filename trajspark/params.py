@@ -57,6 +57,12 @@ AGREEMENT_THRESHOLDS = (0.001, 0.0025, 0.005, 0.01, 0.025, 0.05, 0.1, 0.15)
 DAYS_PER_YEAR = 365.25
 DAYS_PER_MONTH = 30.4375
 
+# Names in finished tables.
+MODEL_NAMES = {"policy": "RL Algorithm", "threshold": "Rule-Based",
+               "maintain": "Always Maintain", "random": "Random"}
+ALGORITHM_NAMES = {"POLICY": "BCQ-SMDP", "THRESHOLD": "Benchmark Algorithm",
+                   "MAINTAIN": "No Change", "RANDOM": "Random"}
+
 
 @dataclass(frozen=True)
 class Params:

@@ -913,7 +913,7 @@ def _(spark, sf):
     return rp.transition_heatmaps(T(spark, sf), scan=scan_of(spark, sf))[1]
 
 
-_NAMES = {a: n for a, n in rp.MODEL_NAMES.items()}
+_NAMES = {a: n for a, n in P.MODEL_NAMES.items()}
 
 
 @query("agreement_curve", "model:s bin:l trajectories:l total_days:l "
