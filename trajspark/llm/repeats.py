@@ -214,6 +214,55 @@ def earliest(strings: list[bytes], owner: np.ndarray, limit: int = 1 << 20) -> l
     return np.split(flat, base[1:])
 
 
+def smallest(strings: list[bytes], owner: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """For all windows of all strings, in order, the smallest owner of an equal window under the same key.
+
+    Windows whose hash is the only one of its kind under the key have no equal. What is left of the strings goes to
+    suffix arrays, key by key, but where it is one string.
+    """
+    size = np.array(list(map(len, strings)))
+    begin = np.cumsum(size) - size
+    data = np.frombuffer(b"".join(strings), np.uint8)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + U(1)) * powers(len(data) + 1)[0][:-1], out=total[1:])
+    windows = size - SPAN + 1
+    string = np.repeat(np.arange(len(strings)), windows)
+    at = np.arange(len(string)) - np.repeat(np.cumsum(windows) - windows, windows)
+    hashed = mix(hash_of(total, begin[string] + at, np.int64(SPAN)) + key[string].astype(np.uint64) * U(0x9E3779B97F4A7C15))
+    _, which, count = np.unique(hashed, return_inverse=True, return_counts=True)
+    shared = count[which] > 1
+    low = owner[string]
+    edge = np.append(True, string[1:] != string[:-1])
+    first = np.flatnonzero(shared & (edge | ~np.append(False, shared[:-1])))
+    last = np.flatnonzero(shared & (np.append(edge[1:], True) | ~np.append(shared[1:], False)))
+    table: dict[tuple[int, bytes], int] = {}
+    parts, owners, of_key = [], [], {}
+    part = np.zeros(len(first), np.int64)
+    for n, (a, b) in enumerate(zip(first.tolist(), last.tolist())):
+        i = int(string[a])
+        name = (int(key[i]), strings[i][at[a]:at[b] + SPAN])
+        j = table.get(name)
+        if j is None:
+            j = table[name] = len(parts)
+            parts.append(name[1])
+            owners.append(owner[i])
+            of_key.setdefault(name[0], []).append(j)
+        owners[j] = min(owners[j], owner[i])
+        part[n] = j
+    owners = np.array(owners, np.int64)
+    best = {}
+    batch, held, sort = [], 0, [same for same in of_key.values() if len(same) > 1]
+    for n, same in enumerate(sort):
+        batch += same
+        held += sum(len(parts[i]) for i in same)
+        if held >= SORTED_BYTES or n == len(sort) - 1:
+            best.update(zip(batch, earliest([parts[i] for i in batch], owners[batch])))
+            batch, held = [], 0
+    for a, b, j in zip(first.tolist(), last.tolist(), part.tolist()):
+        low[a:b + 1] = best[j] if j in best else owners[j]
+    return low
+
+
 def marks(strings: DataFrame) -> DataFrame:
     """(id, hash, first, last): bytes to remove, once for each occurrence whose windows an earlier document has."""
     def run(key, t):
@@ -237,17 +286,12 @@ def marks(strings: DataFrame) -> DataFrame:
         owner = np.full(len(texts), LAST)
         np.minimum.at(owner, string, id_)
         # A key with a single string has nothing to sort: equal windows are those of the string's own occurrences.
-        start, best, batch, size = np.full(len(texts), -1), [], [], 0
-        sort = [same for same in keys_of_text.values() if len(same) > 1]
-        for n, same in enumerate(sort):
-            batch += same
-            size += sum(len(texts[i]) for i in same)
-            if size >= SORTED_BYTES or n == len(sort) - 1:
-                best += earliest([texts[i] for i in batch], owner[batch])
-                batch, size = [], 0
-        order = [i for same in sort for i in same]
-        start[order] = np.cumsum([0, *map(len, best)])[:-1][:len(order)]
-        low = np.concatenate([np.zeros(0, np.int64), *best])
+        many = [same for same in keys_of_text.values() if len(same) > 1]
+        order = [i for same in many for i in same]
+        start, low = np.full(len(texts), -1), np.zeros(0, np.int64)
+        if order:
+            low = smallest([texts[i] for i in order], owner[order], np.repeat(np.arange(len(many)), list(map(len, many))))
+            start[order] = np.cumsum([0, *(len(texts[i]) - SPAN + 1 for i in order[:-1])])
         length = np.array(list(map(len, texts)))
         plain = (start[string] < 0) & (owner[string] < id_)
         out = [(id_[plain], hash_[plain], pos[plain], pos[plain] + length[string[plain]])]
