@@ -68,9 +68,10 @@ def hash_of(total: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarra
     return mix((total[begin + size] - total[begin]) * powers(len(total))[1][begin] + size.astype(np.uint64))
 
 
-def place(key: np.ndarray, bits: int) -> np.ndarray:
-    """The bit of a key, from its lowest 40 bits."""
-    return (mix(key & U((1 << 40) - 1)) % U(bits)).astype(np.int64)
+def places(key: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The two bits of a key, from its lowest 40 bits."""
+    low = key & U((1 << 40) - 1)
+    return [(mix(low + U(k << 41)) % U(bits)).astype(np.int64) for k in (0, 1)]
 
 
 def part_of(key: np.ndarray, parts: int) -> np.ndarray:
@@ -130,7 +131,8 @@ def shared(keys: DataFrame, bits: int) -> DataFrame:
         found, which = np.unique(wide.view(np.uint64).ravel(), return_inverse=True)
         hit = np.bincount(which, docs) >= 2
         many = np.bincount(which, strings)[hit] >= MANY
-        return pa.table([pa.array(place(found[hit], bits) + 1), pa.array(many)], names=["bit", "many"])
+        return pa.table([pa.array(np.concatenate(places(found[hit], bits)) + 1), pa.array(np.tile(many, 2))],
+                        names=["bit", "many"])
 
     return keys.groupBy("part").applyInArrow(run, "bit bigint, many boolean")
 
@@ -145,8 +147,20 @@ def bitmap(bits: DataFrame, size: int) -> bytes:
     return bytes(out)
 
 
-def test(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (flags[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+def test(flags: np.ndarray, bits: list[np.ndarray]) -> np.ndarray:
+    """Whether all bits of a key are set."""
+    return np.logical_and(*((flags[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0 for at in bits))
+
+
+def packed(x) -> bytes:
+    """Bytes or an array, compressed: shuffles of text are most of the work's disk."""
+    raw = x if isinstance(x, bytes) else x.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(b: bytes, kind=None):
+    raw = pa.decompress(b[8:], int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True)
+    return raw if kind is None else np.frombuffer(raw, kind)
 
 
 def strings_of(docs: DataFrame, parts: int, bits: int, two, many) -> DataFrame:
@@ -155,12 +169,11 @@ def strings_of(docs: DataFrame, parts: int, bits: int, two, many) -> DataFrame:
         flags, hot = (np.frombuffer(b.value, np.uint8) for b in (two, many))
         for batch in slices(batches, "text", UNIT_BYTES // 2):
             key, row, pos, size, at, data, total = runs_of(batch.column(1))
-            bit = place(key, bits)
-            hit = test(flags, bit)
-            key, row, pos, size, bit = (x[hit] for x in (key, row, pos, size, bit))
+            hit = test(flags, places(key, bits))
+            key, row, pos, size = (x[hit] for x in (key, row, pos, size))
             if not len(key):
                 continue
-            apart = test(hot, bit)
+            apart = test(hot, places(key, bits))
             count = np.where(apart, size - SPAN + 1, 1)
             which = np.repeat(np.arange(len(key)), count)
             pos = pos[which] + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
@@ -180,14 +193,16 @@ def strings_of(docs: DataFrame, parts: int, bits: int, two, many) -> DataFrame:
             for p, occ in by_part(part[string]):
                 rows = one[where[p]]
                 a = begin[rows]
-                out.append((p, key[rows].tobytes(), size[rows].astype(np.int64).tobytes(),
-                            b"".join([raw[x:y] for x, y in zip(a.tolist(), (a + size[rows]).tolist())]),
-                            place_in[string[occ]].astype(np.int32).tobytes(), ids[row[occ]].astype(np.int64).tobytes(),
-                            hashes[row[occ]].astype(np.int64).tobytes(), pos[occ].astype(np.int64).tobytes()))
+                docs_, doc = np.unique(row[occ], return_inverse=True)
+                out.append((p, key[rows].tobytes(), packed(size[rows].astype(np.int32)),
+                            packed(b"".join([raw[x:y] for x, y in zip(a.tolist(), (a + size[rows]).tolist())])),
+                            packed(place_in[string[occ]].astype(np.int32)), packed(doc.astype(np.int32)),
+                            packed(pos[occ].astype(np.int32)), ids[docs_].astype(np.int64).tobytes(),
+                            hashes[docs_].astype(np.int64).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names)
 
-    names = ["part", "keys", "sizes", "strings", "string", "id", "hash", "pos"]
-    types = [pa.int32()] + [pa.binary()] * 7
+    names = ["part", "keys", "sizes", "strings", "string", "doc", "pos", "id", "hash"]
+    types = [pa.int32()] + [pa.binary()] * 8
     return docs.select("id", "text", "hash").mapInArrow(run, ", ".join(["part int", *(f"{c} binary" for c in names[1:])]))
 
 
@@ -269,19 +284,20 @@ def marks(strings: DataFrame) -> DataFrame:
         texts, owner, table, occurrences = [], [], {}, []
         keys_of_text: dict[int, list[int]] = {}
         for r in t.to_pylist():
-            sizes = np.frombuffer(r["sizes"], np.int64)
-            ends = np.cumsum(sizes).tolist()
-            names = []
+            ends = np.cumsum(unpacked(r["sizes"], np.int32), dtype=np.int64).tolist()
+            names, strings_ = [], unpacked(r["strings"])
             for k, a, b in zip(np.frombuffer(r["keys"], np.uint64).tolist(), [0, *ends[:-1]], ends):
-                s = (k, r["strings"][a:b])
+                s = (k, strings_[a:b])
                 i = table.get(s)
                 if i is None:
                     i = table[s] = len(texts)
                     texts.append(s[1])
                     keys_of_text.setdefault(k, []).append(i)
                 names.append(i)
-            occurrences.append((np.array(names)[np.frombuffer(r["string"], np.int32)],
-                                *(np.frombuffer(r[c], np.int64) for c in ("id", "hash", "pos"))))
+            doc = unpacked(r["doc"], np.int32)
+            occurrences.append((np.array(names)[unpacked(r["string"], np.int32)],
+                                *(np.frombuffer(r[c], np.int64)[doc] for c in ("id", "hash")),
+                                unpacked(r["pos"], np.int32).astype(np.int64)))
         string, id_, hash_, pos = (np.concatenate(x) for x in zip(*occurrences))
         owner = np.full(len(texts), LAST)
         np.minimum.at(owner, string, id_)
