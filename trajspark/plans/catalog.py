@@ -107,7 +107,8 @@ def _(spark, sf):
 
 
 @query("drop_outlier_subjects", VISIT, q.W_V + """SELECT * FROM v WHERE
- (trial, subjid) NOT IN (SELECT (trial, subjid) FROM v WHERE dose >= 140)""")
+ NOT EXISTS (SELECT 1 FROM v AS hi WHERE hi.trial = v.trial
+ AND hi.subjid = v.subjid AND hi.dose >= 140)""")
 def _(spark, sf):
     return on_visits(spark, sf, lambda s, v: tr.drop_groups_with(
         v, KEYS, F.col("dose") >= 140, s))
@@ -134,8 +135,8 @@ def _(spark, sf):
  FROM v WHERE trial = 'ENGAGE' UNION ALL SELECT trial, subjid, study_day,
  value, NULL, seq FROM v WHERE trial = 'RELY' UNION ALL SELECT trial, subjid,
  study_day, NULL, dose, seq FROM v WHERE trial = 'ARISTOTLE')
- SELECT * FROM u WHERE (trial, subjid) NOT IN (SELECT (trial, subjid) FROM u
- WHERE dose >= 140)""")
+ SELECT * FROM u WHERE NOT EXISTS (SELECT 1 FROM u AS hi
+ WHERE hi.trial = u.trial AND hi.subjid = u.subjid AND hi.dose >= 140)""")
 def _(spark, sf):
     def union(scan, v):
         pick = lambda t, *c: v.filter(F.col("trial") == t).select(*c)

@@ -158,10 +158,10 @@ we2 AS (SELECT * FROM we1 WHERE value IS NOT NULL AND dose IS NOT NULL
 we3 AS (SELECT *, {_NEAR} AS near FROM we2),
 {split_flag("we3", "weekly", "dose = 0 AND near", "DOSE_INR_INTERRUPTION", _RAW, _VCOLS, observed=True, p="wx")}"""
 
-UNION = """un0 AS (SELECT * FROM daily UNION ALL SELECT * FROM avg_dose
-   UNION ALL SELECT * FROM weekly),
-un AS (SELECT * FROM un0 WHERE (trial, subjid) NOT IN (SELECT (trial, subjid)
-   FROM un0 WHERE dose >= 140))"""
+UNION = """un0 AS MATERIALIZED (SELECT * FROM daily UNION ALL
+   SELECT * FROM avg_dose UNION ALL SELECT * FROM weekly),
+un AS (SELECT * FROM un0 WHERE NOT EXISTS (SELECT 1 FROM un0 AS hi
+   WHERE hi.trial = un0.trial AND hi.subjid = un0.subjid AND hi.dose >= 140))"""
 
 _EVN = {"death": "All Cause Death", "stroke": "Ischemic Stroke",
         "major_bleed": "Major Bleeding", "minor_bleed": "Minor Bleeding",
