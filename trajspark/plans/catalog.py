@@ -132,18 +132,19 @@ def _(spark, sf):
 
 @query("union_trials", "trial:s subjid:l study_day:l value:d dose:d seq:l",
        q.W_V + """, u AS (SELECT trial, subjid, study_day, value, dose, seq
- FROM v WHERE trial = 'ENGAGE' UNION ALL SELECT trial, subjid, study_day,
+ FROM v WHERE trial IN ('ENGAGE', 'ROCKET_AF') UNION ALL SELECT trial, subjid, study_day,
  value, NULL, seq FROM v WHERE trial = 'RELY' UNION ALL SELECT trial, subjid,
  study_day, NULL, dose, seq FROM v WHERE trial = 'ARISTOTLE')
  SELECT * FROM u WHERE NOT EXISTS (SELECT 1 FROM u AS hi
  WHERE hi.trial = u.trial AND hi.subjid = u.subjid AND hi.dose >= 140)""")
 def _(spark, sf):
     def union(scan, v):
-        pick = lambda t, *c: v.filter(F.col("trial") == t).select(*c)
+        pick = lambda t, *c: v.filter(F.col("trial").isin(t)).select(*c)
         key = ["trial", "subjid", "study_day", "seq"]
-        return pl.union_trials(pick("ENGAGE", *key, "value", "dose"),
-                               pick("RELY", *key, "value"),
-                               pick("ARISTOTLE", *key, "dose"), scan=scan)
+        return pl.union_trials(
+            pick(["ENGAGE", "ROCKET_AF"], *key, "value", "dose"),
+            pick(["RELY"], *key, "value"),
+            pick(["ARISTOTLE"], *key, "dose"), scan=scan)
     return on_visits(spark, sf, union)
 
 
