@@ -343,7 +343,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     both = kept(shared(keys_of(docs, parts), bits), "bits")
     two, many = (spark.sparkContext.broadcast(bitmap(x.select("bit"), bits)) for x in (both, both.where("many")))
     found = marks(strings_of(docs, parts, bits, two, many))
-    spans = found.distinct().groupBy("id", "hash").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    spans = found.groupBy("id", "hash").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     key = F.coalesce(F.col("id").cast("bigint"), F.lit(LAST))
     rows = docs.withColumn("key", key).join(
         spans.select(F.col("id").alias("key"), "hash", "spans"), ["key", "hash"], "left").select("id", "text", "spans")
