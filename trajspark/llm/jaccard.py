@@ -87,10 +87,11 @@ def describe(docs: DataFrame, size: int) -> DataFrame:
 def candidates(docs: DataFrame, size: int, frequent, parts: int) -> DataFrame:
     """Links (a, b) between sets that share a key, as a star for each key; a set goes by 48 bits of its digest.
 
-    Keys are pairs of neighbours among the first 0.4 n + 2 shingles of a set, the rare ones first. Two linked sets have
-    at most a quarter as many shingles of their own as in common, so not all neighbours in common can be parted, and
-    the first that aren't are within these bounds on both sides. Each unit of texts sends a key once, and links of its
-    own at once.
+    Keys are three neighbours among the first 0.6 n + 3 shingles of a set, the rare ones first. Two linked sets have at
+    most a quarter as many shingles of their own (d together) as in common. The first 2 d + 3 in common stand within
+    these bounds on both sides, in at most d + 1 runs that no other shingle parts, so one run has three. Sets of up to
+    five shingles, where there may not be as many in common, also have pairs as keys. Each unit of texts sends a key
+    once, and links of its own at once.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, rank = frequent.value
@@ -117,9 +118,11 @@ def candidates(docs: DataFrame, size: int, frequent, parts: int) -> DataFrame:
                     at = np.minimum(np.searchsorted(often, s), len(often) - 1)
                     rare = np.where(often[at] == s, rank[at], 0)
                     s = s[np.argsort(rare, kind="stable")]
-                s = s[:2 * len(s) // 5 + 2]
-                keys.append(mix(s[:-1] * U(0x9E3779B97F4A7C15) + s[1:]))
-                owners.append(np.full(len(s) - 1, node_of(d)))
+                s = s[:3 * len(s) // 5 + 3]
+                two = mix(s[:-1] * U(0x9E3779B97F4A7C15) + s[1:])
+                three = mix(two[:-1] * U(0x9E3779B97F4A7C15) + s[2:])
+                keys.append(np.concatenate([two, three]) if len(s) <= 5 else three)
+                owners.append(np.full(len(keys[-1]), node_of(d)))
                 many += len(s)
             if many > FLUSH // 2:
                 yield flush()
