@@ -22,7 +22,7 @@ from trajspark.llm.words import U, mix, powers
 
 SPAN, GRAM = 50, 24
 #: Different strings from which on a key is dealt out window by window; texts of a unit and of a part, in bytes.
-MANY, UNIT_BYTES, PART_BYTES = 2048, 8 << 20, 8 << 20
+MANY, UNIT_BYTES, PART_BYTES = 2048, 8 << 20, 4 << 20
 #: Bytes of strings in one suffix array, but for strings of one key.
 SORTED_BYTES = 1 << 20
 #: Bits of a bitmap at most: 16 MB.
@@ -167,7 +167,7 @@ def strings_of(docs: DataFrame, parts: int, bits: int, two, many) -> DataFrame:
     """Of each unit and part the distinct strings, and where each occurs (id, hash of the text, first byte)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags, hot = (np.frombuffer(b.value, np.uint8) for b in (two, many))
-        for batch in slices(batches, "text", UNIT_BYTES // 2):
+        for batch in slices(batches, "text"):
             key, row, pos, size, at, data, total = runs_of(batch.column(1))
             hit = test(flags, places(key, bits))
             key, row, pos, size = (x[hit] for x in (key, row, pos, size))
