@@ -124,6 +124,16 @@ def test_schedule_stays_within_a_block():
             assert all(abs(seen[k] - a * t / 200) < 1 for k, a in share.items())
 
 
+def test_shares_of_skewed_sources_end():
+    """The sources lifted to one slot have none to give back."""
+    tiny = {f"t{i}": 0.0001 for i in range(10)}
+    for weights in ({"big": 5e6 ** 0.5, "a": 1, "b": 1, "c": 1}, {"big": 0.999, **tiny}):
+        share = mixing.shares(weights)
+        assert share == {s: 1 if s != "big" else 1001 - len(weights) for s in weights}
+    many = {f"m{i}": 1 + i for i in range(1500)}
+    assert set(mixing.shares(many).values()) == {1}
+
+
 def test_mixing(docs, odd, empty):
     got = mixing.schedule(docs, {"s0": 3, "s1": 1, "gone": 1}, block=2).toPandas().sort_values("position")
     assert len(got) == docs.count() and got.position.is_unique

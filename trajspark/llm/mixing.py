@@ -32,11 +32,11 @@ def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
     out = {s: max(1, int(exact[s])) for s in names}
     left = period - sum(out.values())
     while left:
-        step = 1 if left > 0 else -1
-        for s in sorted(names, key=lambda s: (step * (out[s] - exact[s]), s))[:abs(left)]:
-            if out[s] + step >= 1:
-                out[s] += step
-                left -= step
+        step = 1 if left > 0 else -1  # there are more slots than sources if some are to go back
+        able = [s for s in names if out[s] + step >= 1]
+        for s in sorted(able, key=lambda s: (step * (out[s] - exact[s]), s))[:abs(left)]:
+            out[s] += step
+            left -= step
     return out
 
 
