@@ -134,6 +134,28 @@ def test_shares_of_skewed_sources_end():
     assert set(mixing.shares(many).values()) == {1}
 
 
+def test_schedule_stays_within_a_block_of_the_weights():
+    """Of the weights as given, not of rounded ones, over far more slots than a period has."""
+    r = random.Random(10)
+    cases = [({"a": 0.6004999, "b": 0.3995001}, {"a": 40000, "b": 40000}),
+             ({"big": 0.9991, "t": 0.0004, "u": 0.0005}, {"big": 50000, "t": 500, "u": 500}),
+             ({f"m{i}": 0.01 + r.random() for i in range(1200)}, {f"m{i}": 40 for i in range(1200)}),
+             ({"big": 5e6 ** 0.5, "x": 1.0, "y": 1.0, "z": 1.0}, {"big": 312500, "x": 1, "y": 1, "z": 1})]
+    for weights, blocks in cases:
+        plan, total = mixing.phases(blocks, weights), sum(weights.values())
+        every = np.concatenate([at + (np.arange(blocks[s] - first) if p is None else p) for s, first, at, p in plan])
+        assert np.array_equal(np.sort(every), np.arange(sum(blocks.values())))
+        ends = min(at for *_, at, _ in plan if at) if any(at for *_, at, _ in plan) else len(every)
+        for s, _, at, p in plan:
+            if at == 0:
+                k = np.arange(len(p))  # before and after each block of the first phase
+                assert (np.abs(k - p * (weights[s] / total)) < 1 + 1e-9).all()
+                assert (np.abs(k + 1 - (p + 1) * (weights[s] / total)) < 1 + 1e-9).all()
+        for s in weights:
+            n = sum(len(p) for x, _, at, p in plan if x == s and at == 0)
+            assert abs(n - ends * weights[s] / total) < 1 + 1e-9
+
+
 def test_mixing(docs, odd, empty):
     got = mixing.schedule(docs, {"s0": 3, "s1": 1, "gone": 1}, block=2).toPandas().sort_values("position")
     assert len(got) == docs.count() and got.position.is_unique
