@@ -1,5 +1,9 @@
 import corpus_pipeline
+from pyspark.sql import functions as F
+
+from trajspark.llm import mixing
 from trajspark.llm.common import kept
+from trajspark.llm.exact import located
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,3 +23,29 @@ def test_stages(spark):
     assert len(ids[1] & toxic) < 0.3 * len(toxic) and len(ids[0]) - len(ids[1]) < 2 * len(toxic) * len(ids[0]) / 87
     assert ids[3] == ids[4] == ids[5]
     assert docs.groupBy("sequence_id").sum("length").where("`sum(length)` > 2048").count() == 0
+
+
+def test_sequences_follow_the_mixture(spark):
+    """Sequences come in the order of the schedule, whose sources follow the weights, wherever the documents are stored."""
+    small, n = 100, 500  # two sources, weights 10 and 20; texts of one length, and three for a sequence
+    docs = spark.range(n).select(
+        F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("the "), 620), F.lit("end")).alias("text"),
+        F.when(F.col("id") < small, "a").otherwise("b").alias("source"))
+    packed = []
+    for parts in (3, 7):
+        stored = kept(docs.repartition(parts, F.xxhash64(F.lit(parts), "doc_id")), "stored")
+        mixed = kept(corpus_pipeline.mix_sources(spark, stored, SF), "mixed")
+        out = corpus_pipeline.pack_sequences(spark, mixed, SF).select("doc_id", "piece", "sequence_id", "offset").collect()
+        packed.append(sorted((r["sequence_id"], r["offset"], r["doc_id"], r["piece"]) for r in out))
+    assert packed[0] == packed[1] and len(packed[0]) == n
+    numbers = sorted({x[0] for x in packed[0]})
+    assert numbers == list(range(len(numbers)))
+    rows = located(stored)
+    at = {r["doc_id"]: r["position"] for r in mixing.placed(rows).join(rows, ["__file", "__row"]).collect()}
+    assert len(set(at.values())) == n
+    order = [doc for _, _, doc, _ in packed[0]]
+    assert order == sorted(at, key=at.get)
+    seen, ends = 0, max(order.index(d) for d in range(small))
+    for t, doc in enumerate(order[:ends], 1):  # weights of 10 and 20, to less than a block and what is begun of one
+        seen += doc < small
+        assert abs(seen - t / 3) < 2 * mixing.BLOCK

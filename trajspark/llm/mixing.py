@@ -108,10 +108,12 @@ def label(source: Column) -> Column:
 
 
 def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, keys: list[str] | None = None,
-             source_col: str = "source", block: int = BLOCK, period: int | None = None, seed: int = 0) -> DataFrame:
+             source_col: str = "source", block: int = BLOCK, period: int | None = None, seed: int = 0,
+             by: list[str] | None = None) -> DataFrame:
     """One row per row of `docs`: its `keys`, source, `number` within the source, `block`, `slot` and `position`.
 
-    Documents are numbered in a seeded random order (by a hash of the keys; repeated rows tie and may swap). Without
+    Documents are numbered in a seeded random order (by a hash of the keys, or of those in `by`, and then by the keys;
+    repeated rows tie and may swap). Without
     weights, sources weigh the square root of their documents. Sources without a weight, or with 0, come after all
     others, in proportion to their size; weights of sources without documents are left out. Once a source ends, the
     others go on by their weights, so every document gets a place. A null source is a source. Weights are exact; with a
@@ -125,7 +127,7 @@ def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, ke
     plan = phases({s: -(-n // block) for s, n in count.items()}, {s: w for s, w in target.items() if s in count}, period)
     held = docs.sparkSession.sparkContext.broadcast(plan)  # 8 bytes for each block
     buckets = F.create_map(*(F.lit(x) for s, n in count.items() for x in (s, max(1, n // max(256, int(n ** 0.5))))))
-    unit = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11) / F.lit(float(1 << 53))
+    unit = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *(by or keys)), 11) / F.lit(float(1 << 53))
     rows = rows.withColumn("__u", unit).withColumn(
         "__b", F.floor(F.col("__u") * (F.try_element_at(buckets, "__s") if count else F.lit(1))))
     each = rows.groupBy("__s", "__b").agg(F.count(F.lit(1)).alias("n"))
@@ -159,10 +161,17 @@ def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, ke
     return ranked.mapInArrow(put, f"{kinds}, block bigint, slot bigint, position bigint")
 
 
+def placed(rows: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id",
+           source_col: str = "source", block: int = BLOCK) -> DataFrame:
+    """Locator and `position` of each of the located rows. The order goes by the id alone, so that it is the same wherever
+    the rows are stored; the locator only breaks ties of repeated ids."""
+    return schedule(rows, weights, [id_col, *LOCATOR], source_col, block, by=[id_col]).select(*LOCATOR, "position")
+
+
 def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id",
           source_col: str = "source", block: int = BLOCK) -> DataFrame:
-    """`docs`, all rows and columns, in the order of `schedule`: partition by partition and row by row."""
+    """`docs`, all rows and columns, in the order of `placed`: partition by partition and row by row."""
     rows = located(docs)
-    places = kept(schedule(rows, weights, [id_col, *LOCATOR], source_col, block), "places")
-    out = rows.join(places.select(*LOCATOR, F.col("position").alias("__position")), LOCATOR)
+    places = kept(placed(rows, weights, id_col, source_col, block), "places")
+    out = rows.join(places.withColumnRenamed("position", "__position"), LOCATOR)
     return out.repartitionByRange("__position").sortWithinPartitions("__position").select(*docs.columns)

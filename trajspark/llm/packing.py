@@ -10,8 +10,9 @@ from __future__ import annotations
 import os
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trajspark.llm.common import kept, offsets_of, slices
+from trajspark.llm.exact import LOCATOR, located
 from trajspark.llm.words import LOWER, SPACE, words_of
 
 CAPACITY, END_ID = 2048, 0
@@ -228,15 +230,31 @@ def combinations(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
-         with_ids: bool = False) -> DataFrame:
+         with_ids: bool = False, positions: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Every piece with its sequence and its place there: id, piece, start, length, ids_crc32 (ids), sequence_id, offset.
 
     Null and empty texts are one piece with the end alone. Ties between pieces of one length go by their place in the
     input; repeated rows and null ids are packed like others; an empty table gives no piece. Only id and text are read.
     Pieces of a frequent length are numbered in the tasks that cut them, so no length gathers in one task.
+
+    With `positions`, which gives locator and `position` (unique) of each of the located rows, ties go by position
+    and piece, equal lengths of a sequence follow each other, and sequences are numbered by their earliest piece. Numbers then come from ranges of
+    positions: no length and no order of sequences gathers in one task either.
     """
     spark = docs.sparkSession
-    cut = kept(pieces(docs, tokenizer, id_col, text_col, capacity, with_ids), "pieces")
+    if positions:
+        rows = located(docs)
+        place_of = kept(positions(rows), "positions")
+        step = width(place_of.count())
+        named = rows.select(F.struct(F.col(id_col).alias("id"), *LOCATOR).alias("row"), F.col(text_col).alias("text"))
+        cut = pieces(named, tokenizer, "row", "text", capacity, with_ids).withColumns(
+            {x: F.col(f"row.{x}") for x in ("id", *LOCATOR)})
+        cut = cut.join(place_of, LOCATOR).drop("row", "part", "rank", *LOCATOR).withColumnsRenamed({"id": id_col})
+        cut = cut.withColumn("part", F.floor(F.col("position") / F.lit(step)))
+        order = W.partitionBy("length", "part").orderBy("position", "piece")
+        cut = kept(cut.withColumn("rank", (F.row_number().over(order) - 1).cast("long")), "pieces")
+    else:
+        cut = kept(pieces(docs, tokenizer, id_col, text_col, capacity, with_ids), "pieces")
     counts = cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("length", "part", (F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n"))
                            .alias("before"))
@@ -244,24 +262,45 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     used, rows, sequence = defaultdict(int), [], 0
     for lengths, k in combinations(many, capacity):
         offset = 0
-        for x in lengths:
-            rows.append((x << 44 | used[x], sequence - used[x], offset))
-            used[x] += k
-            offset += x
+        for x, same in groupby(lengths) if positions else ((x, [x]) for x in lengths):
+            m = len(list(same))
+            rows.append((x << 44 | used[x], sequence, offset, m))
+            used[x] += k * m
+            offset += x * m
         sequence += k
-    plan = spark.sparkContext.broadcast(np.array(sorted(rows), np.int64).reshape(-1, 3))
+    plan = spark.sparkContext.broadcast(np.array(sorted(rows), np.int64).reshape(-1, 4))
     numbered = (cut.join(before, ["length", "part"]).withColumn("number", F.col("rank") + F.col("before"))
                 .drop("rank", "before", "part"))
-    head = [id_col, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
+    head = [id_col, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, *["position"] * bool(positions)]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, shift, offset = plan.value.T
+        key, sequence, offset, m = plan.value.T
         for batch in batches:
             length, number = (batch.column(i).to_numpy() for i in (len(head), len(head) + 1))
             row = np.searchsorted(key, length << 44 | number, "right") - 1
-            yield pa.RecordBatch.from_arrays([*batch.columns[:len(head)], pa.array(number + shift[row]),
-                                              pa.array(offset[row])], [*head, "sequence_id", "offset"])
+            after, rank = np.divmod((length << 44 | number) - key[row], m[row])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(head)], pa.array(sequence[row] + after),
+                                              pa.array(offset[row] + rank * length)], [*head, "sequence_id", "offset"])
 
     types = ", ".join(f"`{c}` {cut.schema[c].dataType.simpleString()}" for c in head)
-    return numbered.select(*head, F.col("length").alias("__length"), F.col("number").alias("__number")).mapInArrow(
+    out = numbered.select(*head, F.col("length").alias("__length"), F.col("number").alias("__number")).mapInArrow(
         place, f"{types}, sequence_id bigint, offset bigint")
+    return in_order(kept(out, "sequences"), step).drop("position") if positions else out
+
+
+def width(n: int) -> int:
+    """Positions of a range, so that neither the ranges nor the places in one grow in proportion to all."""
+    return max(256, int(n ** 0.5))
+
+
+def in_order(packed: DataFrame, step: int) -> DataFrame:
+    """The same pieces, with sequences numbered anew in the order of their earliest piece."""
+    first = packed.groupBy("sequence_id").agg(F.min(F.struct("position", "piece")).alias("first"))
+    first = kept(first.withColumn("part", F.floor(F.col("first.position") / F.lit(step))), "firsts")
+    counts = sorted(first.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())  # one for each range
+    before = dict(zip([r["part"] for r in counts], np.cumsum([0] + [r["n"] for r in counts]).tolist()))
+    before = first.sparkSession.createDataFrame(list(before.items()), "part bigint, before bigint")
+    rank = F.row_number().over(W.partitionBy("part").orderBy("first"))
+    new = first.withColumn("r", rank).join(before, "part").select(
+        "sequence_id", (F.col("r") - 1 + F.col("before")).alias("__new"))
+    return packed.join(new, "sequence_id").withColumn("sequence_id", F.col("__new")).select(*packed.columns)
