@@ -56,6 +56,26 @@ def test_personal_forms():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
 
 
+def test_patterns_find_identifiers_in_groups(spark):
+    seeds = [f"tel +49 30 12345{i:03d} and call +1 555 98765{i:02d} or card 4111 1111 1111 1111" for i in range(10, 20)]
+    host = "x" * 70
+    seeds += [f"mail me{i}@{host}.org now" for i in range(10)]
+    forms = {"Tel: 030 1234567": "030 1234567", "please call (555) 123-4567, or": "(555) 123-4567",
+             "tel 030 . 123.4567.": "030 . 123.4567", "tel 12345678 23456789 34567890": "12345678",
+             "tel 0301234567 0309876543": "0301234567", "call 1-800-555 1234 today": "1-800-555 1234",
+             "tel 555 1234abc": None, "tel 12 34 apples": None, "see 030 1234567": None}
+    texts = seeds + list(forms)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [(s["kind"], texts[r["doc_id"]][s["start"]:s["end"]]) for s in r["spans"] if not s["base"]]
+           for r in pii.personal_spans(df).collect()}
+    for i, text in enumerate(forms, len(seeds)):
+        assert got[i] == ([("phone", forms[text])] if forms[text] else []), text
+    long = f"mail {host}@{host} now"
+    assert (5, 5 + 141, [0], True) in pii.other_spans(long, pii.base_spans(long))
+    card = "card 4111 1111 1111 1112 now"
+    assert (5, 24, [2], True) in pii.other_spans(card, pii.base_spans(card))
+
+
 def test_patterns_find_unseen_forms(spark, docs, odd, empty):
     """Mail addresses follow 'reach me'; so does one whose form isn't known. Other words with digits stay."""
     rows = [(i, f"w{i} please reach me user{i}@mail.example.com now") for i in range(12)]

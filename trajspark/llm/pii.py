@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import sha256
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +30,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 DIGIT = re.compile(r"[0-9]")
 SIGN = re.compile(r"[0-9@]+")
+#: Digits that belong together without a space between; what may stand between such groups.
+PART = re.compile(r"\(?[0-9](?:[0-9().-]*[0-9])?\)?")
+GAP = re.compile(r" {1,2}(?:[.-] {1,2})?")
 SPACES = " \t\n\r\v\f"
 EDGE = ".,;:!?\"'()[]{}<>|*#&%"
 
@@ -68,8 +72,38 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def other_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Words with digits or an at sign of a length that an identifier has, outside of the spans taken."""
+def free(a: int, b: int, taken: list[tuple[int, int, int]]) -> bool:
+    return not any(x < b and a < y for _, x, y in taken)
+
+
+def grouped(text: str, start: int, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, list[int]]]:
+    """(start, end, kinds) of what neighbouring groups of digits from `start` on form together: for cards and phones the
+    most groups that fit, the longer first; none if that is never more than one group."""
+    a = start - (text[start - 1:start] == "(")
+    ends, at, digits = [], a, 0
+    while digits <= 19 and (m := PART.match(text, at)) and free(a, m.end(), taken):
+        after = text[m.end():m.end() + 1]
+        if after and after not in SPACES and after not in EDGE:
+            break
+        digits += sum(map(str.isdigit, m.group()))
+        ends.append(m.end())
+        gap = GAP.match(text, m.end())
+        if not gap:
+            break
+        at = gap.end()
+    longest: dict[int, list[int]] = {}
+    for k in (2, 3):
+        fit = [b for b in ends if fits(KINDS[k], text[a:b])]
+        if fit:
+            longest.setdefault(fit[-1], []).append(k)
+    if not longest or max(longest) == ends[0]:
+        return []
+    return [(a, b, longest[b]) for b in sorted(longest, reverse=True)]
+
+
+def other_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, list[int], bool]]:
+    """(start, end, kinds, whether the first at its place) of words with digits or an at sign, of a length that an
+    identifier has at least, and of digits written in groups, outside of the spans taken."""
     out, last = [], -1
     for m in SIGN.finditer(text):
         if m.start() < last:
@@ -85,11 +119,19 @@ def other_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
             a += 1
         while b > a and text[b - 1] in EDGE:
             b -= 1
-        if 6 <= b - a <= 64 and not any(x < b and a < y for _, x, y in taken):
-            out.append((a, b))
+        if groups := grouped(text, a, taken):
+            out.extend((*g, g is groups[0]) for g in groups)
+            last = groups[-1][1]
+        elif 6 <= b - a and free(a, b, taken):
+            out.append((a, b, [k for k, name in enumerate(KINDS) if fits(name, text[a:b])], True))
     return out
 
 
+def key_of(word: str) -> str:
+    """What stands for an identifier in the graph: itself in small letters, or if it is long, its digest."""
+    return word.lower() if len(word) <= 64 else sha256(word.lower().encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def fits(kind: str, word: str) -> bool:
     """Whether a word can be of a kind at all."""
     digits = sum(c in "0123456789" for c in word)
@@ -114,7 +156,7 @@ def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = docs.schema[id_col].dataType.simpleString()
     found = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()),
                                 ("word", pa.string()), ("patterns", pa.list_(pa.string())),
-                                ("may", pa.list_(pa.int32()))]))
+                                ("may", pa.list_(pa.int32())), ("first", pa.bool_())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -122,21 +164,20 @@ def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for text in batch.column(1).to_pylist():
                 text = text or ""
                 base = base_spans(text)
-                row = [{"kind": k, "start": a, "end": b, "word": text[a:b].lower(), "patterns": before(text, a),
-                        "may": [k]} for k, a, b in base]
-                for a, b in other_spans(text, base):
-                    may = [k for k, name in enumerate(KINDS) if fits(name, text[a:b])]
-                    row.append({"kind": None, "start": a, "end": b, "word": text[a:b].lower(),
-                                "patterns": before(text, a), "may": may})
+                row = [{"kind": k, "start": a, "end": b, "word": key_of(text[a:b]), "patterns": before(text, a),
+                        "may": [k], "first": True} for k, a, b in base]
+                row += [{"kind": None, "start": a, "end": b, "word": key_of(text[a:b]), "patterns": before(text, a),
+                         "may": may, "first": first} for a, b, may, first in other_spans(text, base)]
                 rows.append(row)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, found)], ["id", "found"])
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
         scan, f"id {kind}, found array<struct<kind:int,start:bigint,end:bigint,word:string,patterns:array<string>,"
-              "may:array<int>>>")
+              "may:array<int>,first:boolean>>")
     texts = kept(texts.withColumn("uid", F.monotonically_increasing_id()), "places")
     places = texts.select("uid", F.explode("found").alias("f")).select("uid", "f.*")
-    edges = places.select("word", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "word").agg(
+    # Each place counts once, however many ends it may have.
+    edges = places.where("first").select("word", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "word").agg(
         F.count(F.lit(1)).alias("n"), F.max("kind").alias("seed"))
     edges = kept(edges, "graph")
     total = edges.groupBy("pattern").agg(F.sum("n").alias("total"))
@@ -156,7 +197,8 @@ def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marked = places.where("kind IS NULL").select("uid", "start", "end", "may", F.explode("patterns").alias("pattern"))
     if sure is not None:
         marked = marked.join(sure, "pattern").where(F.array_contains("may", F.col("kind")))
-        marked = marked.groupBy("uid", "start", "end").agg(F.max_by("kind", F.struct("trust", -F.col("kind"))).alias("kind"))
+        marked = marked.groupBy("uid", "start").agg(F.max_by(F.struct("kind", "end"), F.struct(
+            "trust", -F.col("kind"), "end")).alias("best")).select("uid", "start", "best.*")
         marked = marked.groupBy("uid").agg(F.collect_list(F.struct("kind", "start", "end", F.lit(False).alias("base")))
                                            .alias("more"))  # of one text
         texts = texts.join(marked, "uid", "left")
