@@ -1,6 +1,6 @@
 import math
 
-from conftest import rows_of
+from helpers import rows_of
 from pyspark.sql import functions as F
 
 from trajspark.functions import columns as fc

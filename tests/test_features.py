@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import rows_of
+from helpers import rows_of
 from pyspark.sql import functions as F
 
 from trajspark.operators import features as fe

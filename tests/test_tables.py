@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows_of
+from helpers import rows_of
 
 from trajspark.operators.transitions import option_means
 from trajspark.sources import tables as tb

@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows_of
+from helpers import rows_of
 from pyspark.sql import functions as F
 
 from trajspark import params as P
