@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajspark.llm import exact, jaccard, mixing, neardup, ngram, packing, pii, repeats, secrets, toxicity
+from trajspark.llm import exact, jaccard, mixing, neardup, ngram, packing, pii, repeats, secrets, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -135,3 +135,9 @@ def op3_pii(spark: SparkSession, sf: str) -> DataFrame:
 def op5_mixing(spark: SparkSession, sf: str) -> DataFrame:
     """The place of every document in the mixture."""
     return mixing.schedule(table(spark, sf, "documents"))
+
+
+@query
+def op12_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes and tokens of all texts."""
+    return tokens.token_counts(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
