@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajspark.llm import exact, jaccard, mixing, neardup, ngram, packing, pii, repeats, secrets, tokens, toxicity
+from trajspark.llm import exact, jaccard, mixing, neardup, ngram, packing, periods, pii, repeats, secrets, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -141,3 +141,71 @@ def op5_mixing(spark: SparkSession, sf: str) -> DataFrame:
 def op12_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """Bytes and tokens of all texts."""
     return tokens.token_counts(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def looped(text: Column, doc_id: Column) -> Column:
+    """The text with its words from the a-th on repeated at a period, where the contract says so."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("long")
+
+    def repeated(w: Column) -> Column:
+        n = F.size(w)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        return F.concat(F.slice(w, F.lit(1), a), F.transform(F.sequence(a, n - 1), lambda i: F.get(w, a + (i - a) % p)))
+
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    # Bound to a variable, so that the words are split once and not for each of them.
+    some = F.get(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, F.array_join(repeated(w), " "))), 0)
+    return F.when(h % 10 == 0, some).otherwise(text)
+
+
+@query
+def op13_periods(spark: SparkSession, sf: str) -> DataFrame:
+    """Periodic runs of all texts: the one with most periods, digests of all and of the collapsed text."""
+    docs = table(spark, sf, "documents")
+    found = periods.periodic_runs(docs.select("doc_id", looped(F.col("text"), F.col("doc_id")).alias("text")))
+
+    def order(a, b):
+        more = b["length"] * a["period"] - a["length"] * b["period"]
+        return F.when(more != 0, F.signum(more)).when(a["start"] != b["start"], F.signum(a["start"] - b["start"])) \
+            .otherwise(F.signum(a["period"] - b["period"])).cast("int")
+
+    top = F.get(F.array_sort("runs", order), 0)
+    lines = F.array_join(F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"])), "")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "collapsed", top.alias("top"),
+                        lines.alias("lines")).select(
+        "doc_id", "n_runs", *(F.col(f"top.{c}").alias(c) for c in ("start", "length", "period")),
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        F.sha2(F.encode("lines", "UTF-8"), 256).alias("runs_sha256"),
+        F.sha2(F.encode("collapsed", "UTF-8"), 256).alias("collapsed_sha256"))
+
+
+# A run of length n and period q has n - q >= 16 words in a row that equal those q on, hence n - q - 15 stretches of 16.
+SQL["op13_periods"] = r"""
+WITH c AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w,
+  xor(4294967295, list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+      lambda x: CAST(ascii(x) AS BIGINT)), lambda a, b: list_reduce([xor(a, b), 1, 2, 3, 4, 5, 6, 7, 8],
+      lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END))) AS h FROM documents),
+g AS (SELECT *, h // 10 AS g, len(w) AS n, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM c),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM g),
+t AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+    THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) ELSE w END AS w
+  FROM p),
+k AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 16], ' ') AS k FROM t, unnest(range(n - 15)) u(i)),
+m AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM k x JOIN k y ON x.doc_id = y.doc_id AND x.k = y.k AND x.i < y.i),
+e AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM m),
+s AS (SELECT doc_id, q, min(i) AS start, count(*) + 15 + q AS length FROM e GROUP BY doc_id, q, island),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM s WHERE length >= greatest(24, 3 * q)
+  GROUP BY doc_id, start, length),
+best AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id
+    ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) = 1),
+l AS (SELECT doc_id, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), ''
+    ORDER BY start, period) AS lines FROM r GROUP BY doc_id),
+v AS (SELECT doc_id, i, w[i + 1] AS word FROM t, unnest(range(n)) u(i)),
+o AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM v WHERE NOT EXISTS (SELECT 1 FROM r
+    WHERE r.doc_id = v.doc_id AND v.i >= r.start + r.period AND v.i < r.start + r.length) GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN best USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN o USING (doc_id)
+"""
