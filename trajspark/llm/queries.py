@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajspark.llm import exact, jaccard, mixing, neardup, ngram, packing, periods, pii, repeats, secrets, tokens, toxicity
+from trajspark.llm import (exact, jaccard, mixing, neardup, ngram, packing, periods, phrases, pii, repeats, secrets, tokens,
+                           toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -209,3 +210,31 @@ SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * le
   sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
 FROM t LEFT JOIN best USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN o USING (doc_id)
 """
+
+
+@query
+def op11_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """The best phrases of each language."""
+    return phrases.collocations(table(spark, sf, "documents"))
+
+
+SQL["op11_phrases"] = r"""
+WITH p AS (SELECT lang, row_number() OVER () AS id, piece FROM (SELECT coalesce(lang, 'und') AS lang, unnest(
+    regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+w AS MATERIALIZED (SELECT lang, id, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, k AS size, array_to_string(w[i + 1:i + k], ' ') AS phrase, count(*) AS f
+  FROM w, unnest([1, 2, 3, 4, 5]) a(k), unnest(range(len(w) - k + 1)) b(i) GROUP BY ALL HAVING count(*) >= 100),
+s AS (SELECT c.lang, c.phrase, c.f AS a, string_split(c.phrase, ' ') AS w, k, size FROM c, unnest(range(1, size)) u(k)
+  WHERE size > 1),
+x AS (SELECT s.lang, s.phrase, s.a, l.f AS l, r.f AS r, t.n, k,
+    (CAST(1000 AS HUGEINT) * s.a * t.n) // (CAST(l.f AS HUGEINT) * r.f) AS score FROM s
+  JOIN c l ON l.lang = s.lang AND l.phrase = array_to_string(s.w[1:k], ' ')
+  JOIN c r ON r.lang = s.lang AND r.phrase = array_to_string(s.w[k + 1:], ' ') JOIN t ON t.lang = s.lang
+  QUALIFY row_number() OVER (PARTITION BY s.lang, s.phrase ORDER BY score, k) = 1),
+o AS (SELECT x.* FROM x WHERE NOT EXISTS (SELECT 1 FROM c y WHERE y.lang = x.lang AND y.f >= x.a
+    AND length(y.phrase) > length(x.phrase) AND contains(' ' || y.phrase || ' ', ' ' || x.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n,
+  CAST(score AS BIGINT) AS score FROM o QUALIFY rank <= 2000
+"""
