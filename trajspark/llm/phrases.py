@@ -29,7 +29,7 @@ from trajspark.llm.ngram import high, low, narrow, wide
 from trajspark.llm.words import U, mix, words_of
 
 #: Words of a unit and of all open units of a task; bytes of text for one partition of n-grams. No result depends on them.
-UNIT, OPEN, PART_BYTES = 4_000_000, 8_000_000, 8 << 20
+UNIT, OPEN, PART_BYTES = 1_500_000, 4_000_000, 8 << 20
 #: Counters that a summary takes in before it is trimmed.
 SLACK = 1 << 18
 END = b"\xff"  # of a piece; no byte of UTF-8
