@@ -20,22 +20,58 @@ def trajectories(spark):
         adapter.baseline(spark, SF)))
 
 
-def test_quantile_uniform(spark):
-    x = np.array([1.0, 1.0, 1.0, 2.0, 2.5, 4.0, 4.0, 7.0])
-    df = spark.createDataFrame([(float(v),) for v in x], "x double")
-    fit = fe.QuantileUniform("x").fit(df)
-    refs = np.linspace(0, 1, len(np.unique(x)))
-    q = np.percentile(x, refs * 100)
-    assert np.allclose(fit.quantiles, q)
-    new = spark.createDataFrame([(v,) for v in (0.0, 1.0, 1.7, 2.0, 4.0, 7.0,
-                                                9.0, None)], "x double")
-    got = {r["x"]: r["u"] for r in fit.transform(new, "u").collect()}
-    for v in (1.7, 2.0, 4.0):
-        want = .5 * (np.interp(v, q, refs)
-                     - np.interp(-v, -q[::-1], -refs[::-1]))
-        assert got[v] == pytest.approx(want)
-    assert (got[0.0], got[1.0], got[7.0], got[9.0]) == (0, 0, 1, 1)
-    assert got[None] is None
+def uniform(train, new):
+    """Positions by numpy."""
+    refs = np.linspace(0, 1, len(np.unique(train)))
+    q = np.percentile(train, refs * 100)
+    y = .5 * (np.interp(new, q, refs)
+              - np.interp(-new, -q[::-1], -refs[::-1]))
+    return np.where(new <= q[0], 0.0, np.where(new >= q[-1], 1.0, y))
+
+
+@pytest.mark.parametrize("lookup", [1 << 10, 0])
+def test_quantile_uniform(spark, lookup):
+    """By bisection and by merging: ties, one value, many, none twice."""
+    r = np.random.default_rng(1)
+    for train in (np.array([1.0, 1.0, 1.0, 2.0, 2.5, 4.0, 4.0, 7.0]),
+                  np.array([3.0]), np.array([3.0, 3.0, 3.0]),
+                  np.array([1.0, 2.0]), r.normal(size=301),
+                  np.round(r.normal(size=500), 1),
+                  np.repeat([0.0, 5.0, 6.0], [90, 3, 1])):
+        df = spark.createDataFrame([(float(v),) for v in train], "x double")
+        fit = fe.QuantileUniform("x", lookup).fit(df)
+        new = np.concatenate([train, train + .03, [-99.0, 99.0]])
+        rows = spark.createDataFrame(
+            [(i, float(v)) for i, v in enumerate(new)] + [(-1, None)],
+            "i int, x double")
+        got = {q["i"]: q["u"] for q in fit.transform(rows, "u").collect()}
+        assert got.pop(-1) is None and len(got) == len(new)
+        want = uniform(train, new)
+        assert np.allclose([got[i] for i in range(len(new))], want)
+        over = fit.transform(rows)
+        assert over.columns == ["i", "x"] and over.count() == len(new) + 1
+        knots = fit.knots.orderBy("x").collect()
+        assert len({k["x"] for k in knots}) == len(knots)
+        q = np.concatenate([[k["x"]] * (k["hi"] - k["lo"] + 1)
+                            for k in knots])
+        m = len(np.unique(train))
+        assert np.allclose(q, np.percentile(train, np.linspace(0, 100, m)))
+
+
+def test_quantile_uniform_of_many_values(spark, monkeypatch):
+    """More values than one task orders, and a value in most rows."""
+    from trajspark.operators import scan
+    monkeypatch.setattr(scan, "HOT_ROWS", 100)
+    r = np.random.default_rng(2)
+    train = np.concatenate([r.normal(size=900), np.full(2000, .25)])
+    df = spark.createDataFrame([(float(v),) for v in train], "x double")
+    fit = fe.QuantileUniform("x", 50).fit(df)
+    assert fit.size > 200
+    got = {q["x"]: q["u"] for q in fit.transform(df, "u").collect()}
+    at = np.array(sorted(got))
+    assert np.allclose([got[v] for v in at], uniform(train, at))
+    with pytest.raises(ValueError):
+        fit.fit(df.filter("x > 1e9"))
 
 
 def test_min_max_and_one_hot(spark):

@@ -976,6 +976,26 @@ def _(spark, sf):
     return fe.QuantileUniform("value").fit(d).transform(d, "u")
 
 
+@query("quantile_continuous", "event_id:l u:d", """
+ WITH h AS (SELECT value AS x, count(*) AS n FROM events WHERE value IS NOT
+ NULL GROUP BY value), hc AS (SELECT x, sum(n) OVER (ORDER BY x) AS upto FROM h),
+ tot AS (SELECT sum(n) - 1 AS t, count(*) - 1 AS m FROM h),
+ refs AS (SELECT i, i * t // m AS low, i * t % m / m AS f, t FROM (SELECT m, t,
+ unnest(range(m + 1)) AS i FROM tot)),
+ qs AS (SELECT i, f, a.x AS lo, low, t FROM refs ASOF JOIN hc a ON low + 1 <=
+ a.upto), qt AS (SELECT i, lo + f * (b.x - lo) AS qv FROM (SELECT *, least(low
+ + 2, t + 1) AS up FROM qs) ASOF JOIN hc b ON up <= b.upto),
+ kn AS (SELECT qv, min(i) AS lo, max(i) AS hi FROM qt GROUP BY qv),
+ um AS (SELECT h.x, CASE WHEN h.x = a.qv AND a.lo = 0 THEN 0.0 WHEN b.qv IS
+ NULL THEN 1.0 WHEN h.x = a.qv THEN (a.lo + a.hi) / 2.0 / m ELSE (a.hi + (h.x
+ - a.qv) / (b.qv - a.qv) * (b.lo - a.hi)) / m END AS u FROM h ASOF JOIN kn a
+ ON h.x >= a.qv ASOF LEFT JOIN kn b ON h.x < b.qv, tot)
+ SELECT event_id, u FROM events LEFT JOIN um ON um.x = events.value""")
+def _(spark, sf):
+    d = adapter.table(spark, sf, "events")
+    return fe.QuantileUniform("value").fit(d).transform(d, "u")
+
+
 @query("min_max", "trial:s subjid:l study_day:l value:d dose:d", q.W_T + """
  SELECT trial, subjid, study_day, (value - min(value) OVER ())
  / (max(value) OVER () - min(value) OVER ()) AS value,
