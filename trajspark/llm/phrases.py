@@ -20,6 +20,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ from trajspark.llm.ngram import high, low, narrow, wide
 from trajspark.llm.words import U, mix, words_of
 
 #: Words of a unit and of all open units of a task; bytes of text for one partition of n-grams. No result depends on them.
-UNIT, OPEN, PART_BYTES = 1_500_000, 4_000_000, 8 << 20
+UNIT, OPEN, PART_BYTES = 1_000_000, 2_500_000, 8 << 20
 #: Counters that a summary takes in before it is trimmed.
 SLACK = 1 << 18
 END = b"\xff"  # of a piece; no byte of UTF-8
@@ -201,35 +202,39 @@ def shortened(tokens: np.ndarray, words: bytes, joined: np.ndarray) -> tuple[byt
 def counted(table: DataFrame, bits: DataFrame, orders: list[int], shorten: bool) -> DataFrame:
     """Counts of each unit's n-grams that may be frequent (phrase, size, n), and with `shorten` its shortened form."""
     def run(t):
-        rows = t.to_pylist()
-        own = [r for r in rows if r["lang"] is not None]
-        if not own:
+        here = pc.is_valid(t["lang"])
+        if not pc.any(here).as_py():
             return schema.empty_table()
-        own, out = own[0], []
-        grams, split = Grams(own["lang"], own["words"], own["tokens"], orders), [b"", *own["words"].split(b" ")]
+        own = t.select(["unit", "lang", "words", "tokens"]).filter(here).to_pylist()[0]
+        answers = t.select(["ord", "part", "bits", "size"]).filter(pc.invert(here)).sort_by("part")
+        grams, split, out = Grams(own["lang"], own["words"], own["tokens"], orders), own["words"].split(b" "), []
         for k, (keys, n, hashed, at) in grams.by_order.items():
-            part = sorted((r for r in rows if r["ord"] == k), key=lambda r: r["part"])
-            stay = np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=r["size"])
-                                                        for r in part)]).astype(bool)
+            mine = answers.filter(pc.equal(answers["ord"], k))
+            stay = np.concatenate([np.zeros(0, np.uint8), *(
+                np.unpackbits(np.frombuffer(b.as_py(), np.uint8), count=size.as_py())
+                for b, size in zip(mine["bits"], mine["size"]))]).astype(bool)
             if len(stay) != len(keys):
                 raise RuntimeError("the answers don't fit the unit")
             keys, n = keys[stay], n[stay]
             which = np.searchsorted(keys, hashed)
-            here = np.append(keys, U(0))[which] == hashed if len(keys) else np.zeros(len(hashed), bool)
-            _, first = np.unique(which[here], return_index=True)
-            for many, a in zip(n.tolist(), at[here][first].tolist()):
-                phrase = b" ".join([split[w] for w in grams.tokens[a:a + k].tolist()])
-                out.append((None, own["lang"], None, None, many, phrase, k))
+            found = np.append(keys, U(0))[which] == hashed if len(keys) else np.zeros(len(hashed), bool)
+            _, first = np.unique(which[found], return_index=True)
+            places = grams.tokens[at[found][first][:, None] + np.arange(k)] - 1
+            phrases = pa.array([b" ".join([split[i] for i in row]) for row in places.tolist()], pa.binary())
+            out.append(pa.table({"phrase": phrases.cast(pa.string()), "n": pa.array(n, pa.int64())}).append_column(
+                "size", pa.array(np.full(len(n), k, np.int32))))
             if k == 2 and shorten:
                 joined = np.zeros(max(0, len(grams.tokens) - 1), bool)
-                joined[at[here]] = True
+                joined[at[found]] = True
                 words, tokens, many = shortened(grams.tokens, own["words"], joined)
                 if many:
-                    out.append((own["unit"], own["lang"], words, tokens, many, None, None))
-        if not out:
-            return schema.empty_table()
-        return pa.table([pa.array(c, pa.binary()).cast(f.type) if f.name == "phrase" else pa.array(c, f.type)
-                         for c, f in zip(zip(*out), schema)], schema=schema)
+                    out.append(pa.table({"unit": [own["unit"]], "words": [words], "tokens": [tokens], "n": [many]}))
+        table = pa.concat_tables(out, promote_options="default")
+        for f in schema:
+            if f.name not in table.column_names:
+                table = table.append_column(f.name, pa.nulls(len(table), f.type))
+        lang = pa.array([own["lang"]] * len(table), pa.string())
+        return table.set_column(table.column_names.index("lang"), "lang", lang).select(schema.names).cast(schema)
 
     schema = pa.schema([("unit", pa.int64()), ("lang", pa.string()), ("words", pa.binary()), ("tokens", pa.binary()),
                         ("n", pa.int64()), ("phrase", pa.string()), ("size", pa.int32())])
