@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from trajspark.llm.common import kept, slices
 from trajspark.llm.ngram import high, low, narrow, wide
+from trajspark.llm.periods import Numbers
 from trajspark.llm.words import U, mix, words_of
 
 #: Words of a unit and of all open units of a task; bytes of text for one partition of n-grams. No result depends on them.
@@ -50,12 +51,11 @@ class Open:
     """A unit that still grows."""
 
     def __init__(self):
-        self.places, self.parts, self.n = {END: 0}, [], 0
+        self.places, self.parts, self.n = Numbers({END: 0}), [], 0
 
     def add(self, texts: list[bytes]) -> None:
         words = (END.join(texts) + END).translate(TABLE).replace(END, b" \xff ").split()
-        places = self.places
-        self.parts.append(np.fromiter((places.setdefault(w, len(places)) for w in words), np.uint32, len(words)))
+        self.parts.append(np.fromiter(map(self.places.__getitem__, words), np.uint32, len(words)))
         self.n += len(words)
 
 
@@ -199,8 +199,9 @@ def shortened(tokens: np.ndarray, words: bytes, joined: np.ndarray) -> tuple[byt
     return b" ".join(split[i - 1] for i in used[1:].tolist()), low(places[:-1], 4), len(at)
 
 
-def counted(table: DataFrame, bits: DataFrame, orders: list[int], shorten: bool) -> DataFrame:
-    """Counts of each unit's n-grams that may be frequent (phrase, size, n), and with `shorten` its shortened form."""
+def counted(table: DataFrame, bits: DataFrame, orders: list[int], parts: int, shorten: bool) -> DataFrame:
+    """Each unit's n-grams that may be frequent and their counts, by partition and size (in `words` and `tokens`), and
+    with `shorten` the unit's shortened form, which has no partition."""
     def run(t):
         here = pc.is_valid(t["lang"])
         if not pc.any(here).as_py():
@@ -220,26 +221,41 @@ def counted(table: DataFrame, bits: DataFrame, orders: list[int], shorten: bool)
             found = np.append(keys, U(0))[which] == hashed if len(keys) else np.zeros(len(hashed), bool)
             _, first = np.unique(which[found], return_index=True)
             places = grams.tokens[at[found][first][:, None] + np.arange(k)] - 1
-            phrases = pa.array([b" ".join([split[i] for i in row]) for row in places.tolist()], pa.binary())
-            out.append(pa.table({"phrase": phrases.cast(pa.string()), "n": pa.array(n, pa.int64())}).append_column(
-                "size", pa.array(np.full(len(n), k, np.int32))))
+            phrases = [b" ".join([split[i] for i in row]) for row in places.tolist()]
+            cuts = np.searchsorted(part_of(keys, parts), np.arange(parts + 1)).tolist()
+            out += [(None, own["lang"], b"\n".join(phrases[a:b]), narrow(n[a:b]), b - a, k, p)
+                    for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
             if k == 2 and shorten:
                 joined = np.zeros(max(0, len(grams.tokens) - 1), bool)
                 joined[at[found]] = True
                 words, tokens, many = shortened(grams.tokens, own["words"], joined)
                 if many:
-                    out.append(pa.table({"unit": [own["unit"]], "words": [words], "tokens": [tokens], "n": [many]}))
-        table = pa.concat_tables(out, promote_options="default")
-        for f in schema:
-            if f.name not in table.column_names:
-                table = table.append_column(f.name, pa.nulls(len(table), f.type))
-        lang = pa.array([own["lang"]] * len(table), pa.string())
-        return table.set_column(table.column_names.index("lang"), "lang", lang).select(schema.names).cast(schema)
+                    out.append((own["unit"], own["lang"], words, tokens, many, None, None))
+        if not out:
+            return schema.empty_table()
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     schema = pa.schema([("unit", pa.int64()), ("lang", pa.string()), ("words", pa.binary()), ("tokens", pa.binary()),
-                        ("n", pa.int64()), ("phrase", pa.string()), ("size", pa.int32())])
+                        ("n", pa.int64()), ("size", pa.int32()), ("part", pa.int32())])
     both = table.select("unit", "lang", "words", "tokens").unionByName(bits, allowMissingColumns=True)
-    return both.groupBy("unit").applyInArrow(run, f"{UNITS}, phrase string, size int")
+    return both.groupBy("unit").applyInArrow(run, f"{UNITS}, size int, part int")
+
+
+def reaching(found: DataFrame, least: int) -> DataFrame:
+    """The phrases that occur `least` times: lang, phrase, size and n, the exact sums of all units."""
+    def run(key, t):
+        rows = []
+        for r in t.to_pylist():
+            phrases = pa.array(r["words"].split(b"\n"), pa.binary())
+            rows.append(pa.table([pa.array([r["lang"]] * len(phrases), pa.string()), phrases, pa.array(wide(r["tokens"]))],
+                                 ["lang", "phrase", "n"]))
+        n = pa.concat_tables(rows).group_by(["lang", "phrase"]).aggregate([("n", "sum")])
+        n = n.filter(pc.greater_equal(n["n_sum"], least))
+        return pa.table([n["lang"], n["phrase"].cast(pa.string()), pa.array([key[0].as_py()] * len(n), pa.int32()),
+                         n["n_sum"]], ["lang", "phrase", "size", "n"])
+
+    return found.where("part IS NOT NULL").select("size", "part", "lang", "words", "tokens").groupBy("size", "part") \
+        .applyInArrow(run, "lang string, phrase string, size int, n bigint")
 
 
 def frequent_phrases(docs: DataFrame, most: int = 5, least: int = 100, text_col: str = "text",
@@ -254,11 +270,10 @@ def frequent_phrases(docs: DataFrame, most: int = 5, least: int = 100, text_col:
     rounds = [[1, 2][:most]] + ([list(range(3, most + 1))] if most > 2 else [])
     for orders in rounds:
         bits = frequent(summaries(table, orders, parts), least)
-        found = kept(counted(table, bits, orders, orders is not rounds[-1]), "counts")
-        counts.append(found.where("phrase IS NOT NULL").select("lang", "phrase", "size", "n"))
-        table = found.where("phrase IS NULL")
-    all_counts = reduce(DataFrame.unionByName, counts)
-    return all_counts.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).where(F.col("n") >= least), totals
+        found = kept(counted(table, bits, orders, parts, orders is not rounds[-1]), "counts")
+        counts.append(reaching(found, least))
+        table = found.where("part IS NULL")
+    return reduce(DataFrame.unionByName, counts), totals
 
 
 def collocations(docs: DataFrame, most: int = 5, least: int = 100, top: int = 2000, text_col: str = "text",
