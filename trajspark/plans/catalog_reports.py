@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from trajspark import params as P
 from trajspark.functions import columns as fc
 from trajspark.operators import evaluation as ev
+from trajspark.operators import linear as li
 from trajspark.operators import policies as po
 from trajspark.operators import regression as rg
 from trajspark.operators import relational as rel
 from trajspark.operators import reports as rp
 from trajspark.operators import trajectories as tr
 from trajspark.operators import transitions as tn
+from trajspark.plans import pipeline as pl
 from trajspark.plans import sqltext as q
 from trajspark.plans.catalog import (BL, EV, EVENTS, KEYS, PARAMS, V, _DEC,
                                      _MEDS, _SPAN, T, base, meds, on_base,
@@ -1068,20 +1070,140 @@ def _(spark, sf):
     return po.select_run(po.q_grid(t, (0.2, 0.3), (0.99,), 4))
 
 
+def linear_rows(spark, sf) -> DataFrame:
+    """Transitions with the measurement as the only feature."""
+    def rows(scan, v):
+        d = base(v, scan)
+        d = tn.elapsed(tn.observed_decision(d, scan=scan), scan)
+        d = tn.done_flag(tn.transition_reward(d, ADV, scan=scan), scan=scan)
+        return scan.add(d, WITHIN, ["study_day"],
+                        next_value=tn.lead("value")).withColumn(
+            "not_done", 1.0 - F.col("done"))
+    return on_visits(spark, sf, rows)
+
+
+def _linear_sql(steps: int) -> str:
+    """Steps from zero: regressions of reward plus discounted best score."""
+    out = f""", {_DEC}, {_SPAN}, dn1 AS (SELECT *, max(CASE WHEN value IS NOT
+ NULL AND dose IS NOT NULL THEN study_day END) OVER {q.K} AS ld FROM opt),
+ dn AS (SELECT *, lead(CASE WHEN study_day = ld THEN 1 ELSE 0 END) OVER {q.WK}
+ AS done, lead(study_day) OVER {q.WK} - study_day AS k, lead(value) OVER {q.WK}
+ AS y FROM dn1), rd AS (SELECT a.trial, a.subjid, a.trajid, a.pv AS study_day,
+ sum(CASE WHEN x BETWEEN 2 AND 3 THEN pow(0.99, d - pv - 1) ELSE 0.0 END)
+ AS reward FROM (SELECT *, lag(visit_day) OVER (PARTITION BY trial, subjid,
+ trajid ORDER BY d) AS pv FROM days) a WHERE pv IS NOT NULL GROUP BY ALL),
+ r AS (SELECT option_ AS option, value AS x, y, reward, (1 - done)
+ * pow(0.99, k) AS d FROM dn JOIN rd USING (trial, subjid, trajid, study_day)
+ WHERE k IS NOT NULL AND option_ IS NOT NULL AND value IS NOT NULL AND y IS
+ NOT NULL), l0 AS (SELECT DISTINCT option AS o, 0.0 AS w0, 0.0 AS w1 FROM r)"""
+    for i in range(steps):
+        out += f""", t{i} AS (SELECT option, x, any_value(reward)
+ + any_value(d) * max(w0 + w1 * y) AS t FROM (SELECT *, row_number() OVER ()
+ AS id FROM r), l{i} GROUP BY id, option, x), l{i + 1} AS (SELECT option AS o,
+ regr_intercept(t, x) AS w0, regr_slope(t, x) AS w1 FROM t{i} GROUP BY 1)"""
+    return out
+
+
+@query("linear_q_steps", "option:l feature:s weight:d n:l", q.W_T
+       + _linear_sql(3) + """, c AS (SELECT option, count(*) AS n FROM r
+ GROUP BY 1) SELECT o AS option, 'intercept' AS feature, w0 AS weight, n FROM
+ l3 JOIN c ON c.option = o UNION ALL SELECT o, 'value', w1, n FROM l3 JOIN c
+ ON c.option = o""")
+def _(spark, sf):
+    rows = cut_lineage(li.q_rows(linear_rows(spark, sf), ["value"]))
+    return li.q_passes(rows, ["value"], 3).table(spark)
+
+
+@query("linear_q", None)
+def _(spark, sf):
+    """Learned on all state columns until it stays."""
+    out, fitted = transitions(spark, sf)
+    t, xs = cut_lineage(out), fitted.state_names()
+    return li.linear_q(t, xs, behaviour=po.fit_behaviour(t, xs)).table(spark)
+
+
 @query("behaviour_model", None)
 def _(spark, sf):
     from trajspark.plans.evaluate import evaluate_behaviour
-    t = cut_lineage(transitions(spark, sf)[0])
-    xs = ["value", "dose", "duration", "age"]
-    model = po.fit_behaviour(t, xs, max_iter=20)
+    out, fitted = transitions(spark, sf)
+    t, xs = cut_lineage(out), fitted.state_names()
+    model = po.fit_behaviour(t, xs)
     p = po.behaviour_probs(model, t, xs).withColumnRenamed("option", "y")
     return evaluate_behaviour(p)
 
 
+# Probabilities and scores as whole numbers of the keys: given, not learned.
+_GIVEN = f""", {_DEC}, {_SPAN}, rd AS (SELECT a.trial, a.subjid, a.trajid, a.pv
+ AS study_day, sum(CASE WHEN x BETWEEN 2 AND 3 THEN pow(0.99, d - pv - 1) ELSE
+ 0.0 END) AS reward FROM (SELECT *, lag(visit_day) OVER (PARTITION BY trial,
+ subjid, trajid ORDER BY d) AS pv FROM days) a WHERE pv IS NOT NULL GROUP BY
+ ALL), gv AS (SELECT trial, subjid, trajid, study_day, option_ AS option,
+ value, reward, list_transform(range(7), lambda a: 1 + (study_day * 3 + a * 5
+ + subjid) % 7) AS n, list_transform(range(7), lambda a: ((subjid * 7
+ + study_day * 3 + a * 5) % 11) / 2.0) AS s FROM opt JOIN rd USING (trial,
+ subjid, trajid, study_day) WHERE option_ IS NOT NULL AND value IS NOT NULL),
+ ga AS (SELECT *, list_transform(n, lambda x: x / list_sum(n)) AS p,
+ list_transform(range(7), lambda a: CASE WHEN n[a + 1] / list_max(n) > 0.3
+ THEN s[a + 1] ELSE -1e8 END) AS mq FROM gv), gb AS (SELECT *,
+ list_transform(mq, lambda x: exp(x - list_max(mq))) AS e,
+ list_position(mq, list_max(mq)) - 1 AS policy_action, CASE WHEN value <= 1.5
+ THEN 5 WHEN value < 2 THEN 4 WHEN value <= 3 THEN 3 WHEN value < 5 THEN 2
+ ELSE 1 END AS rule FROM ga), pp AS (SELECT trial, subjid, trajid, study_day,
+ reward, policy_action, p[option + 1] AS behaviour_prob, e[option + 1]
+ / list_sum(e) AS policy_prob, CAST(policy_action = option AS DOUBLE)
+ AS policy_hard_prob, CAST(rule = option AS DOUBLE) AS threshold_prob FROM gb)"""
+_PROBS = ["behaviour_prob", "policy_prob", "policy_hard_prob",
+          "threshold_prob"]
+POLICIES = ["policy", "policy_hard", "threshold"]
+
+
+def given_probs(spark, sf) -> DataFrame:
+    def rows(scan, v):
+        d = tn.observed_decision(base(v, scan), scan=scan)
+        return tn.transition_reward(d, ADV, scan=scan)
+    d = on_visits(spark, sf, rows).filter(
+        "option IS NOT NULL AND value IS NOT NULL AND reward IS NOT NULL")
+    n = F.array(*[1 + (F.col("study_day") * 3 + 5 * a + F.col("subjid")) % 7
+                  for a in range(7)])
+    total = F.aggregate("__n", F.lit(0).cast("long"), lambda x, y: x + y)
+    d = d.withColumn("__n", n.cast("array<bigint>")).withColumns({
+        "p": F.transform("__n", lambda x: x / total),
+        "q": F.array(*[((F.col("subjid") * 7 + F.col("study_day") * 3 + 5 * a)
+                        % 11) / 2.0 for a in range(7)])})
+    return li.policy_probs(d)
+
+
+@query("policy_probs", "trial:s subjid:l trajid:l study_day:l policy_action:l "
+       + " ".join(f"{c}:d" for c in _PROBS), q.W_T + _GIVEN
+       + " SELECT * FROM pp")
+def _(spark, sf):
+    return given_probs(spark, sf)
+
+
+def ratios(spark, sf, rows: DataFrame) -> DataFrame:
+    return ev.wis_trajectories(
+        rows, "behaviour_prob", {n: f"{n}_prob" for n in POLICIES},
+        scan=scan_of(spark, sf))
+
+
+@query("wis_ratios", "policy:s value:d", q.W_T + _GIVEN + f""", wt AS (SELECT
+ {", ".join(f"product({n}_prob / behaviour_prob) AS {n}" for n in POLICIES)},
+ sum(pow(0.99, study_day - a) * reward) AS value FROM (SELECT *, min(study_day)
+ OVER {q.K} AS a FROM pp) GROUP BY trial, subjid, trajid) SELECT 'clinician'
+ AS policy, avg(value) AS value FROM wt {" ".join(
+     f"UNION ALL SELECT '{n}', sum({n} * value) / sum({n}) FROM wt"
+     for n in POLICIES)}""")
+def _(spark, sf):
+    return ev.wis(ratios(spark, sf, given_probs(spark, sf)), POLICIES)
+
+
 @query("evaluate_policy", None)
 def _(spark, sf):
-    from trajspark.plans.evaluate import evaluate_policy
-    return evaluate_policy(T(spark, sf), stand_in_policy(), ADV,
-                           importance=importance(spark, sf),
-                           names=["soft", "rule"], tests=True,
-                           scan=scan_of(spark, sf))
+    from trajspark.plans.evaluate import learned_policy, evaluate_policy
+    d = cut_lineage(pl.build_trajectories(V(spark, sf), EV(spark, sf),
+                                          BL(spark, sf), PARAMS))
+    scan = scan_of(spark, sf)
+    rows, importance = learned_policy(d, PARAMS, min_length=1, scan=scan)
+    return evaluate_policy(rows, "policy_action", ADV, importance=importance,
+                           names=POLICIES, tests=True,
+                           bootstrap=PARAMS.bootstrap, scan=scan)

@@ -9,10 +9,16 @@ from pyspark.sql import functions as F
 
 from trajspark.functions.columns import argmax
 from trajspark.operators import evaluation as ev
+from trajspark.operators import linear as li
 from trajspark.operators import regression as rg
+from trajspark.operators import transitions as tn
 from trajspark.operators.scan import PLAIN
+from trajspark.operators.trajectories import DAY
+from trajspark.params import Params
 from trajspark.session import cut_lineage
 
+WITHIN = ev.WITHIN
+
 
 def _metric(df: DataFrame, name: str, column: str) -> DataFrame:
     return df.select(F.lit(name).alias("metric"),
@@ -98,3 +104,42 @@ def evaluate_policy(df: DataFrame, action, events, prefix: str = "",
                            [x for x in t.columns if x != "threshold"]))
     out = reduce(DataFrame.unionByName, parts)
     return out.withColumn("metric", F.concat(F.lit(prefix), "metric"))
+
+
+def learned_policy(df: DataFrame, params: Params = Params(), folds: int = 2,
+                   tau: float = 0.3, min_length: int | None = None,
+                   scan=PLAIN, **fit) -> tuple[DataFrame, DataFrame]:
+    """A policy learned from trajectories and applied to the same ones.
+
+    Returns the eligible rows with `policy_action` (NULL where the state has a
+    gap) and, for `evaluate_policy`, the importance of every trajectory: the
+    weights `policy` (softmax of the masked scores), `policy_hard` and
+    `threshold`, and the discounted reward. Each subject is scored by models
+    that have learned from others only.
+    """
+    rows = cut_lineage(tn.eligible_rows(df, params, min_length, scan))
+    transitions, fitted = tn.build_transitions(df, params,
+                                               min_length=min_length,
+                                               scan=scan)
+    transitions = cut_lineage(transitions)
+    facts = tn.transition_reward(
+        tn.observed_decision(rows, scan=scan), params.events_evaluated,
+        params.discount, params.value_reward, params.event_reward, scan=scan)
+    facts = facts.withColumn("measured", F.col("value"))
+    states = cut_lineage(fitted.transform(
+        facts, scan, ["option", "reward", "measured"]))
+    scored = li.cross_fitted(transitions, states, fitted.state_names(),
+                             folds=folds, tau=tau, gamma=params.discount,
+                             seed=params.seed, **fit)
+    probs = cut_lineage(li.policy_probs(scored, tau, value="measured").select(
+        *WITHIN, DAY, "option", "reward", "policy_action", "behaviour_prob",
+        "policy_prob", "policy_hard_prob", "threshold_prob"))
+    # Only transitions count: visits whose next state is complete as well.
+    played = probs.join(transitions.select(*WITHIN, DAY), [*WITHIN, DAY],
+                        "left_semi")
+    importance = cut_lineage(ev.wis_trajectories(
+        played, "behaviour_prob",
+        {n: f"{n}_prob" for n in ("policy", "policy_hard", "threshold")},
+        gamma=params.discount, scan=scan))
+    chosen = probs.select(*WITHIN, DAY, "policy_action")
+    return rows.join(chosen, [*WITHIN, DAY], "left"), importance
