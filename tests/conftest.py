@@ -1,7 +1,10 @@
 import os
 import sys
 
-import pytest
+# Under pytest, threads of the linear algebra library can wait for ever.
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+
+import pytest  # noqa: E402
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 

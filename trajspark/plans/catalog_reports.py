@@ -9,6 +9,7 @@ from trajspark import params as P
 from trajspark.functions import columns as fc
 from trajspark.operators import evaluation as ev
 from trajspark.operators import linear as li
+from trajspark.operators import mixed as mx
 from trajspark.operators import policies as po
 from trajspark.operators import regression as rg
 from trajspark.operators import relational as rel
@@ -968,13 +969,19 @@ _XS = ["age", "weight", "male", "hf", "diab", "sechosp",
        "centre_algorithm_consistency"]
 
 
+# All covariates of subjects, centres and countries.
+_ALL = ["age", "weight", *rp.FLAG_COLS, "centre_algorithm_consistency",
+        "sechosp", "acclinic", "highincome", "dale", "hsp"]
+
+
 @query("random_intercept", None)
 def _(spark, sf):
+    """Centres within countries."""
     d = ttr_inputs(spark, sf).withColumns({
         "ttr": F.col("ttr") * 100,
         "centre_algorithm_consistency":
             F.col("centre_algorithm_consistency") * 10})
-    return rg.random_intercept(d, "ttr", _XS[:5], "centre")
+    return mx.mixed_model(d, "ttr", _ALL, ["centre", "country"])
 
 
 @query("cox_ph", None)
