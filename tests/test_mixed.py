@@ -96,3 +96,52 @@ def test_one_level_equals_random_intercept(spark):
     assert a["a"]["estimate"] == pytest.approx(b["a"]["estimate"], rel=1e-4)
     assert a["var_centre"]["estimate"] == pytest.approx(
         b["var_group"]["estimate"], rel=1e-2)
+
+
+def survival(seed=0, n=90):
+    r = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        g, a, b = int(r.integers(0, 9)), r.normal(), r.normal()
+        t = r.exponential(np.exp(-.5 * a - (g % 3 - 1)))
+        rows.append((g, float(np.ceil(10 * t)), float(r.random() < .8),
+                     float(a), float(b)))
+    return rows
+
+
+def penalised(rows, variance, rounds=60):
+    """Coefficients by Newton steps on all effects at once."""
+    t, d = (np.array([r[i] for r in rows]) for i in (1, 2))
+    g = sorted({r[0] for r in rows})
+    x = np.array([[r[3], r[4], *[float(r[0] == k) for k in g]] for r in rows])
+    x[:, :2] -= x[:, :2].mean(0)
+    ridge = np.diag([0, 0, *[1 / variance] * len(g)])
+    b = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        e = np.exp(x @ b)
+        grad, info = -ridge @ b, ridge.copy()
+        for i in np.flatnonzero(d):
+            at = t >= t[i]
+            m = (e[at, None] * x[at]).sum(0) / e[at].sum()
+            grad += x[i] - m
+            info += (x[at].T @ (x[at] * e[at, None])) / e[at].sum() \
+                - np.outer(m, m)
+        b += np.linalg.solve(info, grad)
+    return b[:2]
+
+
+def test_cox_with_groups(spark):
+    rows = survival()
+    df = spark.createDataFrame(
+        [*rows, (None, 1.0, 1.0, 1.0, 1.0)],
+        "site int, days double, event double, a double, b double")
+    fit = {r["term"]: r for r in mx.cox_groups(
+        df, "days", "event", ["a", "b"], "site", variance=.4,
+        tol=1e-5).collect()}
+    want = penalised(rows, .4)
+    assert fit["a"]["estimate"] == pytest.approx(want[0], abs=1e-4)
+    assert fit["b"]["estimate"] == pytest.approx(want[1], abs=1e-4)
+    assert fit["var_site"]["estimate"] == .4
+    assert 0 < fit["a"]["std_error"] < .5
+    with pytest.raises(ArithmeticError):
+        mx.cox_groups(df, "days", "event", ["a"], "site", max_iter=1)

@@ -984,19 +984,34 @@ def _(spark, sf):
     return mx.mixed_model(d, "ttr", _ALL, ["centre", "country"])
 
 
+def survival(spark, sf) -> DataFrame:
+    """Subjects with their centres, covariates and times to an event."""
+    return cut_lineage(consistency(spark, sf).withColumn(
+        "centre_algorithm_consistency",
+        F.col("centre_algorithm_consistency") * 10))
+
+
+_COX = [*_ALL, "beta_blocker", "asa", "ace", "statin"]
+
+
 @query("cox_ph", None)
 def _(spark, sf):
-    d = consistency(spark, sf).withColumn(
-        "centre_algorithm_consistency",
-        F.col("centre_algorithm_consistency") * 10)
-    return rg.cox_ph(d, "time_to_event", "composite_outcome", _XS)
+    return rg.cox_ph(survival(spark, sf), "time_to_event",
+                     "composite_outcome", _XS)
+
+
+@query("cox_centres", None)
+def _(spark, sf):
+    """All covariates and a random centre."""
+    return mx.cox_groups(survival(spark, sf), "time_to_event",
+                         "composite_outcome", _COX, "centre")
 
 
 @query("coef_table", None)
 def _(spark, sf):
-    d = consistency(spark, sf)
-    return rg.coef_table(rg.cox_ph(d, "time_to_event", "composite_outcome",
-                                   _XS[:4]), exponentiate=True)
+    return rg.coef_table(rg.cox_ph(survival(spark, sf), "time_to_event",
+                                   "composite_outcome", _XS),
+                         exponentiate=True)
 
 
 def tabular(spark, sf) -> DataFrame:
