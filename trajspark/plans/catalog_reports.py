@@ -1061,15 +1061,15 @@ _STEP = """, rel_ AS (SELECT state, option, sum(n) AS n, sum(n) / max(sum(n))
  OVER (PARTITION BY state) AS rel FROM mdl GROUP BY state, option)"""
 
 
-def _q_sql(steps: int) -> str:
-    out = ", q0 AS (SELECT state, option, n, rel, 0.0 AS q FROM rel_)"
+def _q_sql(steps: int, tau: float = 0.3, t: str = "q", v: str = "v") -> str:
+    out = f", {t}0 AS (SELECT state, option, n, rel, 0.0 AS q FROM rel_)"
     for i in range(steps):
-        out += f""", v{i} AS (SELECT state, max(q) AS vv FROM q{i}
- WHERE rel >= 0.3 GROUP BY state), q{i + 1} AS (SELECT m.state, m.option,
+        out += f""", {v}{i} AS (SELECT state, max(q) AS vv FROM {t}{i}
+ WHERE rel >= {tau} GROUP BY state), {t}{i + 1} AS (SELECT m.state, m.option,
  any_value(p.n) AS n, any_value(p.rel) AS rel, (sum(m.r) + sum(m.d
- * coalesce(vv, 0))) / sum(m.n) AS q FROM mdl m JOIN q{i} p ON m.state =
- p.state AND m.option = p.option LEFT JOIN v{i} ON v{i}.state = m.next_state
- GROUP BY m.state, m.option)"""
+ * coalesce(vv, 0))) / sum(m.n) AS q FROM mdl m JOIN {t}{i} p ON m.state =
+ p.state AND m.option = p.option LEFT JOIN {v}{i} ON {v}{i}.state =
+ m.next_state GROUP BY m.state, m.option)"""
     return out
 
 
@@ -1086,6 +1086,15 @@ def _(spark, sf):
     return po.greedy_policy(po.fitted_q(tabular(spark, sf), 0.3, 0.99, 6))
 
 
+@query("q_grid_values", "run:s value:d", q.W_T + _MODEL + _STEP
+       + _q_sql(4, 0.2) + _q_sql(4, 0.6, "p", "w") + " UNION ALL".join(
+           f""" SELECT 'tau={tau},gamma=0.99' AS run, sum(v * n) / sum(n)
+ AS value FROM (SELECT max(q) AS v, sum(n) AS n FROM {t}4 GROUP BY state)"""
+           for tau, t in ((0.2, "q"), (0.6, "p"))))
+def _(spark, sf):
+    return po.q_grid(tabular(spark, sf), (0.2, 0.6), (0.99,), 4)
+
+
 @query("q_grid", None)
 def _(spark, sf):
     t = cut_lineage(tabular(spark, sf))
