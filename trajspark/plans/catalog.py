@@ -795,8 +795,8 @@ query("preset_avg", _VT, q.upto("avg") + "SELECT * FROM avg_dose")(
     _preset(pl.preset_avg_dose))
 query("preset_weekly", _VT, q.upto("weekly") + "SELECT * FROM weekly")(
     _preset(pl.preset_weekly_dose))
-query("clean_trials", _VT, q.upto("union") + "SELECT * FROM un")(
-    _STEP("union"))
+query("clean_trials", _VT, q.computed_once(q.upto("union"))
+      + "SELECT * FROM un")(_STEP("union"))
 query("merge_events", MERGED, q.upto("events") + "SELECT * FROM merged")(
     _STEP("events"))
 query("split_at_events", MERGED, q.upto("split_events")

@@ -3,6 +3,8 @@ checking results against another engine."""
 
 from __future__ import annotations
 
+import re
+
 FLAGS = ("death", "stroke", "major_bleed", "minor_bleed", "hem_stroke",
          "hosp", "sys_emb")
 
@@ -255,6 +257,12 @@ def upto(step: str) -> str:
 DIGITS = {"d": 6, "e": 7}
 
 
+def computed_once(sql: str) -> str:
+    """Each named table is worked out once, however often it is used."""
+    return re.sub(r"(\b\w+) AS \(\s*SELECT", r"\1 AS MATERIALIZED (SELECT",
+                  sql)
+
+
 def typed(sql: str, columns: str) -> str:
     """Cast and round the result to the declared columns."""
     out = []
