@@ -960,7 +960,26 @@ def _(spark, sf):
     return rg.wls(c, "ttr_mean", ["algorithm_consistency_mean"], "ttr_count")
 
 
-@query("logit", None)
+def _logit_sql(steps: int) -> str:
+    """Newton steps from zero for an intercept and a slope."""
+    out = ", z0 AS (SELECT 0.0 AS b0, 0.0 AS b1, 1.0 AS w, 0.0 AS wx, 1.0 AS wxx)"
+    for i in range(steps):
+        out += f""", g{i} AS (SELECT sum(y - p) AS s0, sum((y - p) * x) AS s1,
+ sum(p * (1 - p)) AS w, sum(p * (1 - p) * x) AS wx, sum(p * (1 - p) * x * x)
+ AS wxx FROM (SELECT x, y, 1 / (1 + exp(-b0 - b1 * x)) AS p FROM r, z{i})),
+ z{i + 1} AS (SELECT b0 + (wxx * s0 - wx * s1) / (w * wxx - wx * wx) AS b0,
+ b1 + (w * s1 - wx * s0) / (w * wxx - wx * wx) AS b1, g{i}.w, g{i}.wx, g{i}.wxx
+ FROM (SELECT b0, b1 FROM z{i}), g{i})"""
+    return out
+
+
+@query("logit", "term:s estimate:d std_error:d statistic:d", q.W_T + f""",
+ {DIS}, r AS (SELECT CAST(policy_eq AS DOUBLE) AS x, CAST(any_event AS DOUBLE)
+ AS y FROM dis WHERE policy_eq IS NOT NULL AND any_event IS NOT NULL)"""
+       + _logit_sql(12) + """ SELECT term, estimate, std_error, estimate
+ / std_error AS statistic FROM (SELECT 'intercept' AS term, b0 AS estimate,
+ sqrt(wxx / (w * wxx - wx * wx)) AS std_error FROM z12 UNION ALL SELECT
+ 'policy_eq', b1, sqrt(w / (w * wxx - wx * wx)) FROM z12)""")
 def _(spark, sf):
     return rg.logit(disagreements(spark, sf), "any_event", ["policy_eq"])
 
