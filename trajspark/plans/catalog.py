@@ -599,17 +599,19 @@ def _(spark, sf):
     return rel.with_group_mean(b, "centre", "weight", "centre_weight")
 
 
-@query("complete_grid", "trial:s event_name:s n:l", q.W_EV + """SELECT
- t.trial, e.event_name, coalesce(c.n, 0) AS n FROM (SELECT unnest(['ENGAGE',
- 'RELY', 'NONE']) AS trial) t CROSS JOIN (SELECT unnest(['Hospitalization',
- 'Never']) AS event_name) e LEFT JOIN (SELECT trial, event_name, count(*)
- AS n FROM ev GROUP BY ALL) c ON t.trial = c.trial
- AND e.event_name = c.event_name""")
+# All trials and events, and one of each that has no rows.
+_GRID = {"trial": ["ENGAGE", "ROCKET_AF", "RELY", "ARISTOTLE", "NONE"],
+         "event_name": [*P.EVENT_NAMES.values(), "Never"]}
+
+
+@query("complete_grid", "trial:s event_name:s n:l", q.W_EV + f"""SELECT
+ t.trial, e.event_name, coalesce(c.n, 0) AS n FROM (SELECT unnest(
+ {_GRID["trial"]}) AS trial) t CROSS JOIN (SELECT unnest({_GRID["event_name"]})
+ AS event_name) e LEFT JOIN (SELECT trial, event_name, count(*) AS n FROM ev
+ GROUP BY ALL) c ON t.trial = c.trial AND e.event_name = c.event_name""")
 def _(spark, sf):
     counts = rel.value_counts(EV(spark, sf), ["trial", "event_name"])
-    return rel.complete_grid(counts, {
-        "trial": ["ENGAGE", "RELY", "NONE"],
-        "event_name": ["Hospitalization", "Never"]})
+    return rel.complete_grid(counts, _GRID)
 
 
 @query("average_rank", "trial:s value:d n:l rank:d", q.W_V + """, r AS
