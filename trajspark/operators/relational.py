@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trajspark.functions.columns import col, finite, truth, yes_no
 from trajspark.operators.scan import PLAIN, add_by_key, lag, running_sum
+from trajspark.operators.selection import quantile, summarise
 
 
 def require_columns(df: DataFrame, cols) -> DataFrame:
@@ -171,20 +172,20 @@ def n_distinct(df: DataFrame, keys, column: str, out: str = "n",
 
 
 def describe_by(df: DataFrame, by, column: str) -> DataFrame:
-    """min, quartiles with linear interpolation, max and mean by group."""
-    q = F.percentile(column, F.array(F.lit(.25), F.lit(.5), F.lit(.75)))
-    return (df.groupBy(*by).agg(
-        F.min(column).alias("min"), q.alias("q"), F.max(column).alias("max"),
-        F.avg(column).alias("mean"), F.count(column).alias("n"))
-        .select(*by, "n", "min", F.col("q")[0].alias("q25"),
-                F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"),
-                "max", "mean"))
+    """min, quartiles with linear interpolation, max and mean by group, for
+    groups of any size."""
+    kind = df.schema[column].dataType
+    return summarise(df, by, column, [.25, .5, .75]).select(
+        *by, "n", F.col("min").cast(kind), F.col("q")[0].alias("q25"),
+        F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"),
+        F.col("max").cast(kind), "mean")
 
 
 def median_range(df: DataFrame, keys, order: str) -> DataFrame:
     spans = df.groupBy(*keys).agg(
         (F.max(order) - F.min(order)).alias("span"))
-    return spans.agg(F.median("span").alias("median_range"))
+    return quantile(spans, "span", 0.5).withColumnRenamed(
+        "q", "median_range")
 
 
 def share_within(df: DataFrame, parent, cols) -> DataFrame:
@@ -240,7 +241,7 @@ def neg_corr(x, y) -> Column:
 
 def above_percentile(df: DataFrame, column: str, p: float,
                      out: str) -> DataFrame:
-    cut = df.agg(F.percentile(column, F.lit(p))).scalar()
+    cut = quantile(df, column, p).scalar()
     return df.withColumn(out, (F.col(column) > cut).cast("int"))
 
 

@@ -12,7 +12,8 @@ from trajspark.functions.columns import (any_of, cut, finite, fmt_ci,
                                          relative_change, truth, value_bin)
 from trajspark.operators.relational import (above_percentile, complete_grid,
                                             describe_by, first_record,
-                                            mean_count, outer_coalesce, pivot,
+                                            mean_count, median_range,
+                                            outer_coalesce, pivot,
                                             share_within, star_join,
                                             truncate_after, weighted_mean,
                                             with_group_mean)
@@ -206,9 +207,9 @@ def cohort_summary(df: DataFrame, events, by: str = "trial",
 
 
 def median_follow_up_months(df: DataFrame) -> DataFrame:
-    spans = df.groupBy(*KEYS).agg((F.max(DAY) - F.min(DAY)).alias("__d"))
-    return spans.agg((F.median("__d") / P.DAYS_PER_MONTH)
-                     .alias("median_follow_up_months"))
+    days = median_range(df, KEYS, DAY)
+    return days.select((F.col("median_range") / P.DAYS_PER_MONTH)
+                       .alias("median_follow_up_months"))
 
 
 def format_summary(summary: DataFrame, by: str = "trial") -> DataFrame:
