@@ -16,6 +16,7 @@ from trajspark.operators import relational as rel
 from trajspark.operators import reports as rp
 from trajspark.operators import trajectories as tr
 from trajspark.operators import transitions as tn
+from trajspark.plans import audits as au
 from trajspark.plans import pipeline as pl
 from trajspark.plans import sqltext as q
 from trajspark.plans.catalog import (BL, EV, EVENTS, KEYS, PARAMS, V, _DEC,
@@ -766,59 +767,123 @@ def _stat(c, p):
 
 
 def _audit_sql():
-    out, ctes = [], []
-    for step, src, keys in (("observed", "vo", "trial, subjid"),
-                            ("trajectories", "traj",
-                             "trial, subjid, trajid")):
-        ctes.append(f"""{step}_l AS (SELECT {keys}, count(value) AS entries,
- max(study_day) - min(study_day) AS days FROM {src} GROUP BY ALL),
- {step}_s AS (SELECT trial, count(DISTINCT subjid) AS subjects, count(*)
- AS trajectories, {_stat("entries", "entries_")}, {_stat("days", "days_")}
- FROM {step}_l GROUP BY trial)""")
-        names = ["subjects", "trajectories"] + [
-            f"{c}_{s}" for c in ("entries", "days")
-            for s in ("min", "q25", "q50", "mean", "q75", "max")]
-        out += [f"SELECT '{step}' AS step, '{n}' AS metric, trial AS grp, "
-                f"{n} AS value FROM {step}_s" for n in names]
-        src2 = "v" if step == "observed" else "traj"
-        ctes.append(f"""{step}_m AS (SELECT trial, sum(n) AS null_doses,
- count(*) FILTER (n > 0) AS subjects_with_null_dose FROM (SELECT trial,
- subjid, count(*) FILTER (dose IS NULL) AS n FROM {src2} GROUP BY ALL)
- GROUP BY trial)""")
-        out += [f"SELECT '{step}', '{n}', trial, {n} FROM {step}_m"
-                for n in ("null_doses", "subjects_with_null_dose")]
-    ctes.append("""va AS (SELECT trial, avg(nv) AS values_per_subject, avg(nd)
- AS doses_per_subject, sum(a) AS null_values, sum(b) AS zero_values, sum(c)
- AS zero_doses, sum(d) AS negative_doses FROM (SELECT trial, subjid,
- count(value) AS nv, count(dose) AS nd, count(*) FILTER (value IS NULL) AS a,
- count(*) FILTER (value = 0) AS b, count(*) FILTER (dose = 0) AS c,
- count(*) FILTER (dose < 0) AS d FROM vo GROUP BY ALL) GROUP BY trial)""")
-    out += [f"SELECT 'observed', '{n}', trial, {n} FROM va" for n in (
-        "values_per_subject", "doses_per_subject", "null_values",
-        "zero_values", "zero_doses", "negative_doses")]
-    ctes.append("ea AS (SELECT trial, count(DISTINCT subjid) AS n, " +
-                ", ".join(f"sum({e}) AS {e}" for e in EVENTS)
-                + " FROM traj GROUP BY trial)")
-    for e in EVENTS:
-        out += [f"SELECT 'trajectories', '{e}', trial, {e} FROM ea",
-                f"SELECT 'trajectories', '{e}_per_subject', trial, {e} / n "
-                "FROM ea"]
+    """The ten steps from one chain of tables. Rows are counted over each
+    step, and statistics over its trajectories."""
+    steps = {"prepared": "pv", "presets": "un0", "union": "un",
+             "events": "merged", "split_events": "ses", "impute": "imp",
+             "split_gaps": "sgs", "baseline": "base", "prune": "pr"}
+    groups = ["ENGAGE", "ROCKET_AF", "RELY", "ARISTOTLE"]
+    static = list(PARAMS.static_cols)
+    rows = {"rows": "TRUE", "null_values": "{s} AND value IS NULL",
+            "zero_values": "{s} AND value = 0",
+            "null_doses": "{s} AND dose IS NULL",
+            "zero_doses": "{s} AND dose = 0", "negative_doses": "dose < 0"}
     split = " + ".join(PARAMS.events_splitting)
-    out += ["SELECT 'trajectories', 'max_rows_per_day', 'all', max(n) FROM "
-            "(SELECT count(*) AS n FROM traj GROUP BY trial, subjid, "
-            "study_day)",
-            f"SELECT 'trajectories', 'max_splitting_events', 'all', max(n) "
-            f"FROM (SELECT count(*) FILTER ({split} > 0) AS n FROM traj "
-            "GROUP BY trial, subjid, trajid)"]
-    return (q.W_T + ", vo AS (SELECT * FROM v WHERE value_type = 'Y'), "
-            + ", ".join(ctes) + " " + " UNION ALL ".join(out))
+    ctes = [f"""base AS (SELECT sgs.*, {", ".join("bl." + {"continent":
+ "region"}.get(c, c) + " AS " + c for c in static)} FROM sgs LEFT JOIN bl
+ ON sgs.subjid = bl.subjid)""",
+            f"gs AS (SELECT unnest({groups}) AS g)"]
+    per, out = [], []
+    for step, src in steps.items():
+        early = step in ("prepared", "presets", "union")
+        seen = "coalesce(value_type = 'Y', FALSE)" if early else "TRUE"
+        ev = [f"NULL AS {e}" if early else f"sum({e}) AS {e}" for e in EVENTS]
+        keys = "trial, subjid" + ("" if step == "prepared" else ", trajid")
+        most = "NULL" if early else f"count(*) FILTER ({split} > 0)"
+        per.append(f"""SELECT '{step}' AS step, trial, subjid, count(value)
+ AS entries, max(study_day) - min(study_day) AS days, count(dose) AS doses,
+ count(*) FILTER (dose IS NULL) AS open_doses, {most} AS splits,
+ {", ".join(ev)} FROM {src} WHERE {seen} GROUP BY {keys}""")
+        more = {f"null_{c}": f"{c} IS NULL" for c in static} \
+            if step == "baseline" else {}
+        for m, cond in {**rows, **more}.items():
+            out.append(f"""SELECT '{step}' AS step, '{m}' AS metric, g AS grp,
+ (SELECT count(*) FILTER ({cond.format(s=seen)}) FROM {src} WHERE trial = g)
+ AS value FROM gs""")
+    ctes.append("per AS (" + " UNION ALL ".join(per) + ")")
+    sums = ", ".join(f"sum({e}) AS {e}" for e in EVENTS)
+    rate = ", ".join(f"sum({e}) / count(*) AS {e}_per_subject"
+                     for e in EVENTS)
+    ctes.append(f"""ps AS (SELECT step, trial, subjid, count(*)
+ AS trajectories, sum(entries) AS entries, sum(doses) AS doses,
+ sum(open_doses) AS open_doses, {sums} FROM per GROUP BY ALL)""")
+    ctes.append(f"""pt AS (SELECT step, trial, count(*) AS subjects,
+ sum(trajectories) AS trajectories, avg(entries) AS values_per_subject,
+ avg(doses) AS doses_per_subject, count(*) FILTER (open_doses > 0)
+ AS subjects_with_null_dose, {sums}, {rate} FROM ps GROUP BY step, trial)""")
+    ctes.append(f"""pq AS (SELECT step, trial, {_stat("entries", "entries_")},
+ {_stat("days", "days_")} FROM per GROUP BY step, trial)""")
+    pick = "SELECT step, '{m}', trial, {m} FROM {t}"
+    out += [pick.format(m=m, t="pt") for m in (
+        "subjects", "trajectories", "values_per_subject",
+        "doses_per_subject", "subjects_with_null_dose")]
+    out += [pick.format(m=m, t="pt") + f" WHERE {m} IS NOT NULL" for m in (
+        *EVENTS, *[f"{e}_per_subject" for e in EVENTS])]
+    out += [pick.format(m=f"{c}_{s}", t="pq") for c in ("entries", "days")
+            for s in ("min", "q25", "q50", "mean", "q75", "max")]
+    out.append("SELECT step, 'max_splitting_events', 'all', max(splits) FROM "
+               "per WHERE splits IS NOT NULL GROUP BY step")
+    # What single steps add.
+    one = "SELECT '{}', '{}', 'all', {} FROM {}"
+    ctes.append(f"""e0 AS (SELECT trial, {", ".join(
+        f"sum(CAST(event_name = '{n}' AS INT)) AS {f}"
+        for f, n in q._EVN.items())} FROM ev GROUP BY trial),
+ e1 AS (SELECT e0.*, n FROM e0 JOIN (SELECT trial, count(DISTINCT subjid)
+ AS n FROM pv GROUP BY trial) USING (trial)),
+ bx AS (SELECT * FROM bl WHERE subjid IN (SELECT subjid FROM v)),
+ de AS (SELECT *, count(dose) OVER (PARTITION BY trial, subjid ORDER BY
+ study_day, seq ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS e FROM pv
+ WHERE trial IN ('ENGAGE', 'ROCKET_AF')),
+ du AS (SELECT {_stat("dose", "dose_")}, count(dose) AS dose_n,
+ stddev_samp(dose) AS dose_sd FROM un),
+ ga AS (SELECT trial, first_value(CASE WHEN dose IS NOT NULL THEN study_day
+ END IGNORE NULLS) OVER (PARTITION BY trial, subjid ORDER BY study_day ROWS
+ BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - study_day AS gap FROM ses),
+ gq AS (SELECT trial, {_stat("gap", "gap_")} FROM ga WHERE gap > 0
+ GROUP BY trial),
+ ids AS (SELECT DISTINCT subjid, ('0x' || substr(md5('42|' || subjid), 1, 8))
+ ::BIGINT AS h FROM pr WHERE trial = 'ARISTOTLE'), va AS (SELECT subjid,
+ row_number() OVER (ORDER BY h, subjid) <= floor(0.2 * count(*) OVER ())
+ AS val FROM ids), sp AS (SELECT trial, pr.subjid, CASE WHEN trial = 'RELY'
+ THEN 'test' WHEN val THEN 'val' ELSE 'train' END AS split FROM pr
+ LEFT JOIN va ON pr.subjid = va.subjid)""")
+    out += [f"SELECT 'prepared', 'event_rows', g, (SELECT count(*) FROM ev "
+            "WHERE trial = g) FROM gs",
+            one.format("prepared", "baseline_rows", "count(*)", "bx")]
+    out += [one.format("prepared", f"{n}_subjects", "count(DISTINCT subjid)",
+                       t) for n, t in (("visit", "pv"), ("event", "ev"),
+                                       ("baseline", "bx"))]
+    out += [f"SELECT 'prepared', '{e}', trial, {e} FROM e1" for e in EVENTS]
+    out += [f"SELECT 'prepared', '{e}_per_subject', trial, {e} / n FROM e1"
+            for e in EVENTS]
+    out += [f"SELECT 'prepared', 'entries_before_{i}', trial, count(*) FILTER"
+            f" (e = {i}) FROM de WHERE value_type = 'Y' GROUP BY trial"
+            for i in range(4)]
+    out += [one.format("union", f"dose_{c}", f"dose_{c}", "du") for c in (
+        "n", "sd", "min", "q25", "q50", "mean", "q75", "max")]
+    out.append("SELECT 'events', 'max_rows_per_day', 'all', max(n) FROM "
+               "(SELECT count(*) AS n FROM merged GROUP BY trial, subjid, "
+               "study_day)")
+    out += [f"SELECT 'impute', 'gap_{c}', trial, gap_{c} FROM gq"
+            for c in ("min", "q25", "q50", "q75", "max")]
+    out += ["SELECT 'splits', 'split_rows', g, (SELECT count(*) FROM sp WHERE "
+            "split = g) FROM (SELECT unnest(['train', 'val', 'test']) AS g)",
+            "SELECT 'splits', 'misplaced_rows', g, (SELECT count(*) FROM sp "
+            "WHERE split = g AND (split = 'test') <> (trial = 'RELY') OR "
+            "split = g AND g = 'val' AND trial <> 'ARISTOTLE') "
+            "FROM (SELECT unnest(['train', 'val', 'test']) AS g)",
+            "SELECT 'splits', 'shared_subjects', 'all', count(*) FROM (SELECT "
+            "subjid FROM sp WHERE split <> 'test' GROUP BY subjid "
+            "HAVING min(split) <> max(split))"]
+    return (q.computed_once(q.upto("full") + ", " + ", ".join(ctes)) + " "
+            + " UNION ALL ".join(out))
 
 
 @query("audit_report", "step:s metric:s grp:s value:d", _audit_sql())
 def _(spark, sf):
-    out = rp.audit({"observed": V(spark, sf), "trajectories": T(spark, sf)},
-                   EVENTS, PARAMS.events_splitting)
-    return out.withColumnRenamed("group", "grp")
+    _, report = au.run_audited(V(spark, sf), EV(spark, sf), BL(spark, sf),
+                               PARAMS)
+    return report.withColumnRenamed("group", "grp")
 
 
 @query("daily_entry_audit", "trial:s entries:l n:l", q.W_V + """SELECT trial,

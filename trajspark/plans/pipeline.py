@@ -99,10 +99,10 @@ def union_trials(*visits: DataFrame, max_dose: float = 140.0,
                                F.col("dose") >= max_dose, scan)
 
 
-def clean_trials(visits: DataFrame, params: Params = Params(),
-                 scan=PLAIN) -> DataFrame:
-    """The three presets and their union in one pass: the rules of a row's
-    trial are chosen by expressions, so the input is read and sorted once."""
+def preset_trials(visits: DataFrame, params: Params = Params(),
+                  scan=PLAIN) -> DataFrame:
+    """The three presets in one pass: the rules of a row's trial are chosen
+    by expressions, so the input is read and sorted once."""
     daily = F.col("trial").isin(*params.daily_dose_trials)
     avg = F.col("trial").isin(*params.avg_dose_trials)
     weekly = F.col("trial").isin(*params.weekly_dose_trials)
@@ -133,8 +133,15 @@ def clean_trials(visits: DataFrame, params: Params = Params(),
     reason = F.when(avg, P.TRIAL_INTERRUPTION).otherwise(P.DOSE_INTERRUPTION)
     v = tr.split_at_flag(v, "__stop", reason, KEYS, RAW_ORDER, "value_type",
                          scan).drop("__stop")
-    v = v.filter(seen)
-    return tr.drop_groups_with(v, KEYS, dose >= params.dose_outlier, scan)
+    return v.filter(seen)
+
+
+def clean_trials(visits: DataFrame, params: Params = Params(),
+                 scan=PLAIN) -> DataFrame:
+    """All trials by their presets, without subjects that have an outlying
+    dose."""
+    return tr.drop_groups_with(preset_trials(visits, params, scan), KEYS,
+                               F.col("dose") >= params.dose_outlier, scan)
 
 
 def subject_trajectories(visits: DataFrame, events: DataFrame,
