@@ -187,20 +187,24 @@ def hash_uniform(cols, seed) -> Column:
     return F.conv(hex8, 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def poisson_one(u: Column) -> Column:
-    """Poisson(1) count by inverting its distribution function, up to the
-    count at which a double can't tell it from 1."""
+def poisson_bounds() -> list:
+    """The distribution function of Poisson(1) at 0, 1, ..., up to the count
+    at which a double can't tell it from 1."""
     import math
-    k, cdf, steps = 0, 0.0, []
+    cdf, out = 0.0, []
     while True:
-        more = cdf + math.exp(-1.0) / math.factorial(k)
+        more = cdf + math.exp(-1.0) / math.factorial(len(out))
         if more == cdf:
-            break
+            return out
         cdf = more
-        steps.append((k, cdf))
-        k += 1
-    out = F.lit(k)
-    for k, bound in reversed(steps):
+        out.append(cdf)
+
+
+def poisson_one(u: Column) -> Column:
+    """Poisson(1) count by inverting its distribution function."""
+    bounds = poisson_bounds()
+    out = F.lit(len(bounds))
+    for k, bound in reversed(list(enumerate(bounds))):
         out = F.when(u < F.lit(bound), F.lit(k)).otherwise(out)
     return out
 

@@ -279,24 +279,40 @@ def bootstrap(trajectories: DataFrame, names, n: int = 1000, seed: int = 42,
               keys=WITHIN) -> DataFrame:
     """Resampled WIS values, one row per replicate and policy.
 
-    Each trajectory draws its own Poisson(1) count in every replicate from a
-    hash of its key. The counts are combined before the shuffle, which then
-    moves one row per task and replicate.
+    Each trajectory draws its own Poisson(1) count in every replicate. One
+    md5 of its key and the number of four replicates holds four draws of 32
+    bits, so any engine can repeat them. A trajectory becomes a row for every
+    four replicates; their counts are weighed and added up side by side, and
+    combined before the shuffle, which moves one row per task and four
+    replicates.
     """
-    rep = F.explode(F.sequence(F.lit(1), F.lit(n))).alias("replicate")
+    block = F.explode(F.sequence(F.lit(0), F.lit((n - 1) // 4)))
     drawn = trajectories.select(*keys, "value",
-                                *[f"{p}_weight" for p in names], rep)
-    u = (F.pmod(F.xxhash64(F.lit(seed), "replicate", *keys),
-                F.lit(1 << 52)) / F.lit(float(1 << 52)))
-    drawn = drawn.withColumn("__c", poisson_one(u)).filter("__c > 0")
-    c = F.col("__c")
-    agg = [F.try_divide(F.sum(c * F.col("value")), F.sum(c))
-           .alias("clinician")]
-    for p in names:
-        w = c * F.col(f"{p}_weight")
-        agg.append(F.try_divide(F.sum(w * F.col("value")), F.sum(w)).alias(p))
-    return (drawn.groupBy("replicate").agg(*agg)
-            .unpivot(["replicate"], ["clinician", *names], "policy", "value"))
+                                *[f"{p}_weight" for p in names],
+                                block.alias("__block"))
+    text = F.concat_ws("|", F.lit(str(seed)), F.col("__block").cast("string"),
+                       *[F.col(k).cast("string") for k in keys])
+    drawn = drawn.withColumn("__h", F.md5(text))
+    drawn = drawn.withColumns({
+        f"__u{i}": F.conv(F.substring("__h", 8 * i + 1, 8), 16, 10)
+        .cast("double") / F.lit(4294967296.0) for i in range(4)})
+    drawn = drawn.withColumns({f"__c{i}": poisson_one(F.col(f"__u{i}"))
+                               for i in range(4)})
+    each = []
+    for i in range(4):
+        c, v = F.col(f"__c{i}"), F.col("value")
+        means = [F.try_divide(F.sum(c * v), F.sum(c)).alias("clinician")]
+        for p in names:
+            w = c * F.col(f"{p}_weight")
+            means.append(F.try_divide(F.sum(w * v), F.sum(w)).alias(p))
+        each.append(F.struct(F.lit(i).alias("__i"), *means))
+    found = drawn.groupBy("__block").agg(F.array(*each).alias("__r")) \
+        .select("__block", F.inline("__r"))
+    found = found.withColumn(
+        "replicate", F.col("__block") * 4 + F.col("__i") + 1) \
+        .filter(F.col("replicate") <= n)
+    return found.select("replicate", "clinician", *names).unpivot(
+        ["replicate"], ["clinician", *names], "policy", "value")
 
 
 def bootstrap_interval(replicates: DataFrame, lower: float = 0.025,

@@ -249,24 +249,6 @@ def control_summary(subjects: DataFrame, events: DataFrame, tte: DataFrame,
 
 # Audits.
 
-def length_stats(df: DataFrame, by: str = "trial",
-                 keys=WITHIN) -> DataFrame:
-    """Subjects, trajectories and quartiles of their lengths, in long form:
-    (metric, group, value)."""
-    per = df.groupBy(*keys).agg(
-        F.count("value").alias("entries"),
-        (F.max(DAY) - F.min(DAY)).alias("days"))
-    counts = per.groupBy(by).agg(
-        F.count_distinct("subjid").cast("double").alias("subjects"),
-        F.count(F.lit(1)).cast("double").alias("trajectories"))
-    out = _long(counts, by, ["subjects", "trajectories"], "")
-    for c in ("entries", "days"):
-        d = describe_by(per, [by], c)
-        out = out.unionByName(_long(
-            d, by, ["min", "q25", "q50", "mean", "q75", "max"], f"{c}_"))
-    return out
-
-
 def _long(df: DataFrame, by: str, cols, prefix: str) -> DataFrame:
     named = df.select(F.col(by).alias("group"),
                       *[F.col(c).cast("double").alias(prefix + c)
@@ -275,45 +257,6 @@ def _long(df: DataFrame, by: str, cols, prefix: str) -> DataFrame:
                          "value").select("metric", "group", "value")
 
 
-def event_audit(df: DataFrame, events, by: str = "trial") -> DataFrame:
-    """Event counts and counts per subject by trial."""
-    sums = df.groupBy(by).agg(
-        F.count_distinct("subjid").alias("__n"),
-        *[F.sum(e).cast("double").alias(e) for e in events])
-    rates = sums.select(by, *[(F.col(e) / F.col("__n"))
-                              .alias(f"{e}_per_subject") for e in events])
-    return _long(sums, by, events, "").unionByName(
-        _long(rates, by, [f"{e}_per_subject" for e in events], ""))
-
-
-def missing_doses(df: DataFrame, by: str = "trial") -> DataFrame:
-    per = df.groupBy(by, "subjid").agg(
-        F.count_if(F.col("dose").isNull()).alias("n"))
-    out = per.groupBy(by).agg(
-        F.sum("n").cast("double").alias("null_doses"),
-        F.count_if(F.col("n") > 0).cast("double")
-        .alias("subjects_with_null_dose"))
-    return _long(out, by, ["null_doses", "subjects_with_null_dose"], "")
-
-
-def value_audit(df: DataFrame, by: str = "trial") -> DataFrame:
-    """Null and zero values, zero and negative doses, and entries per
-    subject."""
-    per = df.groupBy(by, "subjid").agg(
-        F.count("value").alias("nv"), F.count("dose").alias("nd"),
-        F.count_if(F.col("value").isNull()).alias("null_values"),
-        F.count_if(F.col("value") == 0).alias("zero_values"),
-        F.count_if(F.col("dose") == 0).alias("zero_doses"),
-        F.count_if(F.col("dose") < 0).alias("negative_doses"))
-    counts = ["null_values", "zero_values", "zero_doses", "negative_doses"]
-    out = per.groupBy(by).agg(
-        F.avg("nv").alias("values_per_subject"),
-        F.avg("nd").alias("doses_per_subject"),
-        *[F.sum(c).cast("double").alias(c) for c in counts])
-    return _long(out, by, ["values_per_subject", "doses_per_subject",
-                           *counts], "")
-
-
 def daily_entry_audit(df: DataFrame, trials, keys=KEYS,
                       order=("study_day", "seq"), scan=PLAIN) -> DataFrame:
     """How many of the three rows before an observed row have a dose."""
@@ -332,44 +275,6 @@ def imputation_audit(df: DataFrame, keys=KEYS, order=ORDER,
     return _long(d, "trial", ["min", "q25", "q50", "q75", "max"], "gap_")
 
 
-def invariant_audit(df: DataFrame, splitting) -> DataFrame:
-    """Two maxima that should be one: rows per subject and day, and rows with
-    a splitting event per trajectory."""
-    day = df.groupBy(*KEYS, DAY).count().agg(
-        F.max("count").cast("double").alias("value"))
-    ev = df.groupBy(*WITHIN).agg(F.count_if(any_of(splitting)).alias("n")) \
-        .agg(F.max("n").cast("double").alias("value"))
-    all_ = F.lit("all").alias("group")
-    return day.select(F.lit("max_rows_per_day").alias("metric"), all_,
-                      "value").unionByName(
-        ev.select(F.lit("max_splitting_events").alias("metric"), all_,
-                  "value"))
-
-
-def audit(steps: dict, events=(), splitting=()) -> DataFrame:
-    """Long table (step, metric, group, value) over the outputs of named
-    steps; each step gets the sections its columns allow."""
-    out = None
-    for name, df in steps.items():
-        nested = TRAJ in df.columns
-        seen = df.filter(F.col("value_type") == "Y") \
-            if "value_type" in df.columns else df
-        parts = [length_stats(seen, keys=WITHIN if nested else KEYS),
-                 missing_doses(df)]
-        if "value_type" in df.columns:
-            parts.append(value_audit(seen))
-        have = [e for e in events if e in df.columns]
-        if have:
-            parts.append(event_audit(df, have))
-        if have and nested:
-            parts.append(invariant_audit(df, [e for e in splitting
-                                              if e in have]))
-        for p in parts:
-            p = p.withColumn("step", F.lit(name))
-            out = p if out is None else out.unionByName(p)
-    return out.select("step", "metric", "group", "value")
-
-
 # Heatmaps and curves.
 
 def heatmap(df: DataFrame, action: str, group: str | None = None,

@@ -354,7 +354,24 @@ def _(spark, sf):
     return ev.wis(importance(spark, sf), ["soft", "rule"])
 
 
-@query("bootstrap", None)
+def _drawn(i):
+    u = f"('0x' || substr(h, {8 * i + 1}, 8))::BIGINT / 4294967296.0"
+    steps = " ".join(f"WHEN {u} < {b!r}::DOUBLE THEN {k}"
+                     for k, b in enumerate(fc.poisson_bounds()))
+    return f"SELECT *, block * 4 + {i} AS rep, CASE {steps} END AS c FROM bk"
+
+
+@query("bootstrap", "policy:s lower:d upper:d", q.W_T + _WIS + f""", bk AS
+ (SELECT *, md5('42|' || block || '|' || trial || '|' || subjid || '|' ||
+ trajid) AS h FROM wt, (SELECT unnest(range(250)) AS block)), dr AS
+ ({" UNION ALL ".join(_drawn(i) for i in range(4))}), rp AS (SELECT rep,
+ sum(c * value) / sum(c) AS clinician, sum(c * soft_weight * value)
+ / nullif(sum(c * soft_weight), 0) AS soft, sum(c * rule_weight * value)
+ / nullif(sum(c * rule_weight), 0) AS rule FROM dr GROUP BY rep)
+ """ + " UNION ALL ".join(
+     f"SELECT '{p}' AS policy, quantile_cont({p}, 0.025) AS lower, "
+     f"quantile_cont({p}, 0.975) AS upper FROM rp"
+     for p in ("clinician", "soft", "rule")))
 def _(spark, sf):
     reps = ev.bootstrap(importance(spark, sf), ["soft", "rule"], 1000)
     return ev.bootstrap_interval(reps)
