@@ -346,6 +346,94 @@ def agreement_curve(dis: DataFrame, width: float = 1.0) -> DataFrame:
         (weighted_mean("ttr", "length") * 100).alias("ttr_pct"))
 
 
+def local_lines(sums: DataFrame, by, grid, span: float = 0.75) -> DataFrame:
+    """Kernel-weighted local lines from sums per bin, at each point of `grid`.
+
+    `sums` has one row per group and bin: `mid`, the bin's middle, the count
+    `n`, and the sums of w, wx, wxx, wy, wxy and wyy. The bins nearest to a
+    point that hold the share `span` of the rows set the width of its tri-cube
+    kernel; a bin's rows all get the weight of its middle. `se` takes the
+    variance of a row as inverse to its weight; it is NULL where the kernel
+    holds two rows or less. A point whose rows don't vary in x gets their mean.
+    """
+    x0 = F.explode(F.array(*[F.lit(float(g)) for g in grid])).alias("x")
+    at = sums.select("*", x0).withColumn("d", F.abs(F.col("mid")
+                                                    - F.col("x")))
+    # As many rows as there are bins.
+    w = Window.partitionBy(*by, "x")
+    near = w.orderBy("d").rangeBetween(Window.unboundedPreceding, 0)
+    at = at.withColumns({"__upto": F.sum("n").over(near),
+                         "__all": F.sum("n").over(w)})
+    enough = F.col("__upto") >= F.lit(span) * F.col("__all")
+    at = at.withColumn("h", F.min(F.when(enough, F.col("d"))).over(w))
+    # A little wider than the last bin it needs, so that this one counts.
+    ratio = F.col("d") / (F.col("h") * 1.001)
+    k = F.when(F.col("h") == 0, (F.col("d") == 0).cast("double")).when(
+        ratio < 1, F.pow(1 - F.pow(ratio, 3), 3)).otherwise(0.0)
+    x, kk = F.col("x"), F.col("k") * F.col("k")
+    u1 = F.col("wx") - x * F.col("w")
+    u2 = F.col("wxx") - 2 * x * F.col("wx") + x * x * F.col("w")
+    k_ = F.col("k")
+    s = at.withColumn("k", k).groupBy(*by, "x").agg(
+        F.sum(k_ * F.col("n")).alias("n"), F.sum(k_ * F.col("w")).alias("s0"),
+        F.sum(k_ * u1).alias("s1"), F.sum(k_ * u2).alias("s2"),
+        F.sum(k_ * F.col("wy")).alias("t0"),
+        F.sum(k_ * (F.col("wxy") - x * F.col("wy"))).alias("t1"),
+        F.sum(k_ * F.col("wyy")).alias("yy"),
+        F.sum(kk * F.col("w")).alias("q0"), F.sum(kk * u1).alias("q1"),
+        F.sum(kk * u2).alias("q2"))
+    s0, s1, s2, t0, t1 = (F.col(c) for c in ("s0", "s1", "s2", "t0", "t1"))
+    det = s0 * s2 - s1 * s1
+    s = s.withColumn("det", F.when(det > s0 * s2 * 1e-9, det))
+    flat = F.col("det").isNull()
+    s = s.withColumns({
+        "fit": F.when(flat, F.try_divide(t0, s0))
+        .otherwise((s2 * t0 - s1 * t1) / F.col("det")),
+        "slope": F.when(~flat, (s0 * t1 - s1 * t0) / F.col("det"))})
+    rest = F.greatest(F.col("yy") - F.col("fit") * t0
+                      - F.coalesce("slope", F.lit(0.0)) * t1, F.lit(0.0))
+    spread = F.when(flat, F.try_divide(F.col("q0"), s0 * s0)).otherwise(
+        (s2 * s2 * F.col("q0") - 2 * s1 * s2 * F.col("q1")
+         + s1 * s1 * F.col("q2")) / (F.col("det") * F.col("det")))
+    return s.select(*by, "x", "fit", F.when(F.col("n") > 2, F.sqrt(
+        rest / (F.col("n") - 2) * F.greatest(spread, F.lit(0.0))))
+        .alias("se"))
+
+
+def agreement_smooth(dis: DataFrame, events, width: float = 1.0,
+                     upto: float = 50.0, span: float = 0.75) -> DataFrame:
+    """Local regression of time in range, weighted by length, and of each
+    event's rate on the mean absolute difference in percent, for every
+    algorithm: (model, outcome, x, fit, se). Trajectories that differ by more
+    than `upto` stay out, as they do in the finished figure. The regression
+    works on sums per bin, so it is as small for any number of rows."""
+    pairs = F.explode(F.array(*[F.struct(
+        F.lit(n).alias("model"), (F.col(f"{a}_diff") * 100).alias("dx"))
+        for a, n in P.MODEL_NAMES.items()])).alias("p")
+    rows = dis.select("ttr", "length", *events, pairs).select("*", "p.*") \
+        .filter(F.col("dx").between(0.0, upto))
+    last = int(upto / width) - 1
+    rows = rows.withColumn("bin", F.least(F.floor(F.col("dx") / width),
+                                          F.lit(last)))
+    outcomes = {"ttr": (F.col("ttr") * 100, F.col("length")),
+                **{e: (F.col(e), F.lit(1)) for e in events}}
+    x, each = F.col("dx"), []
+    for name, (y, w) in outcomes.items():
+        y, w = y.cast("double"), w.cast("double")
+        terms = {"w": w, "wx": w * x, "wxx": w * x * x, "wy": w * y,
+                 "wxy": w * x * y, "wyy": w * y * y}
+        each.append(F.struct(
+            F.lit(name).alias("outcome"),
+            F.count_if(y.isNotNull()).alias("n"),
+            *[F.sum(F.when(y.isNotNull(), t)).alias(c)
+              for c, t in terms.items()]))
+    sums = rows.groupBy("model", "bin").agg(F.array(*each).alias("__o"))
+    sums = sums.select("model", ((F.col("bin") + 0.5) * width).alias("mid"),
+                       F.inline("__o")).filter("n > 0")
+    grid = [i * width for i in range(last + 2)]
+    return local_lines(sums, ["model", "outcome"], grid, span)
+
+
 def classification_table(metrics: DataFrame) -> DataFrame:
     """Sensitivity and specificity with limits as text, one row per
     algorithm, from metrics named `ALGO/classification/stat[_lower|_upper]`."""

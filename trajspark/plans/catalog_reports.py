@@ -1012,6 +1012,43 @@ def _(spark, sf):
     return rp.agreement_curve(disagreements(spark, sf))
 
 
+_OUT = {"ttr": ("ttr * 100", "length"), "any_event": ("any_event", "1"),
+        **{e: (e, "1") for e in ADV}}
+
+
+@query("agreement_smooth", "model:s outcome:s x:d fit:d se:d", q.W_T + f"""
+ , {DIS}, lg AS ({" UNION ALL ".join(
+     f"SELECT '{n}' AS model, '{o}' AS outcome, {a}_diff * 100 AS x, "
+     f"CAST({y} AS DOUBLE) AS y, CAST({w} AS DOUBLE) AS w FROM dis "
+     f"WHERE {a}_diff * 100 BETWEEN 0 AND 50"
+     for a, n in _NAMES.items() for o, (y, w) in _OUT.items())}),
+ bs AS (SELECT model, outcome, least(floor(x), 49) + 0.5 AS mid, count(*)
+ AS n, sum(w) AS w, sum(w * x) AS wx, sum(w * x * x) AS wxx, sum(w * y) AS wy,
+ sum(w * x * y) AS wxy, sum(w * y * y) AS wyy FROM lg WHERE y IS NOT NULL
+ GROUP BY ALL), ax AS (SELECT *, abs(mid - x0) AS d FROM bs, (SELECT
+ unnest(range(51)) AS x0)), ay AS (SELECT *, sum(n) OVER (PARTITION BY model,
+ outcome, x0 ORDER BY d) AS upto, sum(n) OVER (PARTITION BY model, outcome,
+ x0) AS total FROM ax), az AS (SELECT *, min(d) FILTER (upto >= 0.75 * total)
+ OVER (PARTITION BY model, outcome, x0) AS h FROM ay), ak AS (SELECT *, CASE
+ WHEN h = 0 THEN CAST(d = 0 AS INT) WHEN d / (h * 1.001) < 1 THEN
+ pow(1 - pow(d / (h * 1.001), 3), 3) ELSE 0 END AS k FROM az), sm AS (SELECT model, outcome, x0, sum(k * n) AS n,
+ sum(k * w) AS s0, sum(k * (wx - x0 * w)) AS s1, sum(k * (wxx - 2 * x0 * wx
+ + x0 * x0 * w)) AS s2, sum(k * wy) AS t0, sum(k * (wxy - x0 * wy)) AS t1,
+ sum(k * wyy) AS yy, sum(k * k * w) AS q0, sum(k * k * (wx - x0 * w)) AS q1,
+ sum(k * k * (wxx - 2 * x0 * wx + x0 * x0 * w)) AS q2 FROM ak GROUP BY ALL),
+ dt AS (SELECT *, CASE WHEN s0 * s2 - s1 * s1 > s0 * s2 * 1e-9 THEN s0 * s2
+ - s1 * s1 END AS det FROM sm), ft AS (SELECT *, CASE WHEN det IS NULL THEN
+ t0 / nullif(s0, 0) ELSE (s2 * t0 - s1 * t1) / det END AS fit, coalesce((s0
+ * t1 - s1 * t0) / det, 0) AS slope, CASE WHEN det IS NULL THEN q0
+ / nullif(s0 * s0, 0) ELSE (s2 * s2 * q0 - 2 * s1 * s2 * q1 + s1 * s1 * q2)
+ / (det * det) END AS spread FROM dt) SELECT model, outcome, x0 AS x, fit,
+ CASE WHEN n > 2 THEN sqrt(greatest(yy - fit * t0 - slope * t1, 0) / (n - 2)
+ * greatest(spread, 0)) END AS se FROM ft""")
+def _(spark, sf):
+    return rp.agreement_smooth(disagreements(spark, sf),
+                               [*ADV, "any_event"])
+
+
 # Regressions and learned policies.
 
 _LINE = """m AS (SELECT count(*) AS n, sum(w) AS s, sum(w * x) / sum(w) AS mx,
