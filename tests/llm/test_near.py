@@ -60,13 +60,13 @@ def test_jaccard(docs, rows):
 
 def test_jaccard_recursion(docs, rows, monkeypatch):
     """Small leaves and groups: several rounds of pivots, cells and windows."""
-    for name, value in (("LEAF", 2), ("PIVOTS", 1), ("GROUP", 5)):
+    for name, value in (("LEAF", 2), ("PIVOTS", 1), ("BLOCK", 3), ("GROUP", 5)):
         monkeypatch.setattr(jaccard, name, value)
     _, names = brute_jaccard(rows)
     assert {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_classes(docs).collect()} == names
 
 
-def test_cells_find_links_over_borders(spark):
+def test_cells_find_links_over_borders(spark, monkeypatch):
     """A region of documents of which many don't link: every link is found, whatever the cells."""
     r = random.Random(8)
     base = [r.getrandbits(62) for _ in range(60)]
@@ -81,9 +81,32 @@ def test_cells_find_links_over_borders(spark):
         both = len(set(sets[a]) & set(sets[b]))
         return 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both)
     want = least(list(sets), linked)
-    links = jaccard.join_regions(words, regions)
-    got = {bytes(x["id"]): bytes(x["component"]) for x in components(links).collect()}
-    assert {k: got.get(k, k) for k in sets} == want and len(set(want.values())) > 5
+    for leaf, block in ((64, 512), (8, 512), (4, 8)):
+        monkeypatch.setattr(jaccard, "LEAF", leaf)
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        links = jaccard.join_regions(words, regions)
+        got = {bytes(x["id"]): bytes(x["component"]) for x in components(links).collect()}
+        assert {k: got.get(k, k) for k in sets} == want and len(set(want.values())) > 5
+
+
+def test_jaccard_large_group(spark):
+    """Many near copies of one text, texts that share a passage, and clean ones."""
+    r = random.Random(12)
+    text = lambda n: [f"w{r.randrange(4000)}" for _ in range(n)]
+    base, passage, rows = text(120), text(30), {}
+    for i in range(260):
+        if i % 2:
+            w = list(base)
+            for _ in range(r.randrange(4)):
+                w[r.randrange(len(w))] = f"x{r.randrange(10 ** 6)}"
+        else:
+            w = text(60) + passage + text(20) if i % 4 else text(80)
+        rows[1000 - i] = " ".join(w)
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    sizes, names = brute_jaccard(rows)
+    got = {x["doc_id"]: x for x in jaccard.jaccard_classes(df).collect()}
+    assert {i: x["component_id"] for i, x in got.items()} == names
+    assert {i: x["n_shingles"] for i, x in got.items()} == sizes
 
 
 def test_jaccard_odd_rows(odd, empty):

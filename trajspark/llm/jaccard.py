@@ -22,11 +22,16 @@ from trajspark.llm.repeats import by_part, part_of
 from trajspark.llm.words import SPACE, U, mix, words_of
 
 SIZE, NUM, DEN = 5, 4, 5  # shingles of five words; linked from 4/5 on
-LEAF, PIVOTS, GROUP, LEVELS = 64, 8, 128, 2
+#: A region of up to LEAF open documents is compared at once, one of more by PIVOTS of them; blocks hold up to BLOCK open
+#: documents, and so many nodes of a region are compared by one task. A cell of more than SHRINK times its region's open
+#: documents isn't divided again. All of them are matters of speed.
+LEAF, PIVOTS, BLOCK, GROUP, SHRINK = 64, 8, 512, 1024, 0.8
 #: Bytes of text for one partition of keys; no result depends on it.
-PART_BYTES = 8 << 20
+PART_BYTES = 16 << 20
 #: Shingles whose counts order the prefixes; any order gives the same links, this one fewer candidates.
 FREQUENT, OFTEN, FLUSH = 200_000, 4, 3_000_000
+THIRDS = np.array([0, 1, 2], np.uint64) * U((1 << 64) // 3)
+ODDS = mix(np.arange(11, 14, dtype=np.uint64)) | U(1)
 
 
 def shingles(column: pa.Array, size: int = SIZE) -> Iterator[np.ndarray]:
@@ -52,8 +57,14 @@ def digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def family(s: np.ndarray) -> int:
+    """48 bits of the first shingles from three places of the hash range on: the same for most near copies of a text."""
+    first = s[np.searchsorted(s, THIRDS) % len(s)]
+    return int(mix((first * ODDS).sum(keepdims=True, dtype=np.uint64))[0]) >> 16
+
+
 def describe(docs: DataFrame, size: int) -> DataFrame:
-    """Per row: id, n, digest of its set; and rows (hash, count) of shingles that are frequent within a task."""
+    """Per row: id, n, digest and family of its set; and rows (hash, count) of shingles that are frequent within a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, many = [], 0
 
@@ -62,15 +73,16 @@ def describe(docs: DataFrame, size: int) -> DataFrame:
             h, n = h[n >= OFTEN], n[n >= OFTEN]
             none = pa.nulls(len(h))
             return pa.RecordBatch.from_arrays(
-                [pa.nulls(len(h), kind), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(h.view(np.int64)),
-                 pa.array(n)], names)
+                [pa.nulls(len(h), kind), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.int64()),
+                 pa.array(h.view(np.int64)), pa.array(n)], names)
 
         for batch in slices(batches, "text"):
             kind, sets = batch.schema.field(0).type, list(shingles(batch.column(1), size))
             none = pa.nulls(len(sets), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([digest(s) for s in sets], pa.binary()), none, none], names)
+                 pa.array([digest(s) for s in sets], pa.binary()),
+                 pa.array([family(s) if len(s) else None for s in sets], pa.int64()), none, none], names)
             held += sets
             many += sum(map(len, sets))
             if many > FLUSH:
@@ -79,13 +91,16 @@ def describe(docs: DataFrame, size: int) -> DataFrame:
         if many:
             yield frequent()
 
-    names = ["id", "n", "digest", "hash", "count"]
+    names = ["id", "n", "digest", "family", "hash", "count"]
     spark_kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {spark_kind}, n bigint, digest binary, hash bigint, count bigint")
+    return docs.mapInArrow(run, f"id {spark_kind}, n bigint, digest binary, family bigint, hash bigint, "
+                           "count bigint")
 
 
 def candidates(docs: DataFrame, size: int, frequent, parts: int) -> DataFrame:
-    """Links (a, b) between sets that share a key, as a star for each key; a set goes by 48 bits of its digest.
+    """Links (a, b) between families of sets that share a key, as a star for each key.
+
+    Sets of one family meet anyway, so a large group of near copies sends few links, however many keys it shares.
 
     Keys are three neighbours among the first 0.6 n + 3 shingles of a set, the rare ones first. Two linked sets have at
     most a quarter as many shingles of their own (d together) as in common. The first 2 d + 3 in common stand within
@@ -114,6 +129,7 @@ def candidates(docs: DataFrame, size: int, frequent, parts: int) -> DataFrame:
                 if len(s) < 4 or d in seen:  # smaller sets link with equal ones only
                     continue
                 seen.add(d)
+                owner = family(s)
                 if len(often):
                     at = np.minimum(np.searchsorted(often, s), len(often) - 1)
                     rare = np.where(often[at] == s, rank[at], 0)
@@ -122,7 +138,7 @@ def candidates(docs: DataFrame, size: int, frequent, parts: int) -> DataFrame:
                 two = mix(s[:-1] * U(0x9E3779B97F4A7C15) + s[1:])
                 three = mix(two[:-1] * U(0x9E3779B97F4A7C15) + s[2:])
                 keys.append(np.concatenate([two, three]) if len(s) <= 5 else three)
-                owners.append(np.full(len(keys[-1]), node_of(d)))
+                owners.append(np.full(len(keys[-1]), owner))
                 many += len(s)
             if many > FLUSH // 2:
                 yield flush()
@@ -155,10 +171,6 @@ def chained(key: np.ndarray, g: np.ndarray):
     return order[new], np.unique(pairs, axis=0) if len(pairs) else pairs
 
 
-def node_of(d: bytes) -> int:
-    return int.from_bytes(d[:6], "big")
-
-
 def bitmap(ids: DataFrame, bits: int) -> dict[int, bytes]:
     """Which of `bits` places the hashes of the ids take: at most bits / 8 bytes."""
     place = ids.select((F.pmod(F.xxhash64("id"), F.lit(bits)) + 1).alias("p"))
@@ -204,11 +216,12 @@ def compare(rows: DataFrame) -> DataFrame:
             nodes = [(n, w, far) for role, n, w, far in group if role]
             if not nodes:
                 return None
-            all_ = np.unique(np.concatenate([w for _, w in pivots]))
-            has = np.zeros((len(all_), len(pivots)), np.uint8)
-            for k, (_, w) in enumerate(pivots):
-                has[np.searchsorted(all_, w), k] = 1
             size = np.array([len(w) for _, w in pivots])
+            flat = np.concatenate([w for _, w in pivots])
+            order = np.argsort(flat, kind="stable")
+            owner = np.repeat(np.arange(len(pivots)), size)[order]
+            all_, start = np.unique(flat[order], return_index=True)
+            many = np.diff(np.append(start, len(flat)))
             names = [n for n, _ in pivots]
             root = list(range(len(pivots)))
 
@@ -220,7 +233,11 @@ def compare(rows: DataFrame) -> DataFrame:
             out = []
             for n, w, far in nodes:
                 at = np.minimum(np.searchsorted(all_, w), len(all_) - 1)
-                both = has[at[all_[at] == w]].sum(0, dtype=np.int64)
+                at = at[all_[at] == w]
+                # The pivots that have each word, one after the other.
+                n_at, ends = many[at], np.cumsum(many[at])
+                place = np.arange(ends[-1] if len(at) else 0) + np.repeat(start[at] - ends + n_at, n_at)
+                both = np.bincount(owner[place], minlength=len(pivots))
                 either = size + len(w) - both
                 linked = np.flatnonzero(both * DEN >= either * NUM).tolist()
                 for i in linked[1:]:
@@ -256,8 +273,9 @@ def join_regions(sets: DataFrame, regions: DataFrame) -> DataFrame | None:
 
     `open`: a document still to be compared with all of its region. While a region has more than LEAF of them, about
     PIVOTS of them are compared, else all. In the first round, documents of a region's commonest component need no
-    links among each other, so only the others stay open. Cells that distances no longer divide are joined in blocks of
-    open documents (`last`): exact, and split over tasks.
+    links among each other, so only the others stay open. Cells are divided again as long as distances divide them; the
+    rest is joined in blocks of open documents (`last`): exact, and split over tasks. Tables with a few rows for each
+    region are written first, so that the planner knows their size and needn't gather a large region to join them.
     """
     links, level = None, 0
     regions = regions.select("region", "node", F.lit(True).alias("open"), F.lit(False).alias("last"))
@@ -265,10 +283,11 @@ def join_regions(sets: DataFrame, regions: DataFrame) -> DataFrame | None:
     while True:
         sizes = regions.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("open").cast("int")).alias("o"),
                                               F.min(F.when(F.col("open"), by)).alias("low"))
+        sizes = kept(sizes.where("o > 0 AND m > 1"), "sizes")
         far = (F.col("o") > LEAF) & ~F.col("last")
-        rows = kept(regions.join(sizes.where("o > 0 AND m > 1"), "region").select(
+        rows = kept(regions.join(sizes, "region").select(
             "region", "node", far.alias("far"), F.ceil(F.col("m") / GROUP).cast("int").alias("salts"),
-            (F.col("open") & (~far | (F.pmod(by, F.col("o")) < PIVOTS) | (by == F.col("low")))).alias("pivot"), "open"), "rows")
+            (F.col("open") & (~far | (F.pmod(by, F.col("o")) < PIVOTS) | (by == F.col("low")))).alias("pivot"), "open", "o"), "rows")
         if rows.isEmpty():
             break
         own = F.pmod(F.xxhash64("node"), "salts").cast("int")
@@ -290,9 +309,11 @@ def join_regions(sets: DataFrame, regions: DataFrame) -> DataFrame | None:
             left = kept(left.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "left")
             top = (left.groupBy("region", "component").count().groupBy("region")
                    .agg(F.max_by("component", F.struct("count", "component")).alias("top")))
-            left = left.join(top, "region").withColumn("open", F.col("component") != F.col("top"))
+            left = left.join(kept(top, "top"), "region").withColumn("open", F.col("component") != F.col("top"))
+            wide = kept(left.groupBy("region").agg(F.sum(F.col("open").cast("int")).alias("o")), "wide")
+            left = left.drop("o").join(wide, "region")
         level += 1
-        regions = kept(blocks(cells(left), level >= LEVELS), "regions")
+        regions = kept(blocks(kept(cells(kept(left, "left")), "cells")), "regions")
     return links
 
 
@@ -303,18 +324,19 @@ def cells(left: DataFrame) -> DataFrame:
     stays = F.col("open") & ~F.col("pivot")
     cell = left.where(stays).select("region", home.alias("cell"), F.element_at("d", home + 1).alias("to")).groupBy(
         "region", "cell").agg(F.min("to").alias("low"), F.max("to").alias("high"))
-    near = left.join(cell, "region").withColumn("to", F.element_at("d", F.col("cell") + 1))
+    near = left.join(kept(cell, "cell"), "region").withColumn("to", F.element_at("d", F.col("cell") + 1))
     near = near.where((F.col("to") - F.array_min("d") <= 2 * r) & F.col("to").between(F.col("low") - r, F.col("high") + r))
     return near.select(F.concat_ws("/", "region", "cell").alias("region"), "node",
-                       (stays & (home == F.col("cell"))).alias("open"))
+                       (stays & (home == F.col("cell"))).alias("open"), F.col("o").alias("before"))
 
 
-def blocks(regions: DataFrame, all_: bool) -> DataFrame:
-    """Regions with few open documents, or all, as blocks of about LEAF open ones with everything of the region."""
+def blocks(regions: DataFrame) -> DataFrame:
+    """Cells with few open documents, or which distances hardly made smaller, as blocks of up to BLOCK open ones with
+    everything of the cell; the others as they are."""
     sizes = regions.groupBy("region").agg(F.sum(F.col("open").cast("int")).alias("o"))
-    last = F.lit(True) if all_ else F.col("o") <= 8 * LEAF
-    cut = regions.join(sizes.where("o > 0"), "region").withColumn(
-        "many", F.when(last, F.ceil(F.col("o") / LEAF)).otherwise(1).cast("int"))
+    last = (F.col("o") <= BLOCK) | (F.col("o") > SHRINK * F.col("before"))
+    cut = regions.join(kept(sizes.where("o > 0"), "sizes"), "region").withColumn(
+        "many", F.when(last, F.ceil(F.col("o") / BLOCK)).otherwise(1).cast("int"))
     cut = cut.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
     own = F.pmod(F.xxhash64("node", F.lit(9)), "many") == F.col("block")
     return cut.select(F.concat_ws("#", "region", "block").alias("region"), "node", (F.col("open") & own).alias("open"),
@@ -332,7 +354,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     both = kept(describe(docs, size), "sets")
-    rows = both.where("hash IS NULL").select("id", "n", "digest")
+    rows = both.where("hash IS NULL").select("id", "n", "digest", "family")
     often = (both.where("hash IS NOT NULL").groupBy("hash").agg(F.sum("count").alias("n"))
              .orderBy(F.desc("n"), "hash").limit(FREQUENT).toArrow())  # a fixed number of rows
     hashes, counts = often["hash"].to_numpy().view(np.uint64), often["n"].to_numpy()
@@ -340,10 +362,13 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     frequent = spark.sparkContext.broadcast((hashes[order], counts[order]))
     parts = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
     regions = components(candidates(docs, size, frequent, parts))
-    reps = rows.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"))
-    g = F.conv(F.hex(F.substring("digest", 1, 6)), 16, 10).cast("long")
-    chosen = kept(reps.withColumn("g", g).join(regions.withColumnRenamed("id", "g"), "g")
-                  .select("id", "digest", F.col("component").cast("string").alias("region")), "chosen")
+    # Sets of less than four shingles link with equal ones only.
+    reps = rows.where("n >= 4").groupBy("digest").agg(F.min("id").alias("id"), F.min("family").alias("family"))
+    same = reps.groupBy("family").count().where("count > 1").select("family", F.col("family").alias("component"))
+    regions = regions.select(F.col("id").alias("family"), "component").unionAll(same).groupBy("family").agg(
+        F.min("component").alias("component"))
+    chosen = kept(reps.join(kept(regions, "regions"), "family").select(
+        "id", "digest", F.col("component").cast("string").alias("region")), "chosen")
     links = join_regions(kept(sets_of(docs, chosen, size), "words"), chosen.select("region", F.col("digest").alias("node")))
     named = rows.withColumn("class", F.when(F.col("n") > 0, F.col("digest")))
     if links is not None:
