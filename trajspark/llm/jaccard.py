@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajspark.llm.common import kept, slices
@@ -179,8 +179,14 @@ def bitmap(ids: DataFrame, bits: int) -> dict[int, bytes]:
     return {r["k"]: bytes(r["b"]) for r in rows.collect()}
 
 
+def node_of(digest: str) -> Column:
+    """A set of one row: its digest, and a hash of the row's id."""
+    return F.concat(digest, F.unhex(F.lpad(F.hex(F.xxhash64("id")), 16, "0")))
+
+
 def sets_of(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
-    """(node, n, words) of the chosen documents (id, digest). A bitmap of fixed size keeps most others from the join."""
+    """(node, words) of the chosen documents (id, digest), and of some others whose nodes are no chosen ones: a bitmap of
+    fixed size leaves most of them out, and joining regions, by node, the rest. So words move once, not twice."""
     bits = 1 << min(27, max(15, 4 + int(chosen.count()).bit_length()))  # 16 MB at most
     held = docs.sparkSession.sparkContext.broadcast(bitmap(chosen, bits))
 
@@ -200,9 +206,7 @@ def sets_of(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
     found = docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(bits)).alias("p")).mapInArrow(
         run, f"id {kind}, node binary, words array<bigint>")
-    other = chosen.select(F.col("id").alias("__id"), F.col("digest").alias("__node"))
-    return found.join(other, (F.col("node") == F.col("__node")) & F.col("id").eqNullSafe(F.col("__id")),
-                      "left_semi").drop("id")
+    return found.select(node_of("node").alias("node"), "words")
 
 
 def compare(rows: DataFrame) -> DataFrame:
@@ -369,9 +373,10 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.min("component").alias("component"))
     chosen = kept(reps.join(kept(regions, "regions"), "family").select(
         "id", "digest", F.col("component").cast("string").alias("region")), "chosen")
-    links = join_regions(kept(sets_of(docs, chosen, size), "words"), chosen.select("region", F.col("digest").alias("node")))
+    links = join_regions(kept(sets_of(docs, chosen, size), "words"), chosen.select("region", node_of("digest").alias("node")))
     named = rows.withColumn("class", F.when(F.col("n") > 0, F.col("digest")))
     if links is not None:
+        links = links.select(*(F.substring(c, 1, 16).alias(c) for c in ("a", "b")))
         parts = components(links).select(F.col("id").alias("class"), "component")
         named = named.join(parts, "class", "left").withColumn("class", F.coalesce("component", "class"))
     low = named.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("low"))
