@@ -1,5 +1,6 @@
 import random
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trajspark.operators import trajectories as tr
@@ -46,6 +47,30 @@ def test_chunks_split_a_hot_key(spark):
     assert max(r["count"] for r in per) < 800
 
 
+def frames_read_again(df):
+    """Whether a window has a frame from its row to the end of the key, which
+    Spark reads anew for every row."""
+    plan = df._jdf.queryExecution().executedPlan().toString().lower()
+    return "currentrow$(), unboundedfollowing$()" in plan
+
+
+def test_looking_ahead_costs_no_square_of_the_key(spark):
+    df = history(spark, n=3000).withColumn("d", F.col("f").cast("double"))
+    specs = dict(g=remaining_sum("d"), h=remaining_sum("f"),
+                 i=next_known("x"))
+    w = Window.partitionBy("k").orderBy("day", "seq").rowsBetween(
+        0, Window.unboundedFollowing)
+    wanted = df.withColumns({"g": F.sum("d").over(w), "h": F.sum("f").over(w),
+                             "i": F.first("x", ignorenulls=True).over(w)})
+    assert frames_read_again(wanted)
+    for scan in (PLAIN, ChunkedScan(5)):
+        found = scan.add(df, ["k"], ["day", "seq"], **specs)
+        assert not frames_read_again(found)
+        assert found.columns == wanted.columns
+        assert found.exceptAll(wanted).count() == 0
+        assert wanted.exceptAll(found).count() == 0
+
+
 def with_nulls(df):
     """Null keys, one of them hot."""
     return df.unionAll(df.filter("k = 0").withColumn(
