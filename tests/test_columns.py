@@ -70,6 +70,18 @@ def test_poisson_draw_has_mean_one(spark):
     assert abs(r[0] - 1) < .03 and abs(r[1] - 1) < .05
 
 
+def test_poisson_draw_of_hex_digits_is_the_same(spark):
+    cuts = {int(b * 2 ** 32) + i for b in fc.poisson_bounds()
+            for i in (-1, 0, 1, 2)} | {0, 2 ** 32 - 1}
+    df = spark.createDataFrame([(f"{c:08x}",) for c in sorted(cuts)
+                                if c < 2 ** 32], "h string")
+    u = F.conv("h", 16, 10).cast("double") / F.lit(4294967296.0)
+    r = df.select(fc.poisson_one(u).alias("a"), fc.poisson_hex(
+        F.col("h")).alias("b")).collect()
+    assert len(r) > 40 and {x.a for x in r} >= set(range(10))
+    assert all(x.a == x.b for x in r)
+
+
 def test_nan_and_caps(spark):
     r = one(spark, fc.nan_to_null(F.lit(float("nan"))).alias("n"),
             fc.recode_capped(F.lit(">89"), ">89", 90).alias("a"),
