@@ -146,6 +146,23 @@ def test_transitions(trajectories):
     assert drawn.exceptAll(same).count() == 0
 
 
+def test_total_weight_reads_no_next_state(trajectories):
+    out, _ = tn.build_transitions(trajectories, VALUE_DOSE, min_length=1)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # Once for the rows, and not again for the sum of their weights.
+    assert plan.count("lead(dose_prev_4#") == 1
+    assert plan.count("lead(__whole#") == 2
+
+
+def test_whole_rows_are_those_without_null_or_nan(spark):
+    df = spark.createDataFrame(
+        [(1.0, 1), (None, 1), (float("nan"), 1), (1.0, None)],
+        "a double, b int")
+    kept = df.filter(tn.whole(df, ["a", "b"]))
+    assert [tuple(r) for r in kept.collect()] == [(1.0, 1)]
+    assert df.na.drop().exceptAll(kept).count() == 0
+
+
 def test_weighted_sample_follows_weights(spark):
     df = spark.range(1000).select("id", F.when(F.col("id") < 10, 99.0)
                                   .otherwise(1.0).alias("w"))
