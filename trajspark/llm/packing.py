@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trajspark.llm.common import kept, offsets_of, slices
+from trajspark.llm.common import WORDS_BYTES, kept, offsets_of, slices
 from trajspark.llm.exact import LOCATOR, located
 from trajspark.llm.words import LOWER, SPACE, words_of
 
@@ -83,11 +83,11 @@ class Encoder:
         return np.concatenate(flats), np.concatenate(sizes)
 
     def _forget(self):
-        self.known: dict[int, int] = {}
+        self.known, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted hashes; the number of each word
         self.begin, self.size, self.pool, self.used = (np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64),
                                                        np.zeros(1 << 14, np.int32), 0)
 
-    def _learn(self, keys: list[int], texts: list[str]):
+    def _learn(self, keys: np.ndarray, texts: list[str]):
         flat, size = self._words(texts)
         n, m = len(self.known), len(keys)
         for name, need in (("begin", n + m), ("size", n + m), ("pool", self.used + len(flat))):
@@ -98,7 +98,9 @@ class Encoder:
         self.size[n:n + m] = size
         self.pool[self.used:self.used + len(flat)] = flat
         self.used += len(flat)
-        self.known.update(zip(keys, range(n, n + m)))
+        at = np.searchsorted(self.known, keys)
+        self.known = np.insert(self.known, at, keys)
+        self.place = np.insert(self.place, at, np.arange(n, n + m))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column's texts, and where each text begins and the last ends."""
@@ -112,14 +114,12 @@ class Encoder:
         keys, first, which = np.unique(w.hash, return_index=True, return_inverse=True)
         if len(self.known) + len(keys) > REMEMBERED:
             self._forget()
-        keys = keys.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        if new:
+        new = np.flatnonzero(~np.isin(keys, self.known, assume_unique=True))
+        if len(new):
             raw = w.data.tobytes()
             at = first[new]
-            self._learn([keys[i] for i in new],
-                        [raw[a:b].decode() for a, b in zip(w.start[at].tolist(), w.end[at].tolist())])
-        word = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[which]
+            self._learn(keys[new], [raw[a:b].decode() for a, b in zip(w.start[at].tolist(), w.end[at].tolist())])
+        word = self.place[np.searchsorted(self.known, keys)][which]
         size = self.size[word]
         ends = np.concatenate([[0], np.cumsum(size)])
         ids = self.pool[np.arange(ends[-1]) + np.repeat(self.begin[word] - ends[:-1], size)]
@@ -140,7 +140,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, seen = encoder_of(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", WORDS_BYTES):
             flat, at = encoder.encode(batch.column(1))
             tokens = np.insert(flat, at[1:], END_ID).astype("<u4")
             at = at + np.arange(len(at))
