@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 
-from trajspark.llm import packing, toxicity
+from trajspark.llm import packing, phrases, toxicity
 
 
 def words(n, seed):
@@ -63,3 +63,84 @@ def test_encoder_forgets_and_learns_again(monkeypatch):
         ids, ends = encoder.encode(column[i:i + 1])
         assert ids.tolist() == whole[at[i]:at[i + 1]].tolist() and ends.tolist() == [0, at[i + 1] - at[i]]
         assert len(encoder.known) == len(encoder.place) <= 500
+
+
+class Caught:
+    """Stands for a table and keeps the function that would run on it."""
+
+    def __getattr__(self, name):
+        def call(*args, **_):
+            if name in ("mapInArrow", "applyInArrow"):
+                self.run = args[0]
+            return self
+        return call
+
+
+def test_units_of_phrases_hold_one_order_at_a_time():
+    r = np.random.default_rng(3)
+    w = sorted(set(words(20_000, 5)))
+    tokens = r.integers(0, len(w) + 1, 600_000)  # 0 ends a piece
+    tokens[300_000:] = tokens[:300_000]
+    names, types = ["unit", "lang", "words", "tokens"], [pa.int64(), pa.string(), pa.binary(), pa.binary()]
+    unit = pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(
+        (7, "en", " ".join(w).encode(), phrases.low(tokens, 4)), types)], names)
+    sender, counter = Caught(), Caught()
+    phrases.summaries(sender, [3, 4, 5], 40)
+    phrases.counted(counter, Caught(), [3, 4, 5], 40, False)
+    next(sender.run(iter([unit])))
+    tracemalloc.start()
+    large = max(sum(len(k.as_py()) for k in sent["keys"]) for sent in sender.run(iter([unit])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 * len(tokens), peak / len(tokens)
+    assert large <= 2 << 20  # bytes of hashes in one batch
+    sent = [x for batch in sender.run(iter([unit])) for x in batch.to_pylist()]
+    inside = [sum((np.lib.stride_tricks.sliding_window_view(tokens, k) > 0).all(1)) for k in (3, 4, 5)]
+    assert [sum(int(phrases.wide(x["counts"]).sum()) for x in sent if x["ord"] == k) for k in (3, 4, 5)] == inside
+    bits = [(7, x["ord"], x["part"], np.packbits(phrases.wide(x["counts"]) > 2).tobytes(), len(x["keys"]) // 8)
+            for x in sent]
+    group = pa.concat_tables([pa.Table.from_batches([unit]), pa.table(
+        [pa.array(x, t) for x, t in zip(zip(*bits), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64()))],
+        ["unit", "ord", "part", "bits", "size"])], promote_options="default")
+    del sent, bits
+    tracemalloc.start()
+    counter.run(group)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 90 * len(tokens), peak / len(tokens)
+
+
+def test_units_of_phrases_send_the_same_in_small_steps(monkeypatch):
+    r = np.random.default_rng(4)
+    w = [f"é{i}" for i in range(900)]
+    tokens = r.zipf(1.2, 5000) % (len(w) + 1)
+    unit = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["fr"]), pa.array([" ".join(w).encode()]),
+                                       pa.array([phrases.low(tokens, 4)])], ["unit", "lang", "words", "tokens"])
+    sender, counter = Caught(), Caught()
+    phrases.summaries(sender, [1, 2, 3], 9)
+    phrases.counted(counter, Caught(), [1, 2, 3], 9, True)
+
+    def results():
+        sent = [x for batch in sender.run(iter([unit, unit])) for x in batch.to_pylist()]
+        bits = [(1, x["ord"], x["part"], np.packbits(phrases.wide(x["counts"]) > 2).tobytes(), len(x["keys"]) // 8)
+                for x in sent[:len(sent) // 2]]
+        group = pa.concat_tables([pa.Table.from_batches([unit]), pa.table(
+            [pa.array(x, t) for x, t in zip(zip(*bits), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64()))],
+            ["unit", "ord", "part", "bits", "size"])], promote_options="default")
+        return sent, counter.run(group).to_pylist()
+
+    want = results()
+    for name, x in (("BLOCK", 7), ("SEND", 10), ("WORDS_BYTES", 20)):
+        monkeypatch.setattr(phrases, name, x)
+    assert results() == want
+    found = {(k["size"], p): n for k in want[1] if k["part"] is not None
+             for p, n in zip(k["words"].split(b"\n"), phrases.wide(k["tokens"]).tolist())}
+    count = {}
+    for k in (1, 2, 3):
+        for i in range(len(tokens) - k + 1):
+            if all(tokens[i:i + k]):
+                p = k, " ".join(w[j - 1] for j in tokens[i:i + k]).encode()
+                count[p] = count.get(p, 0) + 1
+    assert found == {p: n for p, n in count.items() if n > 2} and len({p[0] for p in found}) == 3
+    short = next(k for k in want[1] if k["part"] is None)
+    assert short["n"] < sum(tokens > 0) and set(short["words"].split(b" ")) <= {x.encode() for x in w}

@@ -7,7 +7,8 @@ A round finds frequent n-grams of some orders. Each unit sends its distinct n-gr
 partitions by ranges of the hash. A partition merges these summaries one by one. It may hold one counter more than its
 mass divided by the threshold; when a merge makes more, the largest count that has no room is taken from all, and those
 that reach zero go. What has been taken in sum stays below the threshold, so every n-gram that reaches it is still there.
-The unit gets back one bit for each of its n-grams, and counts the words of those that stay: the second pass, exact.
+The unit gets back one bit for each of its n-grams, and counts the words of those that stay: the second pass, exact. A
+task works on one unit and one order at a time, and sends hashes in small batches.
 
 The first round takes words and pairs. Its units drop all words that are in no pair that stays, so the second round, for
 longer phrases, sees only stretches in which each pair may be frequent: no other phrase can be.
@@ -25,15 +26,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajspark.llm.common import kept, slices
+from trajspark.llm.common import WORDS_BYTES, kept, slices
 from trajspark.llm.ngram import high, low, narrow, wide
 from trajspark.llm.periods import Numbers
 from trajspark.llm.words import U, mix, words_of
 
-#: Words of a unit and of all open units of a task; bytes of text for one partition of n-grams. No result depends on them.
-UNIT, OPEN, PART_BYTES = 1_000_000, 2_500_000, 8 << 20
+#: Places (words, ends of pieces) of a unit and of all open units of a task; bytes of text for one partition of n-grams.
+#: No result depends on them.
+UNIT, OPEN, PART_BYTES = 1_250_000, 2_500_000, 8 << 20
 #: Counters that a summary takes in before it is trimmed.
 SLACK = 1 << 18
+#: Places of a unit that are worked on at once, and hashes that are sent at once. Only memory depends on them.
+BLOCK, SEND = 1 << 16, 1 << 17
 END = b"\xff"  # of a piece; no byte of UTF-8
 # Where pieces end.
 ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -72,7 +76,7 @@ def units(docs: DataFrame) -> DataFrame:
                 (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.int64()))],
                 ["unit", "lang", "words", "tokens", "n"])
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", WORDS_BYTES):
             by_lang: dict[str, list[bytes]] = {}
             for text, lang in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
                 by_lang.setdefault(lang, []).append(text or b"")
@@ -91,44 +95,89 @@ def units(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, UNITS)
 
 
+def parts_of(words: bytes) -> Iterator[bytes]:
+    """The same words in order, cut at blanks into pieces of few bytes each, or one word."""
+    lo = 0
+    while lo < len(words):
+        hi = words.find(b" ", lo + WORDS_BYTES)
+        hi = len(words) if hi < 0 else hi
+        yield words[lo:hi]
+        lo = hi + 1
+
+
 class Grams:
-    """The n-grams of a unit: by order the distinct hashes, ordered, their counts, all hashes, and where each occurs."""
+    """The n-grams of a unit, one order after the other: hashed and valid are of the current one, by place."""
 
-    def __init__(self, lang: str, words: bytes, tokens: bytes, orders: list[int]):
-        self.tokens = high(tokens, 4)
+    def __init__(self, lang: str, words: bytes, tokens: bytes):
+        self.tokens = np.ascontiguousarray(np.frombuffer(tokens, np.uint8).reshape(4, -1).T).view("<u4").ravel()
         salt = words_of(pa.array([lang + " "]), BLANK & False, False).hash[0]
-        each = words_of(pa.array([words], pa.binary()).cast(pa.large_string()), BLANK, False).hash
-        one = np.concatenate([np.zeros(1, np.uint64), mix(each ^ salt)])[self.tokens]
-        self.by_order = {}
-        here = self.tokens > 0
-        hashed, valid = one, here
+        self.each = np.concatenate([np.zeros(1, np.uint64), *(
+            mix(words_of(pa.array([x], pa.binary()).cast(pa.large_string()), BLANK, False).hash ^ salt)
+            for x in parts_of(words))])
+
+    def orders(self, orders: list[int]) -> Iterator[int]:
+        """Each of the ordered orders, once the hashes are worked out."""
+        self.hashed, self.valid = self.each[self.tokens], self.tokens > 0
         for k in range(1, max(orders) + 1):
             if k > 1:
-                m = max(0, len(hashed) - 1)
-                hashed = mix(hashed[:m] * U(0x9E3779B97F4A7C15) + one[k - 1:k - 1 + m])
-                valid = valid[:m] & here[k - 1:k - 1 + m]
+                m = max(0, len(self.hashed) - 1)
+                self.hashed, self.valid = self.hashed[:m], self.valid[:m]
+                for lo in range(0, m, BLOCK):
+                    here = slice(lo, min(lo + BLOCK, m))
+                    last = self.tokens[k - 1:k - 1 + m][here]
+                    self.hashed[here] = mix(self.hashed[here] * U(0x9E3779B97F4A7C15) + self.each[last])
+                    self.valid[here] &= last > 0
             if k in orders:
-                at = np.flatnonzero(valid)
-                self.by_order[k] = *np.unique(hashed[at], return_counts=True), hashed[at], at
-
-
-def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Partitions of hashes: ranges, so ordered hashes are ordered by partition."""
-    return ((keys >> U(32)) * U(parts) >> U(32)).astype(np.int64)
+                yield k
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct hashes, ordered, and how often each occurs."""
+        every = self.hashed[self.valid]
+        every.sort()
+        first = np.flatnonzero(np.append(True, every[1:] != every[:-1])[:len(every)])
+        return every[first], np.diff(first, append=len(every))
+
+    def found(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether at each place one of the hashes `keys`, ordered, occurs; and for each of them one of its places."""
+        there, at = np.zeros(len(self.hashed), bool), np.zeros(len(keys), np.int64)
+        for lo in range(0, len(self.hashed) if len(keys) else 0, BLOCK):
+            hashed = self.hashed[lo:lo + BLOCK]
+            which = np.minimum(np.searchsorted(keys, hashed), len(keys) - 1)
+            here = self.valid[lo:lo + BLOCK] & (keys[which] == hashed)
+            there[lo:lo + BLOCK] = here
+            at[which[here]] = lo + np.flatnonzero(here)
+        return there, at
+
+
+def bounds(keys: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
+    """The partitions that ordered hashes fall into, which are ranges of their upper halves: each with its first hash and
+    the one after its last."""
+    least = np.array([-(-(p << 32) // parts) << 32 for p in range(parts)], np.uint64)
+    cuts = [*np.searchsorted(keys, least).tolist(), len(keys)]
+    return [(p, a, b) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
 
 
 def summaries(table: DataFrame, orders: list[int], parts: int) -> DataFrame:
     """Of each unit, order and partition the hashes and their counts."""
+    def sent(rows):
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                rows = []
-                for k, (keys, n, _, _) in Grams(r["lang"], r["words"], r["tokens"], orders).by_order.items():
-                    cuts = np.searchsorted(part_of(keys, parts), np.arange(parts + 1)).tolist()
-                    rows += [(k, p, r["unit"], low(keys[a:b], 8), narrow(n[a:b]))
-                             for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names)
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
+                grams = Grams(r["lang"], r["words"], r["tokens"])
+                for k in grams.orders(orders):
+                    keys, n = grams.distinct()
+                    rows, many = [], 0
+                    for p, a, b in bounds(keys, parts):
+                        rows.append((k, p, r["unit"], low(keys[a:b], 8), narrow(n[a:b])))
+                        many += b - a
+                        if many >= SEND:
+                            yield sent(rows)
+                            rows, many = [], 0
+                    if rows:
+                        yield sent(rows)
 
     names = ["ord", "part", "unit", "keys", "counts"]
     types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
@@ -171,32 +220,38 @@ class Summary:
 def frequent(sent: DataFrame, least: int) -> DataFrame:
     """For each unit, order and partition, which of its hashes may be frequent: bits in their order."""
     def run(key, t):
-        blobs = [high(b, 8).view(np.uint64) for b in t["keys"].to_pylist()]
-        counts = [wide(b) for b in t["counts"].to_pylist()]
-        summary = Summary(sum(int(n.sum()) for n in counts) // least + 1)
-        for keys, n in zip(blobs, counts):
+        def blobs():
+            return (high(b.as_buffer(), 8).view(np.uint64) for b in t["keys"])
+
+        def counts():
+            return (wide(b.as_buffer()) for b in t["counts"])
+
+        summary = Summary(sum(int(n.sum()) for n in counts()) // least + 1)
+        for keys, n in zip(blobs(), counts()):
             summary.add(keys, n)
         found = np.append(summary.reach(least), U(0xFFFFFFFFFFFFFFFF))
-        bits = [np.packbits(found[np.searchsorted(found[:-1], k)] == k).tobytes() for k in blobs]
-        return pa.table([t["unit"], t["ord"], t["part"], pa.array(bits, pa.binary()),
-                         pa.array([len(k) for k in blobs], pa.int64())], ["unit", "ord", "part", "bits", "size"])
+        bits = [(np.packbits(found[np.searchsorted(found[:-1], k)] == k).tobytes(), len(k)) for k in blobs()]
+        return pa.table([t["unit"], t["ord"], t["part"], *(pa.array(x, kind) for x, kind in zip(
+            zip(*bits), (pa.binary(), pa.int64())))], ["unit", "ord", "part", "bits", "size"])
 
     return sent.groupBy("ord", "part").applyInArrow(run, "unit bigint, ord int, part int, bits binary, size bigint")
 
 
-def shortened(tokens: np.ndarray, words: bytes, joined: np.ndarray) -> tuple[bytes, bytes, int]:
+def shortened(tokens: np.ndarray, split: list[bytes], joined: np.ndarray) -> tuple[bytes, bytes, int]:
     """Only stretches whose neighbours are joined; joined: for each place whether it is so with the next."""
     after = np.append(joined, False)
     stay = after.copy()
     stay[1:] |= joined
     at = np.flatnonzero(stay)
-    out = np.zeros(2 * len(at), np.int64)
+    out = np.zeros(2 * len(at), np.uint32)
     out[::2] = tokens[at]
     use = np.ones(len(out), bool)
     use[1::2] = ~after[at]
-    used, places = np.unique(np.append(out[use], 0), return_inverse=True)
-    split = words.split(b" ")
-    return b" ".join(split[i - 1] for i in used[1:].tolist()), low(places[:-1], 4), len(at)
+    places = np.zeros(len(split) + 1, np.uint32)
+    places[tokens[at]] = 1
+    used = np.flatnonzero(places)
+    places[used] = np.arange(1, len(used) + 1)
+    return b" ".join([split[i - 1] for i in used.tolist()]), low(places[out[use]], 4), len(at)
 
 
 def counted(table: DataFrame, bits: DataFrame, orders: list[int], parts: int, shorten: bool) -> DataFrame:
@@ -208,8 +263,9 @@ def counted(table: DataFrame, bits: DataFrame, orders: list[int], parts: int, sh
             return schema.empty_table()
         own = t.select(["unit", "lang", "words", "tokens"]).filter(here).to_pylist()[0]
         answers = t.select(["ord", "part", "bits", "size"]).filter(pc.invert(here)).sort_by("part")
-        grams, split, out = Grams(own["lang"], own["words"], own["tokens"], orders), own["words"].split(b" "), []
-        for k, (keys, n, hashed, at) in grams.by_order.items():
+        grams, split, out = Grams(own["lang"], own["words"], own["tokens"]), own["words"].split(b" "), []
+        for k in grams.orders(orders):
+            keys, n = grams.distinct()
             mine = answers.filter(pc.equal(answers["ord"], k))
             stay = np.concatenate([np.zeros(0, np.uint8), *(
                 np.unpackbits(np.frombuffer(b.as_py(), np.uint8), count=size.as_py())
@@ -217,18 +273,13 @@ def counted(table: DataFrame, bits: DataFrame, orders: list[int], parts: int, sh
             if len(stay) != len(keys):
                 raise RuntimeError("the answers don't fit the unit")
             keys, n = keys[stay], n[stay]
-            which = np.searchsorted(keys, hashed)
-            found = np.append(keys, U(0))[which] == hashed if len(keys) else np.zeros(len(hashed), bool)
-            _, first = np.unique(which[found], return_index=True)
-            places = grams.tokens[at[found][first][:, None] + np.arange(k)] - 1
-            phrases = [b" ".join([split[i] for i in row]) for row in places.tolist()]
-            cuts = np.searchsorted(part_of(keys, parts), np.arange(parts + 1)).tolist()
-            out += [(None, own["lang"], b"\n".join(phrases[a:b]), narrow(n[a:b]), b - a, k, p)
-                    for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+            there, at = grams.found(keys)
+            for p, a, b in bounds(keys, parts):
+                places = grams.tokens[at[a:b, None] + np.arange(k)]
+                phrases = [b" ".join([split[i - 1] for i in row]) for row in places.tolist()]
+                out.append((None, own["lang"], b"\n".join(phrases), narrow(n[a:b]), b - a, k, p))
             if k == 2 and shorten:
-                joined = np.zeros(max(0, len(grams.tokens) - 1), bool)
-                joined[at[found]] = True
-                words, tokens, many = shortened(grams.tokens, own["words"], joined)
+                words, tokens, many = shortened(grams.tokens, split, there)
                 if many:
                     out.append((own["unit"], own["lang"], words, tokens, many, None, None))
         if not out:
