@@ -7,11 +7,14 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from brute import words
 from trajspark.llm import mixing, ngram, packing, pii, secrets, toxicity
 from trajspark.llm.automaton import Automaton
+from trajspark.llm.common import kept
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -214,6 +217,62 @@ def test_toxicity(spark, docs, odd, empty):
     assert toxicity.score(odd, None).where("score = 0 AND NOT rejected").count() == 8
 
 
+def labelled(spark, many, early):
+    """Short documents, every other one toxic by a word; the toxic ones behind the first `early` by hash have one of
+    their own. Ids from `many` on come without label."""
+    r = random.Random(8)
+    data = [(i, " ".join(f"w{r.randrange(300)}" for _ in range(r.randint(4, 9))), ["en", "fr", None][i % 3], i % 2)
+            for i in range(many + 200)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, toxic int")
+    known = df.where(F.col("doc_id") < many)
+    by = Window.orderBy(F.xxhash64("doc_id"))
+    late = known.where("toxic = 1").withColumn("n", F.row_number().over(by)).where(F.col("n") > early).select("doc_id")
+    late = F.broadcast(late.union(df.where(F.col("doc_id") >= many).select("doc_id")).withColumn("late", F.lit(1)))
+    text = F.when(F.col("toxic") == 1, F.concat("text", F.when(F.col("late") == 1, " vile").otherwise(" awful")))
+    docs = df.join(late, "doc_id", "left").select("doc_id", F.coalesce(text, "text").alias("text"), "lang", "toxic")
+    return docs.select("doc_id", "text", "lang"), known.select("doc_id", "toxic")
+
+
+def test_toxicity_learns_from_all_labels(spark):
+    docs, labels = labelled(spark, 2600, 1000)
+    scored = toxicity.score(docs, toxicity.train(docs, labels)).where("doc_id >= 2600").toPandas()
+    assert ((scored.score >= 0.5) == (scored.doc_id % 2 == 1)).mean() > 0.95
+    assert (scored.rejected == (scored.doc_id % 2 == 1)).mean() > 0.95
+
+
+def test_toxicity_learns_by_shards(spark, monkeypatch):
+    """Shards and windows, with ids that come again and empty texts; wherever rows are, the model is the same."""
+    monkeypatch.setattr(toxicity, "ROWS", 150)
+    monkeypatch.setattr(toxicity, "SHARDS", 4)
+    monkeypatch.setattr(toxicity, "WINDOW", 90)
+    docs, labels = labelled(spark, 900, 300)
+    docs = kept(docs.union(docs.where("doc_id % 50 = 7")).union(
+        spark.createDataFrame([(1, None, "en"), (2, "", None)], docs.schema)), "docs")
+    one, two = (toxicity.train(docs.repartition(n, F.xxhash64(F.lit(n), "doc_id", "text")), labels) for n in (2, 5))
+    for a, b in ((one.embedding, two.embedding), (one.filters, two.filters), (one.weight, two.weight)):
+        assert (a == b).all()
+    assert one.thresholds == two.thresholds and set(one.thresholds) == {"en", "fr", None}
+    scored = toxicity.score(docs, one).where("doc_id >= 900").toPandas()
+    assert (scored.rejected == (scored.doc_id % 2 == 1)).mean() > 0.95
+
+
+def test_thresholds(spark):
+    r = random.Random(9)
+    data = [(["en", None, "fr", "de"][i % 4], round(r.random(), 1), int(r.random() < 0.5)) for i in range(200)]
+    data = [(lang, s, 0 if lang == "de" else y) for lang, s, y in data] + [("it", 0.25, 1), ("it", 0.75, 0)]
+    got = toxicity.thresholds(spark.createDataFrame(data, "lang string, score double, label int"))
+    want = {}
+    for lang in ("en", "fr", "it", None):
+        own = [(s, y) for x, s, y in data if x == lang]
+        known = sorted({s for s, _ in own})
+        edges = [0.0, *((a + b) / 2 for a, b in zip(known, known[1:])), 1.0]
+        if known[-1] == 1:
+            edges[-1] = 1.0000001
+        wrong = {e: sum((s >= e) != y for s, y in own) for e in edges}
+        want[lang] = min(1.0, min(edges, key=lambda e: (wrong[e], abs(min(e, 1.0) - 0.5), e)))
+    assert got == want
+
+
 def test_language_model(spark, docs, rows, odd, empty, monkeypatch):
     monkeypatch.setattr(ngram, "UNIT", 500)
     monkeypatch.setattr(ngram, "PART_CHARS", 20000)
