@@ -1,4 +1,7 @@
+import random
+
 import corpus_pipeline
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trajspark.llm import mixing
@@ -49,3 +52,18 @@ def test_sequences_follow_the_mixture(spark):
     for t, doc in enumerate(order[:ends], 1):  # weights of 10 and 20, to less than a block and what is begun of one
         seen += doc < small
         assert abs(seen - t / 3) < 2 * mixing.BLOCK
+
+
+def test_drop_toxic_learns_from_all_labels(spark, tmp_path):
+    """Toxic documents with a word that only labels behind the first 1000 by hash have are dropped as well."""
+    r = random.Random(12)
+    data = [(i, " ".join(f"w{r.randrange(300)}" for _ in range(r.randint(4, 9))), "en", "s", i % 2) for i in range(2800)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, toxic int")
+    turn = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id")))
+    df = kept(df.withColumn("text", F.when(F.col("toxic") == 0, F.col("text")).otherwise(
+        F.concat("text", F.when(turn > 1000, " vile").otherwise(" awful")))), "rows")
+    df.select("doc_id", "toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.drop_toxic(spark, df.drop("toxic"), str(tmp_path))
+    assert out.columns == ["doc_id", "text", "lang", "source"]
+    left = [r["doc_id"] for r in out.collect()]
+    assert sum(i % 2 == 0 for i in left) > 1330 and sum(i % 2 for i in left) < 70
