@@ -51,6 +51,50 @@ def test_wis_and_bootstrap(spark):
     assert ci["clinician"]["upper"] == pytest.approx(v.mean() + half, abs=.08)
 
 
+def test_bootstrap_draws(spark):
+    """The draws of the md5 by trajectory and replicate, with nulls in keys,
+    values and weights; no trajectory becomes rows of its own."""
+    import hashlib
+    from trajspark.functions.columns import poisson_bounds
+    rows = [("A", 1, 0, 2.0, 0.5, 1.0), ("A", 2, 1, 3.0, None, 2.0),
+            (None, 3, 0, None, 1.5, 0.25), ("B", None, None, 1.0, 2.0, 0.0),
+            (None, None, None, 5.0, 0.1, 4.0), ("é|", 1, 0, -1.0, 3.0, 1.0)]
+    df = spark.createDataFrame(
+        rows, "trial string, subjid long, trajid long, value double, "
+              "p_weight double, q_weight double").repartition(3)
+    out = ev.bootstrap(df, ["p", "q"], 10, seed=7)
+    assert out.schema.simpleString() == \
+        "struct<replicate:int,policy:string,value:double>"
+    assert "Generate" not in out._jdf.queryExecution().executedPlan() \
+        .toString()
+    got = {(x["replicate"], x["policy"]): x["value"] for x in out.collect()}
+    want = {}
+    for rep in range(10):
+        draws = []
+        for r in rows:
+            text = "|".join(["7", str(rep // 4),
+                             *[str(k) for k in r[:3] if k is not None]])
+            at = 8 * (rep % 4)
+            u = int(hashlib.md5(text.encode()).hexdigest()[at:at + 8], 16)
+            draws.append(sum(u / 2 ** 32 >= b for b in poisson_bounds()))
+        n = sum(draws)
+        want[rep + 1, "clinician"] = sum(
+            c * r[3] for c, r in zip(draws, rows) if r[3] is not None) / n \
+            if n else None
+        for i, p in ((4, "p"), (5, "q")):
+            w = sum(c * r[i] for c, r in zip(draws, rows) if r[i] is not None)
+            wv = sum(c * r[i] * r[3] for c, r in zip(draws, rows)
+                     if r[i] is not None and r[3] is not None)
+            want[rep + 1, p] = wv / w if w else None
+    assert got.keys() == want.keys()
+    for k, x in want.items():
+        assert got[k] == (x if x is None else pytest.approx(x))
+    assert ev.bootstrap(df.limit(0), ["p"], 10).count() == 0
+    none = df.withColumn("value", F.lit(None).cast("double"))
+    assert {x["value"] for x in ev.bootstrap(none, ["p"], 5).collect()} == \
+        {None}
+
+
 def test_auroc_and_spearman_on_chunks(spark):
     r = np.random.default_rng(1)
     p = r.dirichlet(np.ones(3), 200).round(2)
